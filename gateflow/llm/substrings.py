@@ -164,10 +164,10 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     others = [c for c in df.columns if c != text_col]
     dealt = df.select(*others, text.alias("text"), F.pmod(F.xxhash64(F.col(id_col), text), F.lit(blocks)).cast("long").alias("block"))
-    texts = dealt.repartition("block")
-    anchors = texts.select("text", "block").groupBy("block").applyInArrow(_send_anchors(length), "h long, block long, n long")
+    texts = dealt.repartition("block")  # all passes take all columns, so that they read one exchange
+    anchors = texts.groupBy("block").applyInArrow(_send_anchors(length), "h long, block long, n long")
     seen = _repeated(anchors, ["h"])
-    windows = texts.select("text", "block").groupBy("block").cogroup(seen.groupBy("block")).applyInArrow(_send_windows(length, window), "x long, y long, block long, n long")
+    windows = texts.groupBy("block").cogroup(seen.groupBy("block")).applyInArrow(_send_windows(length, window), "x long, y long, block long, n long")
     twice = _repeated(windows, ["x", "y"])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != text_col)
     return texts.groupBy("block").cogroup(twice.groupBy("block")).applyInArrow(_remove(length, window), f"{fields}, n_words long, n_removed long, kept_text string")
