@@ -28,7 +28,7 @@ def _role_out(role: Column) -> Column:
 
 
 def _role_back(role: Column) -> Column:
-    parts = F.split(unescape(role), r"\\\\\\\\", -1)
+    parts = F.split(unescape(role), r"\\\\", -1)
     return F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
