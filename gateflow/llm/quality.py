@@ -24,7 +24,7 @@ RULES = (
     ("word_length", "mean_word_chars", 2.0, 14.0),
     ("symbols", "symbol_ratio", None, 0.08),
     ("stop_words", "stop_ratio", 0.02, None),
-    ("repeated_lines", "dup_line_ratio", None, 0.30),
+    ("repeated_lines", "dup_line_ratio", None, 0.50),
     ("repeated_words", "repeat_ratio", None, 0.50),
 )
 

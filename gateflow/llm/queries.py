@@ -197,9 +197,26 @@ f AS (
     CASE WHEN n_words = 0 OR word_chars / n_words < 2.0 OR word_chars / n_words > 14.0 THEN 'word_length' END,
     CASE WHEN word_chars > 0 AND n_symbols / word_chars > 0.08 THEN 'symbols' END,
     CASE WHEN n_words = 0 OR n_stop_words / n_words < 0.02 THEN 'stop_words' END,
-    CASE WHEN n_lines > 0 AND n_dup_lines / n_lines > 0.3 THEN 'repeated_lines' END,
+    CASE WHEN n_lines > 0 AND n_dup_lines / n_lines > 0.5 THEN 'repeated_lines' END,
     CASE WHEN n_words > 0 AND n_repeat_words / n_words > 0.5 THEN 'repeated_words' END], lambda x: x IS NOT NULL) AS failed FROM m
 )
 SELECT *, NOT base_failed AND len(failed) = 0 AS kept FROM f
+""",
+        "op10_mixing": """
+WITH RECURSIVE c AS (SELECT coalesce('1' || source, '0') AS s, count(*) AS n FROM documents GROUP BY ALL),
+sh AS (SELECT s, n, sqrt(n) / sum(sqrt(n)) OVER () * (1000 - count(*) OVER ()) AS share, count(*) OVER () AS k FROM c),
+w AS (SELECT s, n, (1 + floor(share) + CASE WHEN row_number() OVER (ORDER BY share - floor(share) DESC, s) <= 1000 - k - sum(floor(share)) OVER () THEN 1 ELSE 0 END)::BIGINT AS m FROM sh),
+l AS (SELECT list(s ORDER BY s) AS s, list(m ORDER BY s) AS m FROM w),
+step(t, k, pick) AS (
+  SELECT -1, list_transform(m, lambda x: 0::BIGINT), 0 FROM l
+  UNION ALL
+  SELECT t, list_transform(k, lambda x, i: x + CASE WHEN i = p THEN 1 ELSE 0 END), p FROM (
+    SELECT t + 1 AS t, k, (list_min(list_filter(list_transform(k, lambda x, i: CASE WHEN x < m[i] AND x * 1000 // m[i] <= t + 1 THEN ((x + 1) * 1000 + m[i] - 1) // m[i] * 10000 + i END), lambda y: y IS NOT NULL)) % 10000)::INT AS p
+    FROM step, l WHERE t < 999)
+),
+plan AS (SELECT t AS slot, l.s[pick] AS s, step.k[pick] - 1 AS k FROM step, l WHERE t >= 0),
+d AS (SELECT doc_id, source, coalesce('1' || source, '0') AS s, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, ''))) - 1 AS i FROM documents),
+x AS (SELECT doc_id, source, i, i // 16 AS mix_block, i // 16 // m * 1000 + slot AS mix_slot FROM d JOIN w ON w.s = d.s JOIN plan p ON p.s = d.s AND p.k = i // 16 % m)
+SELECT doc_id, source, mix_block, mix_slot, row_number() OVER (ORDER BY mix_slot, i) - 1 AS mix_position FROM x
 """,
     }
