@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,36 +29,39 @@ def _signed(device: int) -> int:
     return device - (1 << 32) if device >= 1 << 31 else device
 
 
-def _decode(kind: str):
-    from decimal import Decimal
+def packet_rows(kind: str, path: str, data: bytes):
+    """Rows of one capture, as in the layout's schema."""
+    for pos, (image, h) in enumerate(split_packets(data, CROP if kind == "crop" else SNAPSHOT)):
+        if kind == "crop":
+            device, source, cls, obj, conf, *box, frame, ts, size = h
+            yield (path, pos, _signed(device), source, cls, Decimal(obj), conf, *box, frame, Decimal(ts), size, size == len(image), image)
+        else:
+            device, source, name, *box, ts, size = h
+            yield (path, pos, _signed(device), source, name.split(b"\0")[0].decode("ascii", "replace"), *box, Decimal(ts), size, size == len(image), image)
 
+
+def _decode(kind: str, columns: list[str]):
     def run(batches):
         import pandas as pd
 
-        ddl = CROP_DDL if kind == "crop" else SNAPSHOT_DDL
-        names = [x.split()[0] for x in ddl.split(", ")]
         for batch in batches:
-            rows = []
-            for path, data in zip(batch["path"], batch["content"], strict=True):
-                for pos, (image, h) in enumerate(split_packets(bytes(data), CROP if kind == "crop" else SNAPSHOT)):
-                    if kind == "crop":
-                        device, source, cls, obj, conf, left, top, width, height, frame, ts, size = h
-                        rows.append((path, pos, _signed(device), source, cls, Decimal(obj), conf, left, top, width, height, frame, Decimal(ts), size, size == len(image), image))
-                    else:
-                        device, source, name, left, top, width, height, ts, size = h
-                        rows.append((path, pos, _signed(device), source, name.split(b"\0")[0].decode("ascii", "replace"), left, top, width, height, Decimal(ts), size, size == len(image), image))
-            yield pd.DataFrame(rows, columns=names)
+            rows = [r for path, data in zip(batch["path"], batch["content"], strict=True) for r in packet_rows(kind, path, bytes(data))]
+            yield pd.DataFrame(rows, columns=columns)
 
     return run
 
 
+def _columns(ddl: str) -> list[str]:
+    return [x.split()[0] for x in ddl.replace("(20,0)", "").split(", ")]
+
+
 def decode_crop_packets(files: DataFrame) -> DataFrame:
     """Rows of captures (path, content); one whose size does not match its image has ``ok`` false."""
-    return files.select("path", "content").mapInPandas(_decode("crop"), CROP_DDL)
+    return files.select("path", "content").mapInPandas(_decode("crop", _columns(CROP_DDL)), CROP_DDL)
 
 
 def decode_snapshot_packets(files: DataFrame) -> DataFrame:
-    return files.select("path", "content").mapInPandas(_decode("snapshot"), SNAPSHOT_DDL)
+    return files.select("path", "content").mapInPandas(_decode("snapshot", _columns(SNAPSHOT_DDL)), SNAPSHOT_DDL)
 
 
 def read_crop_packets(spark: SparkSession, path: str) -> DataFrame:

@@ -28,7 +28,8 @@ def stream_events(det: DataFrame, lane: str = "site_id", delay: str = "10 second
     """Events of a stream of detections: rows ``assign`` (det_id, event_id, its time), ``close`` (event_id, when), and
     ``late`` for detections older than what their lane has seen, which go to nobody.
 
-    ``det`` has a timestamp column ``ts``. Open events are the state; event-time timers close them at the
+    ``det`` has a timestamp column ``ts``. Rows later than ``delay`` behind the stream's newest are dropped by the
+    watermark before they get here, so it should be as long as rows are worth telling about. Open events are the state; event-time timers close them at the
     first of their deadlines."""
 
     def step(state, r):

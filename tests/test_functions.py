@@ -28,12 +28,13 @@ def test_hue_wraps(spark):
     assert abs(one(spark, d) - 0.06) < 1e-12
 
 
-SQUARE = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0))))
+def square():
+    return F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0))))
 
 
 @pytest.mark.parametrize(("x", "y", "inside"), [(0.5, 0.5, True), (0.0, 0.5, False), (1.0, 1.0, False), (0.5, 1.0, False), (1.5, 0.5, False), (0.999, 0.001, True)])
 def test_polygon_is_open(spark, x, y, inside):
-    assert one(spark, geo.inside_polygon(F.lit(x), F.lit(y), SQUARE)) is inside
+    assert one(spark, geo.inside_polygon(F.lit(x), F.lit(y), square())) is inside
 
 
 def test_box_edges_count(spark):

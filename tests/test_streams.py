@@ -1,6 +1,10 @@
 """Streams over all that is there equal their batch twins, in one batch or in many."""
 
+import glob
+import os
+
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gateflow.operators import events as ev
@@ -17,9 +21,14 @@ def files(request, spark, tmp_path_factory):
     """Detections as files in order of time, read one a batch."""
     root = str(tmp_path_factory.mktemp(f"det{request.param}"))
     d = Views(spark, SF)("detections").withColumn("ts_ms", F.col("ts_ms") + 1000).withColumn("ts", F.timestamp_millis("ts_ms"))
-    n = d.count()
+    n, seen = d.count(), set()
+    at = F.row_number().over(W.orderBy("ts_ms", "det_id")) - 1  # the derived clock runs back and forth with the ids
+    numbered = d.withColumn("at", at)
     for k in range(request.param):
-        d.where((F.col("det_id") >= n * k // request.param) & (F.col("det_id") < n * (k + 1) // request.param)).coalesce(1).write.mode("append").parquet(root)
+        numbered.where((F.col("at") >= n * k // request.param) & (F.col("at") < n * (k + 1) // request.param)).drop("at").coalesce(1).write.mode("append").parquet(root)
+        for f in set(glob.glob(f"{root}/*.parquet")) - seen:
+            os.utime(f, (1_700_000_000 + 10 * k,) * 2)  # files are read in order of their times
+            seen.add(f)
     return spark.read.parquet(root), spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(root)
 
 
@@ -40,6 +49,8 @@ def test_late_rows_are_told(spark, tmp_path):
     d = Views(spark, SF)("detections").where("site_id = 1").withColumn("ts_ms", F.col("ts_ms") + 1000).withColumn("ts", F.timestamp_millis("ts_ms"))
     root = str(tmp_path / "d")
     d.where("det_id between 20 and 40").coalesce(1).write.parquet(root)
+    for f in glob.glob(f"{root}/*.parquet"):
+        os.utime(f, (1_700_000_000,) * 2)
     d.where("det_id between 10 and 19").coalesce(1).write.mode("append").parquet(root)
     out = run_available(live.stream_events(spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(root), delay="1 hour"))
     kinds = {r.kind: r["count"] for r in out.where("det_id is not null").groupBy("kind").count().collect()}
