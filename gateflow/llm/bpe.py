@@ -2,8 +2,9 @@
 
 1. Texts are split into words by the tokenizer's own rules. A block (the rows of one task, up to a
    number of distinct words) keeps each text as numbers into the block's word list.
-2. The blocks' word lists are shuffled by word; each distinct word is encoded once, over all blocks.
-3. Its ids are joined back to the blocks, and every text's ids are put together by position.
+2. The blocks' word lists are shuffled by word; each distinct word is encoded once, over all blocks, and its
+   other rows take the ids from that one.
+3. The ids go back to the blocks, and every text's ids are put together by position.
 4. Decoding joins the ids to the table of pieces (the vocabulary), which has a fixed size.
 
 Shuffled are the word lists and the numbers, never a row for each word of a text.
@@ -26,6 +27,7 @@ from .common import stage
 MAX_BLOCK_WORDS = 400_000  # distinct words of a block, about
 MAX_BLOCK_ITEMS = 8_000_000  # words of a block, about
 MAX_PIECES = 1 << 20
+GROUP = 64  # texts whose numbers are packed together
 
 
 class Splitter:
@@ -130,7 +132,9 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
 
 
 def _split(path: str, keys: list[str], schema: pa.Schema):
-    """Rows of two kinds: (block, num, word) of a block's word list, and (keys, block, n_words, nums) of a text."""
+    """Rows of two kinds: (block, num, word) of a block's word list, and (keys, block, group, place, n_words, nums)
+    of a text. The words of a block are numbered by frequency; the numbers of ``GROUP`` texts are packed
+    together and stand in the group's first row."""
 
     def rows(n: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
@@ -139,31 +143,58 @@ def _split(path: str, keys: list[str], schema: pa.Schema):
         from pyspark import TaskContext
 
         splitter, task = Splitter(path), TaskContext.get().partitionId()
-        made, numbers, items = 0, _Numbers(), 0
-        block = lambda n: pa.array(np.full(n, (task << 24) + made, dtype=np.int64))
-
-        def word_list():
-            words = list(numbers)
+        made, numbers, held, seen = 0, _Numbers(), [], []
+
+        def close():
+            block = lambda n: pa.array(np.full(n, (task << 24) + made, dtype=np.int64))
+            words = np.array([*numbers, None], dtype=object)[:-1]
+            order = np.argsort(-np.bincount(np.concatenate([np.zeros(0, dtype=np.uint32), *seen]), minlength=len(words)), kind="stable")
+            rank = np.empty(len(words), dtype=np.uint32)
+            rank[order] = np.arange(len(words), dtype=np.uint32)
+            at = 0
+            for g, part in enumerate(held):
+                n, nums = part.num_rows, seen[at : at + part.num_rows]
+                at += n
+                packed = [_pack(rank[np.concatenate(nums)])] + [None] * (n - 1)
+                yield rows(n, __block=block(n), __group=pa.array(np.full(n, g, dtype=np.int32)), __place=pa.array(np.arange(n, dtype=np.int32)), __n=pa.array([len(x) for x in nums], pa.int32()), __nums=pa.array(packed, pa.binary()), **{k: part.column(k) for k in keys})
             for at in range(0, len(words), 20_000):
-                part = words[at : at + 20_000]
-                yield rows(len(part), __block=block(len(part)), __num=pa.array(np.arange(at, at + len(part), dtype=np.int32)), __word=pa.array(part, pa.string()))
+                part = words[order[at : at + 20_000]]
+                yield rows(len(part), __block=block(len(part)), __num=pa.array(np.arange(at, at + len(part), dtype=np.int32)), __word=pa.array(part.tolist(), pa.string()))
 
+        items = 0
         for batch in batches:
             texts = batch.column("__text")
-            for at in range(0, batch.num_rows, 64):
-                part, counts, packed = batch.slice(at, 64), [], []
-                for i in range(at, at + part.num_rows):
+            for at in range(0, batch.num_rows, GROUP):
+                held.append(batch.slice(at, GROUP).drop_columns(["__text"]) if keys else batch.slice(at, GROUP))
+                for i in range(at, min(at + GROUP, batch.num_rows)):
                     words = splitter.words(texts[i].as_py() or "")
-                    nums = np.fromiter(map(numbers.__getitem__, words), dtype=np.uint32, count=len(words))
-                    counts.append(len(nums))
-                    packed.append(_pack(nums))
-                items += sum(counts)
-                n = part.num_rows
-                yield rows(n, __block=block(n), __n=pa.array(counts, pa.int32()), __nums=pa.array(packed, pa.binary()), **{k: part.column(k) for k in keys})
+                    seen.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.uint32, count=len(words)))
+                    items += len(words)
                 if len(numbers) >= MAX_BLOCK_WORDS or items >= MAX_BLOCK_ITEMS:
-                    yield from word_list()
-                    made, numbers, items = made + 1, _Numbers(), 0
-        yield from word_list()
+                    yield from close()
+                    made, numbers, held, seen, items = made + 1, _Numbers(), [], [], 0
+        if held:
+            yield from close()
+
+    return run
+
+
+def _encode_runs(path: str):
+    """(block, num, ids) of rows sorted by word: every distinct word is encoded once."""
+
+    def run(batches):
+        encode, last, ids = word_encoder(path), None, b""
+        for batch in batches:
+            words = batch.column("__word").dictionary_encode()
+            known = words.dictionary.to_pylist()
+            new = [w for w in known if w != last]
+            packed = dict(zip(new, (np.asarray(x, dtype="<u4").tobytes() for x in encode(new)), strict=True))
+            if known and known[0] == last:
+                packed[last] = ids  # the run goes on from the batch before
+            yield pa.RecordBatch.from_arrays([batch.column("__block"), batch.column("__num"), pa.array([packed[w] for w in known], pa.binary()).take(words.indices)], ["__of", "__num", "__ids"])
+            if known:
+                last = known[words.indices[-1].as_py()]
+                ids = packed[last]
 
     return run
 
@@ -184,8 +215,15 @@ def _assemble(pieces, keys: list[str]):
         names = list(map(pieces.value.__getitem__, flat.tolist()))
         spelled = [" ".join(names[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
         counts, out_ids, decoded = [], [], []
-        for n, packed in zip(texts.column("__n").to_pylist(), texts.column("__nums").to_pylist(), strict=True):
-            nums = _unpack(packed, n).astype(np.int64)
+        group, place, sizes = (texts.column(c).to_numpy() for c in ("__group", "__place", "__n"))
+        line = np.lexsort((place, group))
+        texts, group, sizes = texts.take(pa.array(line)), group[line], sizes[line]
+        packed = texts.column("__nums").to_pylist()
+        total = np.bincount(group, sizes).astype(np.int64)
+        for k, n in enumerate(sizes.tolist()):
+            if packed[k] is not None:  # the first of a group
+                numbers, at = _unpack(packed[k], int(total[group[k]])).astype(np.int64), 0
+            nums, at = numbers[at : at + n], at + n
             tokens = _ragged(flat, first, nums)
             counts.append(len(tokens))
             out_ids.append(tokens.astype("<u4").tobytes())
@@ -204,7 +242,7 @@ def bpe_encode_decode(df: DataFrame, tokenizer_path: str, text_col: str = "text"
 
     Defined edge cases: a null or empty text has no ids; repeated rows are encoded each; an empty table
     gives an empty result; all other columns are returned and may not be named like the new ones."""
-    new = {"n_tokens", "ids", "decoded", "__block", "__num", "__word", "__n", "__nums", "__text", "__ids"}
+    new = {"n_tokens", "ids", "decoded", "__block", "__num", "__word", "__group", "__place", "__n", "__nums", "__text", "__ids"}
     if clash := new & set(df.columns):
         raise ValueError(f"columns exist: {sorted(clash)}")
     spark = df.sparkSession
@@ -213,25 +251,17 @@ def bpe_encode_decode(df: DataFrame, tokenizer_path: str, text_col: str = "text"
     schema = T.StructType([
         *(T.StructField(f.name, f.dataType, True) for f in kept.schema.fields[:-1]),
         T.StructField("__block", T.LongType()), T.StructField("__num", T.IntegerType()), T.StructField("__word", T.StringType()),
-        T.StructField("__n", T.IntegerType()), T.StructField("__nums", T.BinaryType()),
+        T.StructField("__group", T.IntegerType()), T.StructField("__place", T.IntegerType()), T.StructField("__n", T.IntegerType()), T.StructField("__nums", T.BinaryType()),
     ])
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    split = stage(kept.mapInArrow(_split(tokenizer_path, keys, to_arrow_schema(schema)), schema))
-
-    @F.pandas_udf("binary")
-    def encoded(words):
-        global _ENCODER
-        if _ENCODER[0] != tokenizer_path:
-            _ENCODER = (tokenizer_path, word_encoder(tokenizer_path))
-        import pandas as pd
+    # dealt by block as it is written: a block's texts are joined with its words without another shuffle
+    split = stage(kept.mapInArrow(_split(tokenizer_path, keys, to_arrow_schema(schema)), schema), by="__block")
 
-        return pd.Series([np.asarray(x, dtype="<u4").tobytes() for x in _ENCODER[1](words.tolist())])
-
-    lists = split.where("__num is not null").select("__block", "__num", "__word").repartition("__word")
-    table = lists.select("__word").distinct().withColumn("__ids", encoded("__word"))
-    words = lists.join(table, "__word").select(F.col("__block").alias("__of"), "__num", "__ids")
-    texts = split.where("__nums is not null").drop("__num", "__word")
+    # one shuffle by word; the rows of a word are then neighbours, and it is encoded once for all of them
+    lists = split.where("__num is not null").select("__block", "__num", "__word")
+    words = lists.repartition("__word").sortWithinPartitions("__word").mapInArrow(_encode_runs(tokenizer_path), "__of long, __num int, __ids binary")
+    texts = split.where("__group is not null").drop("__num", "__word")
     pieces = pieces_table(spark, tokenizer_path).toArrow().sort_by("id")
     names = [""] * (pieces.column("id")[-1].as_py() + 1)
     for i, p in zip(pieces.column("id").to_pylist(), pieces.column("piece").to_pylist(), strict=True):
@@ -240,9 +270,6 @@ def bpe_encode_decode(df: DataFrame, tokenizer_path: str, text_col: str = "text"
     return texts.groupBy("__block").cogroup(words.groupBy("__of")).applyInArrow(_assemble(spark.sparkContext.broadcast(names), keys), out)
 
 
-_ENCODER: tuple = (None, None)
-
-
 def unpack_ids(ids) -> F.Column:
     """Packed ids as an array of int."""
     h = F.hex(ids)

@@ -25,13 +25,21 @@ def stage_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stage(df: DataFrame) -> DataFrame:
+def stage(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back: cuts the lineage, and
-    survives the loss of any executor."""
+    survives the loss of any executor. With ``by`` it is written in hash buckets of that column, so that
+    joins and groups by it need no shuffle."""
     spark = df.sparkSession
-    path = f"{stage_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    name = f"stage_{uuid.uuid4().hex}"
+    path = f"{stage_dir(spark)}/{name}"
+    writer = df.write.option("compression", "zstd")
+    if by is None:
+        writer.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    writer.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only; the files stay, and the plan knows them
+    return out
 
 
 # --- word hashing --------------------------------------------------------------------------
