@@ -208,27 +208,28 @@ def _ragged(flat: np.ndarray, first: np.ndarray, picks: np.ndarray) -> np.ndarra
 
 def _assemble(pieces, keys: list[str]):
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        order = np.argsort(words.column("__num").to_numpy())
-        ids = [words.column("__ids")[i].as_py() for i in order.tolist()] if words.num_rows else []
-        first = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)]).astype(np.int64)
-        flat = np.frombuffer(b"".join(ids), dtype="<u4")
-        names = list(map(pieces.value.__getitem__, flat.tolist()))
-        spelled = [" ".join(names[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-        counts, out_ids, decoded = [], [], []
-        group, place, sizes = (texts.column(c).to_numpy() for c in ("__group", "__place", "__n"))
-        line = np.lexsort((place, group))
-        texts, group, sizes = texts.take(pa.array(line)), group[line], sizes[line]
-        packed = texts.column("__nums").to_pylist()
-        total = np.bincount(group, sizes).astype(np.int64)
-        for k, n in enumerate(sizes.tolist()):
-            if packed[k] is not None:  # the first of a group
-                numbers, at = _unpack(packed[k], int(total[group[k]])).astype(np.int64), 0
-            nums, at = numbers[at : at + n], at + n
-            tokens = _ragged(flat, first, nums)
-            counts.append(len(tokens))
-            out_ids.append(tokens.astype("<u4").tobytes())
-            decoded.append(" ".join(map(spelled.__getitem__, nums.tolist())))
-        return texts.select(keys).append_column("n_tokens", pa.array(counts, pa.int64())).append_column("ids", pa.array(out_ids, pa.binary())).append_column("decoded", pa.array(decoded, pa.string()))
+        ids = words.select(["__num", "__ids"]).sort_by("__num").column("__ids").combine_chunks().cast(pa.large_binary())
+        first = np.frombuffer(ids.buffers()[1], dtype=np.int64)[ids.offset : ids.offset + len(ids) + 1] // 4 if len(ids) else np.zeros(1, dtype=np.int64)
+        flat = np.frombuffer(ids.buffers()[2], dtype="<u4") if len(ids) and ids.buffers()[2] else np.zeros(0, dtype="<u4")
+        names = pieces.value
+        spelled = [" ".join([names[i] for i in flat[a:b].tolist()]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        texts = texts.sort_by([("__group", "ascending"), ("__place", "ascending")])
+        group, sizes = texts.column("__group").to_numpy(), texts.column("__n").to_numpy()
+        heads = np.flatnonzero(texts.column("__place").to_numpy() == 0).tolist()
+        columns = [[], [], []]
+        for at, to in zip(heads, [*heads[1:], len(group)], strict=True):  # a group of texts at a time, straight into Arrow
+            ends = np.concatenate([[0], np.cumsum(sizes[at:to], dtype=np.int64)]).tolist()
+            numbers = _unpack(texts.column("__nums")[at].as_py(), ends[-1]).astype(np.int64)
+            runs = [numbers[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            tokens = [_ragged(flat, first, r).astype("<u4").tobytes() for r in runs]
+            columns[0].append(pa.array([len(t) // 4 for t in tokens], pa.int64()))
+            columns[1].append(pa.array(tokens, pa.binary()))
+            columns[2].append(pa.array([" ".join([spelled[i] for i in r.tolist()]) for r in runs], pa.string()))
+        out = texts.select(keys)
+        for name, chunks in zip(("n_tokens", "ids", "decoded"), columns, strict=True):
+            out = out.append_column(name, pa.chunked_array(chunks))
+        pa.default_memory_pool().release_unused()
+        return out
 
     return run
 
