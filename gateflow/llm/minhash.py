@@ -11,8 +11,9 @@ What follows does without pairs inside a group:
 2. Star pass: in each band bucket every member is paired with the bucket's least member only.
 3. Confirmed links make components. A bucket whose members are all in one component is settled.
    In the others, members outside the bucket's largest component are compared with all of the bucket, in
-   blocks of documents by their signatures; only pairs of different components whose
-   estimated similarity is near the threshold leave a block (4 standard deviations of slack).
+   blocks of documents: first by their signatures (4 standard deviations of slack), then by their sets
+   of 32-bit shingle hashes. Only pairs of different components that are links by those (one percent
+   of slack) leave a block, so a group of documents that are alike but not linked gives no rows.
 
 Every link is confirmed on the full shingle sets of both texts. A link between documents already
 in one component cannot change the result and is not looked for.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import components, mix64, seeds, stage, windows_hash, word_chunks
 
 PERMUTATIONS, BANDS, BAND_PERMS = 72, 24, 3
-LEFT_BLOCK, RIGHT_BLOCK = 256, 2048
+LEFT_BLOCK, RIGHT_BLOCK = 128, 512
 SIGMA = 4.0
 
 
@@ -129,8 +130,19 @@ def _confirm(width: int, percent: int):
     return run
 
 
+def _short_sets(width: int):
+    """(doc_id, set): 32 bits of each shingle hash, sorted."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(s.astype(np.uint32)).tobytes() for s in shingle_sets(batch.column("text"), width)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "set"])
+
+    return run
+
+
 def _in_block(percent: int):
-    """Pairs of one block of left and right members of a bucket, from different components."""
+    """Links between one block of left and one of right members of a bucket, from different components."""
 
     def run(table: pa.Table) -> pa.Table:
         left = table.filter(table.column("left"))
@@ -141,11 +153,19 @@ def _in_block(percent: int):
         sig = lambda t: np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint16).reshape(t.num_rows, -1)
         col = lambda t, c: t.column(c).to_numpy()
         x, y = sig(left), sig(right)
+        sets = lambda t: [np.frombuffer(v, dtype=np.uint32) for v in t.column("set").to_pylist()]
+        left_sets, right_sets = sets(left), sets(right)
+
+        def alike(i: int, j: int) -> bool:
+            k = len(np.intersect1d(left_sets[i], right_sets[j], assume_unique=True))
+            return 100 * k >= (percent - 1) * (len(left_sets[i]) + len(right_sets[j]) - k)
+
         a, b = [], []
         for i in range(left.num_rows):
             n, m = col(left, "n")[i], col(right, "n")
             ok = (col(right, "comp") != col(left, "comp")[i]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
             ok[ok] = _estimated(x[i], y[ok]) >= _slack(percent)
+            ok[ok] = [alike(i, j) for j in np.flatnonzero(ok)]
             b.append(col(right, "doc_id")[ok])
             a.append(np.full(len(b[-1]), col(left, "doc_id")[i]))
         a, b = np.concatenate(a), np.concatenate(b)
@@ -187,10 +207,13 @@ def minhash_near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "bucket", F.col("m.comp").alias("main"), F.ceil((F.col("size") - F.col("m.c")) / LEFT_BLOCK).cast("int").alias("lefts"), F.ceil(F.col("size") / RIGHT_BLOCK).cast("int").alias("rights")
     )
     rest = stage(held.join(open_, "bucket"))
-    rest = rest.join(sigs, "doc_id")
+    # a semi-join of the ids' own rows: each needed text is read once, however many buckets it is in
+    needed = docs.join(rest.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = stage(needed.mapInArrow(_short_sets(width), "doc_id long, set binary"))
+    rest = rest.join(sigs.join(sets, "doc_id"), "doc_id")
     block = lambda n, of: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(of)
     place = lambda n: F.pmod(F.xxhash64("doc_id", "bucket"), F.col(n)).cast("int")
-    cols = ["doc_id", "n", "comp", "bucket", "sig"]
+    cols = ["doc_id", "n", "comp", "bucket", "sig", "set"]
     left = rest.where("comp <> main").select(*cols, F.lit(True).alias("left"), place("lefts").alias("i"), block("rights", "j"))
     right = rest.select(*cols, F.lit(False).alias("left"), place("rights").alias("j"), block("lefts", "i")).select(*left.columns)
     more = left.unionAll(right).groupBy("bucket", "i", "j").applyInArrow(_in_block(percent), "a long, b long").distinct()
