@@ -28,7 +28,7 @@ from .common import Words, text_chunks, windows_hash
 
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 #: Bytes of text in a block, about.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def _cover() -> np.ndarray:
@@ -109,19 +109,14 @@ def _send_windows(length: int, window: int):
 
 def _remove(length: int, window: int):
     def run(texts: pa.Table, known: pa.Table) -> pa.Table:
-        pairs = np.zeros(known.num_rows, dtype=_PAIR)
-        pairs["x"], pairs["y"] = known.column("x").to_numpy(), known.column("y").to_numpy()
-        pairs = np.sort(pairs)
+        known = np.sort(known.column("x").to_numpy())
         n_words, n_removed, kept = [], [], []
         for _, d, o in text_chunks(texts.column("text")):
             words = Words(d, o, False)
             gone = np.zeros(len(words.hashes) + 1, dtype=np.int32)
-            if len(pairs) and len(words.hashes) >= window:
+            if len(known) and len(words.hashes) >= window:
                 h = windows_hash(words.hashes, window, 4).view(np.int64)
-                maybe = np.flatnonzero(np.isin(h, pairs["x"]) & (_places(words)[1][: len(h)] >= window))
-                own = _pair_hash(words, maybe, window)
-                slot = np.minimum(np.searchsorted(pairs, own), len(pairs) - 1)
-                starts = maybe[pairs[slot] == own]
+                starts = np.flatnonzero(np.isin(h, known) & (_places(words)[1][: len(h)] >= window))
                 np.add.at(gone, starts, 1)
                 np.add.at(gone, starts + window, -1)
             gone = np.cumsum(gone[:-1]) > 0
@@ -168,7 +163,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     anchors = texts.groupBy("block").applyInArrow(_send_anchors(length), "h long, block long, n long")
     seen = _repeated(anchors, ["h"])
     windows = texts.groupBy("block").cogroup(seen.groupBy("block")).applyInArrow(_send_windows(length, window), "x long, y long, block long, n long")
-    twice = _repeated(windows, ["x", "y"])
+    twice = _repeated(windows, ["x", "y"]).select("x", "block")  # half of the hash is enough inside a block
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != text_col)
     return texts.groupBy("block").cogroup(twice.groupBy("block")).applyInArrow(_remove(length, window), f"{fields}, n_words long, n_removed long, kept_text string")
 
