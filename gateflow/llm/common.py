@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task hashes at a time; bounds its scratch arrays.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 SPACES = (0x20, *range(0x09, 0x0E))
 
 
