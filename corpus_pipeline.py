@@ -37,14 +37,18 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mix: every prefix of it has the sources in target shares."""
+    """All documents, in the order of the mix: every prefix of it has the sources in target shares. The last
+    stage gives each row its ``mix_position``."""
     return mixing.in_mix_order(mixing.mix_sources(docs)).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (packed little-endian unsigned 32-bit) of every text, with a digest of what they decode to."""
-    out = bpe.bpe_encode_decode(docs.select("doc_id", "source", "text"), tokenizer_path())
-    return out.select("doc_id", "source", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    """Token ids (packed little-endian unsigned 32-bit) of every text, with a digest of what they decode to, and
+    its place in the mix: texts are dealt to blocks here, so the order of the rows does not hold it. No row
+    is lost since the mix, so computing it again gives the same places (rows of equal or no ids may swap theirs)."""
+    mixed = mixing.mix_sources(docs.select("doc_id", "source", "text"))
+    out = bpe.bpe_encode_decode(mixed, tokenizer_path())
+    return out.select("doc_id", "source", "mix_block", "mix_slot", "mix_position", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES = [("language", language), ("near_copies", near_copies), ("passages", passages), ("mix", mix), ("tokens", tokens)]

@@ -438,3 +438,21 @@ def test_pipeline_stages(spark, tmp_path):
     for r in out.collect():
         assert list(struct.unpack(f"<{r.n_tokens}I", r.ids)) == lib.encode(text[r.doc_id] or "", add_special_tokens=False).ids
     assert corpus_pipeline.run(spark, SF).count() == len(ids)
+
+
+def test_pipeline_keeps_the_mix(spark, tmp_path):
+    """The places of the mix reach the result: its prefixes hold the target shares."""
+    import corpus_pipeline
+
+    sizes = {"a": 400, "b": 100, "c": 25}
+    docs = spark.createDataFrame([(k * 3 + j, f"text {k} of {s}", s) for j, (s, n) in enumerate(sizes.items()) for k in range(n)], "doc_id long, text string, source string")
+    got = corpus_pipeline.tokens(spark, docs, SF).orderBy("mix_position").collect()
+    assert [r.mix_position for r in got] == list(range(525))
+    assert [r.mix_slot for r in got] == sorted(r.mix_slot for r in got)
+    total, taken = sum(n**0.5 for n in sizes.values()), Counter()
+    ends = min(max(r.mix_position for r in got if r.source == s) for s in sizes)
+    for k, r in enumerate(got[: ends + 1]):
+        taken[r.source] += 1
+        assert all(abs(taken[s] - (k + 1) * n**0.5 / total) < 2 * 16 for s, n in sizes.items())
+    want = {(r.doc_id, r.mix_position) for r in mixing.mix_sources(docs.select("doc_id", "source")).collect()}
+    assert {(r.doc_id, r.mix_position) for r in got} == want
