@@ -19,9 +19,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the least id."""
-    kept = minhash.minhash_near_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group of near copies: that with the least id.
+
+    Rows without an id link with nothing and all stay, as in the operator. Rows that repeat an id are documents
+    of their own: numbered in the order of id and text, and of a group the least number stays."""
+    rows, with_id = docs.agg(F.count("*"), F.count("doc_id")).first()
+    named = docs.where("doc_id is not null") if with_id < rows else docs
+    key = "doc_id"
+    if not named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        # ranges of (id, text, place), and numbers that go up with them: a much repeated row is spread by its place
+        key, order = "__row", ("doc_id", "__text", "__in")
+        placed = named.withColumns({"__text": F.xxhash64("text"), "__in": F.monotonically_increasing_id()})
+        ranged = placed.repartitionByRange(*order).sortWithinPartitions(*order).drop("__text", "__in")
+        named = stage(ranged.withColumn(key, F.monotonically_increasing_id()))
+    kept = minhash.minhash_near_dedup(named, id_col=key).where("kept").select(F.col("doc_id").alias(key))
+    out = named.join(kept, key, "left_semi").select(*docs.columns)
+    return out.unionByName(docs.where("doc_id is null")) if with_id < rows else out
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -456,3 +456,28 @@ def test_pipeline_keeps_the_mix(spark, tmp_path):
         assert all(abs(taken[s] - (k + 1) * n**0.5 / total) < 2 * 16 for s, n in sizes.items())
     want = {(r.doc_id, r.mix_position) for r in mixing.mix_sources(docs.select("doc_id", "source")).collect()}
     assert {(r.doc_id, r.mix_position) for r in got} == want
+
+
+def test_pipeline_null_and_repeated_ids(spark, tmp_path):
+    """A repeated row stays once and whole, rows of one id with different texts stay both, rows without id stay."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r.text for r in corpus_pipeline.language(spark, docs, SF).where("lang = 'en'").collect()}
+    every = {r.doc_id: shingles(r.text, 5) for r in docs.collect()}
+    alone = [i for i, t in sorted(texts.items()) if 60 <= len(words(t)) <= 2000 and not plain_removal([t], 50)[0][1] and not any(every[i] & s for j, s in every.items() if j != i)]
+    once, twice, other, nameless = alone[:4]
+    more = docs.where(F.col("doc_id") == once).unionAll(docs.where(F.col("doc_id") == once))
+    renamed = docs.withColumn("doc_id", F.when(F.col("doc_id") == other, twice).when(F.col("doc_id") != nameless, F.col("doc_id")))
+    renamed.unionAll(more).write.parquet(str(tmp_path / "documents.parquet"))
+    got = defaultdict(list)
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got[r.doc_id].append(r)
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(queries.tokenizer_path())
+    for i, want in ((once, [once]), (twice, [twice, other]), (None, [nameless])):
+        ids = [list(struct.unpack(f"<{r.n_tokens}I", r.ids)) for r in got[i]]
+        assert sorted(ids) == sorted(lib.encode(texts[k], add_special_tokens=False).ids for k in want)
+    places = sorted(r.mix_position for rows in got.values() for r in rows)
+    assert places == list(range(len(places)))
