@@ -5,16 +5,26 @@ floor(k / w) and due by slot ceil((k + 1) / w); taking in every slot the release
 earliest deadline gives an order in which every source is less than one block away from its share
 at every moment (Baruah et al., 1996). Weights are rounded to m of Q slots, so the schedule repeats
 after Q slots, and only that one period of Q slots is made, by a fold in a SQL expression: its size
-depends on the weights' resolution, not on the rows.
+depends on the weights' resolution, not on the rows. With many sources the period is made by heaps on the driver,
+and places are counted over a table of blocks instead of over the sources.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage
+
+#: Slots of a period: at least so many, and so many for each source. As each source has a slot to begin with, the
+#: rounded weights are within 1 / PER_SOURCE of the schedule of the targets.
+QUANTUM, PER_SOURCE = 1000, 50
+
 
 def target_slots(counts: DataFrame, alpha: float, quantum: int) -> DataFrame:
     """(source, n, m): m of ``quantum`` slots for each source, weights being n ** ``alpha``; at least
@@ -48,7 +58,42 @@ def period(slots: DataFrame, quantum: int) -> DataFrame:
     return picks.selectExpr("slot", "s[p.i].source as source", "p.ahead[p.i] as k", "p.ahead as ahead")
 
 
-def mix_sources(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", alpha: float = 0.5, block_rows: int = 16, quantum: int = 1000, group_rows: int = 3000, max_broadcast: int = 1_000_000) -> DataFrame:
+def long_period(slots: DataFrame, quantum: int) -> DataFrame:
+    """(source, k, slot) as in :func:`period`, by heaps on the driver: a few numbers for each slot."""
+    table = sorted((r.source, r.m) for r in slots.select("source", "m").collect())
+    m, k = [x for _, x in table], [0] * len(table)
+    waiting, ready, picks = [(0, i) for i in range(len(m))], [], np.zeros((3, quantum), dtype=np.int32)
+    n = 0
+    for t in range(quantum):
+        while waiting and waiting[0][0] <= t:
+            i = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(k[i] + 1) * quantum // m[i]), i))
+        if ready:
+            i = heapq.heappop(ready)[1]
+            picks[:, n] = i, k[i], t
+            n += 1
+            k[i] += 1
+            if k[i] < m[i]:
+                heapq.heappush(waiting, (k[i] * quantum // m[i], i))
+    names = pa.array([s for s, _ in table], pa.string()).take(pa.array(picks[0, :n]))
+    out = pa.table({"source": names, "k": pa.array(picks[1, :n]), "slot": pa.array(picks[2, :n])})
+    return stage(slots.sparkSession.createDataFrame(out))
+
+
+def block_places(slots: DataFrame, plan: DataFrame, quantum: int, block_rows: int, span: int = 4096) -> DataFrame:
+    """(source, mix_block, mix_slot, start): the slot of each block and the rows before it. ``slots`` (source, n, m)
+    has the sources, ``plan`` (source, k, slot) the period. Rows are summed up to each ``span`` of slots, then inside."""
+    far = slots.withColumn("blocks", F.expr(f"(n + {block_rows - 1}) div {block_rows}")).selectExpr("*", f"explode(sequence(0L, (blocks - 1) div {span})) as far")
+    blocks = far.repartition("source", "far").selectExpr("*", f"explode(sequence(far * {span}, least(blocks, (far + 1) * {span}) - 1)) as mix_block").withColumn("k", F.expr("cast(mix_block % m as int)"))
+    blocks = blocks.join(plan, ["source", "k"]).selectExpr("source", "mix_block", f"(mix_block div m) * {quantum} + slot as mix_slot", f"least({block_rows}L, n - mix_block * {block_rows}) as c")
+    blocks = stage(blocks.withColumn("part", F.expr(f"mix_slot div {span}")))
+    below = "rows between unbounded preceding and 1 preceding), 0)"
+    before = blocks.groupBy("part").agg(F.sum("c").alias("c")).select("part", F.expr(f"coalesce(sum(c) over (order by part {below}").alias("before"))
+    start = F.expr(f"coalesce(sum(c) over (partition by part order by mix_slot {below}")
+    return blocks.withColumn("inside", start).join(before, "part").select("source", "mix_block", "mix_slot", (F.col("before") + F.col("inside")).alias("start"))
+
+
+def mix_sources(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", alpha: float = 0.5, block_rows: int = 16, quantum: int | None = None, group_rows: int = 3000, max_broadcast: int = 1_000_000) -> DataFrame:
     """Add ``mix_block`` (block of its source), ``mix_slot`` (place of the block in the schedule) and
     ``mix_position`` (gapless place of the row in the whole mix), with target weights proportional to
     (rows of the source) ** ``alpha``.
@@ -59,11 +104,15 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", source_col: str = "source
     source with a third of all rows is never in one task: rows are counted by (source, first digits
     of the MD5), at most about ``group_rows`` rows a group, and a row's number is the count of the groups
     before its own plus its rank there. The schedule (``quantum`` x sources numbers) is broadcast up to
-    ``max_broadcast`` numbers and joined by a shuffle beyond that.
+    ``max_broadcast`` numbers; beyond that rows are joined with their blocks by a shuffle.
+
+    ``quantum`` is the number of slots of the schedule's period; by default 1000, or 50 a source where that is more.
+    Each source has one slot at least, which bends the targets by up to sources / quantum of the schedule (a
+    fiftieth by default).
 
     Defined edge cases: a null source is a source of its own; a null id counts as an empty one; rows
     with equal ids are ordered arbitrarily between themselves; an empty table gives an empty result;
-    there may be at most ``quantum`` sources; all columns are returned, and must not be named like the
+    a ``quantum`` that is given must be at least the number of sources; all columns are returned, and must not be named like the
     new ones."""
     new = ["mix_block", "mix_slot", "mix_position"]
     if clash := set(new) & set(df.columns):
@@ -73,6 +122,7 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", source_col: str = "source
     rows = df.withColumns({"__source": name, "__md5": F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))})
     counts = rows.groupBy(F.col("__source").alias("source")).agg(F.count("*").alias("n"))
     n, n_sources = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    quantum = max(QUANTUM, PER_SOURCE * n_sources) if quantum is None else quantum
     if n_sources > quantum:
         raise ValueError(f"{n_sources} sources; quantum is {quantum}")
     digits = max(2, math.ceil(math.log(max(1, n / group_rows), 16)))
@@ -90,10 +140,14 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", source_col: str = "source
     rows = rows.withColumn("__rank", rank).join(groups, ["__source", "__group"])
     rows = rows.withColumn("__at", F.col("__before") + F.col("__rank"))
     rows = rows.withColumn("mix_block", F.expr(f"cast(__at div {block_rows} as long)")).withColumn("__k", F.expr("cast(mix_block % __own as int)"))
+    if quantum * n_sources > max_broadcast:
+        slots = stage(slots)  # its windows are not made again for each use
+        places = block_places(slots, long_period(slots, quantum), quantum, block_rows).withColumnRenamed("source", "__source")
+        return rows.join(places, ["__source", "mix_block"]).withColumn("mix_position", F.expr(f"start + __at % {block_rows}")).select(*df.columns, *new)
     table = slots.agg(F.expr("sort_array(collect_list(struct(source, m, n)))").alias("s"), F.lit(1).alias("one"))
     plan = period(slots.select("source", "m"), quantum).withColumn("one", F.lit(1)).join(table, "one")
     plan = plan.selectExpr("source as __source", "k as __k", "slot as __slot", "ahead as __ahead", "transform(s, x -> x.m) as __m", "transform(s, x -> x.n) as __n")
-    rows = rows.join(F.broadcast(plan) if quantum * n_sources <= max_broadcast else plan, ["__source", "__k"])
+    rows = rows.join(F.broadcast(plan), ["__source", "__k"])
     position = F.expr(f"aggregate(sequence(0, size(__m) - 1), 0L, (a, i) -> a + least(__n[i], {block_rows} * ((mix_block div __own) * __m[i] + __ahead[i]))) + __at % {block_rows}")
     return rows.withColumn("mix_slot", F.expr(f"(mix_block div __own) * {quantum} + __slot")).withColumn("mix_position", position).select(*df.columns, *new)
 

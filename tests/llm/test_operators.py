@@ -403,6 +403,29 @@ def test_mixing(spark):
     assert [r.mix_position for r in ordered] == list(range(len(rows)))
 
 
+def test_mixing_many_sources(spark):
+    """2000 sources, and no fewer slots than keep a large one at its share."""
+    sizes = {f"s{j}": 3 for j in range(1999)} | {"big": 40_000}
+    df = spark.range(sum(sizes.values())).selectExpr("id AS doc_id", "if(id < 40000, 'big', concat('s', (id - 40000) % 1999)) AS source")
+    got = mixing.mix_sources(df, block_rows=1).orderBy("mix_position").collect()
+    assert [r.mix_position for r in got] == list(range(sum(sizes.values()))) and Counter(r.source for r in got) == sizes
+    assert [r.mix_slot for r in got] == sorted({r.mix_slot for r in got})
+    share = 200 / (200 + 1999 * 3**0.5)
+    taken = 0
+    for r in got:
+        if r.mix_slot >= 3000:
+            break
+        taken += r.source == "big"
+        assert abs(taken - (r.mix_slot + 1) * share) < 1 + (r.mix_slot + 1) / mixing.PER_SOURCE
+    assert taken > 100
+
+
+def test_mixing_by_blocks_is_the_same(spark):
+    df = spark.range(900).selectExpr("id AS doc_id", "if(id < 700, 'a', if(id < 870, 'b', if(id < 895, null, ''))) AS source").repartition(3)
+    one, two = (mixing.mix_sources(df, quantum=50, block_rows=4, group_rows=10, max_broadcast=b).orderBy("doc_id").collect() for b in (10**6, 0))
+    assert one == two and len(one) == 900
+
+
 # --- the pipeline ------------------------------------------------------------------------------
 
 
