@@ -56,6 +56,15 @@ def _(v):
     return jn.match_embeddings(e.where("vec_id % 10 <> 0"), e.where("vec_id % 10 = 0")).select("vec_id", "match_id", F.round("cosine", 6).alias("cosine"))
 
 
+@query("jn16_match_embeddings_all", """
+WITH g AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
+SELECT p.vec_id, arg_max(g.vec_id, list_cosine_similarity(p.e, g.e)) AS match_id, round(max(list_cosine_similarity(p.e, g.e)), 6) AS cosine FROM g p JOIN g ON g.vec_id <> p.vec_id WHERE p.vec_id % 50 = 0 GROUP BY p.vec_id""")
+def _(v):
+    """Every 50th vector against all others."""
+    e = v("vectors")
+    return jn.match_embeddings(e.where("vec_id % 50 = 0"), e).select("vec_id", "match_id", F.round("cosine", 6).alias("cosine"))
+
+
 @query("jn18_upsert", "SELECT coalesce(o.id, d.id) AS id, CASE WHEN d.id % 2 = 0 THEN d.host ELSE o.host END AS host, o.name AS name FROM old_devices o FULL JOIN (SELECT * FROM devices WHERE id % 2 = 0) d ON d.id = o.id", ("old_devices", "devices"))
 def _(v):
     return jn.upsert(v("old_devices").select("id", "host", "name"), v("devices").where("id % 2 = 0"), ["id"], ["host"]).select("id", "host", "name")
