@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from ..functions.geometry import hsv_distance
 from .aggregates import avg_color, code_consensus, seal_vote
 from .joins import distinct_clusters, open_event_at
-from .windows import gap_clusters, motion_delta, recent_color
+from .lanes import cut, fold_rows, number, with_rows_before
+from .windows import gap_clusters, lane_clusters, motion_delta, recent_color
 
 # Gaps in ms, distances of colour and place.
 GAP, CROSS_GAP, COLOR_GAP, OPEN_WINDOW, MERGE_WINDOW = 3000, 5000, 1000, 15_000, 30_000
@@ -91,12 +92,7 @@ class Lane:
         return event.event_id
 
 
-_FOLD = ["det_id", "ts_ms", "source_id", "cx", "cy", "color_h", "color_s", "color_v", "class_id", "roi_name"]
-
-
-def _fold_rows(pdf):
-    for i, ts, source, cx, cy, h, s, v, cls, roi in pdf[_FOLD].itertuples(index=False):
-        yield int(i), int(ts), int(source), cx, cy, None if h is None or h != h else (h, s, v), int(cls), roi
+_FOLD = ("det_id", "ts_ms", "source_id", "cx", "cy", "color_h", "color_s", "color_v", "class_id", "roi_name")
 
 
 def _narrow(det: DataFrame, lane: str) -> DataFrame:
@@ -105,28 +101,37 @@ def _narrow(det: DataFrame, lane: str) -> DataFrame:
 
 
 def assign_events(det: DataFrame, lane: str = "site_id", close_rules: bool = True) -> DataFrame:
-    """(det_id, event_id) by the exact fold; an event is named after its first detection."""
-    import pandas as pd
+    """(det_id, event_id) by the exact fold; an event is named after its first detection.
+
+    After more than 15 s without a row no event of a lane can take another, so a lane is cut there and its pieces are
+    folded apart."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_ms", "det_id"])
-        state = Lane(close_rules)
-        return pd.DataFrame({"det_id": pdf["det_id"], "event_id": [state.assign(*r) for r in _fold_rows(pdf)]})
+    def step(state: Lane, _key, i, ts, source, cx, cy, h, s, v, cls, roi):
+        return [(i, state.assign(i, ts, source, cx, cy, None if h is None else (h, s, v), cls, roi))]
 
-    return _narrow(det, lane).groupBy("lane").applyInPandas(fold, "det_id long, event_id long")
+    pieces = cut(_narrow(det, lane), ("lane",), "ts_ms", OPEN_WINDOW)
+    return fold_rows(pieces, ("lane", "_piece"), ("ts_ms", "det_id"), _FOLD, "det_id long, event_id long", lambda: Lane(close_rules), step)
 
 
 def assign_events_fast(det: DataFrame, lane: str = "site_id") -> DataFrame:
     """(det_id, event_id): a new event where the gap, colour or jump rule holds against the rows before, or
-    after 15 s without any. Windows over the lane only."""
-    d = motion_delta(recent_color(det, (lane,)), (lane,))
-    w = W.partitionBy(lane).orderBy("ts_ms", "det_id")
-    limit = F.when(F.lag("source_id").over(w) != F.col("source_id"), CROSS_GAP).otherwise(GAP)
+    after 15 s without any. Windows over blocks of a lane's rows, each with the ten rows before it."""
+    need = [lane, *dict.fromkeys(("det_id", "ts_ms", "source_id", "bbox_left", "bbox_top", "bbox_width", "bbox_height", "color_h", "color_s", "color_v"))]
+    blocks = with_rows_before(number(det.select(*need), (lane,), "ts_ms", ("ts_ms", "det_id")), (lane,), 10)
+    at = (lane, "_block")
+    w = W.partitionBy(*at).orderBy("ts_ms", "det_id")
+    d = motion_delta(recent_color(blocks, at), at).withColumn("_before", F.lag("source_id").over(w)).where("not _copy")
+    limit = F.when(F.col("_before") != F.col("source_id"), CROSS_GAP).otherwise(GAP)
     differs = F.coalesce(hsv_distance(tuple(F.col(f"color_{c}") for c in "hsv"), tuple(F.col(f"recent_{c}") for c in "hsv")) > COLOR_SPLIT, F.lit(False))
     late, gap = F.col("gap_ms") > limit, F.col("gap_ms")
     new = gap.isNull() | (late & (differs | (F.col("jump") > JUMP))) | (differs & (gap > COLOR_GAP)) | (gap > OPEN_WINDOW)
-    d = d.withColumn("_first", F.when(new, F.col("det_id")))
-    return d.select("det_id", F.last("_first", ignorenulls=True).over(w).alias("event_id"))
+    d = d.select(lane, "_block", "_at", "det_id", F.when(new, F.struct("_at", "det_id")).alias("_first"))
+    # an event that goes on from an earlier block
+    begun = d.groupBy(lane, "_block").agg(F.max("_first").alias("_old"))
+    begun = begun.select(F.col(lane).alias("_lane"), F.col("_block").alias("_of"), F.max("_old").over(W.partitionBy(lane).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)).alias("_old"))
+    d = d.join(begun, F.col(lane).eqNullSafe(F.col("_lane")) & (F.col("_block") == F.col("_of")), "left")
+    first = F.coalesce(F.max("_first").over(W.partitionBy(*at).orderBy("_at")), F.col("_old"))
+    return d.select("det_id", first["det_id"].alias("event_id"))
 
 
 def close_times(det: DataFrame, tick_ms: int | None = None) -> DataFrame:
@@ -165,28 +170,23 @@ def merge_events(events: DataFrame, lane: str = "site_id") -> DataFrame:
 
     ``events`` has lane, event_id, start_ms, end_ms, n_colored and color_h, _s, _v (means). Each event, in order of
     its start, joins the one that ended last before it if the gap and the colours are close; that one's end and mean
-    colour then grow, which the next decision sees, so it is a fold over a lane's events."""
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, out = [], []
-        cols = ["event_id", "start_ms", "end_ms", "n_colored", "color_h", "color_s", "color_v"]
-        for i, start, end, n, h, s, v in pdf.sort_values(["start_ms", "event_id"])[cols].itertuples(index=False):
-            n = int(n)
-            sums = [n * c for c in (h, s, v)] if n >= 1 else [0.0] * 3
-            prev = max((e for e in kept if e["end"] < start), key=lambda e: (e["end"], e["id"]), default=None)
-            if prev and start - prev["end"] <= MERGE_WINDOW and n >= 2 and prev["n"] >= 2 and _distance([c / n for c in sums], [c / prev["n"] for c in prev["sums"]]) <= COLOR_MERGE:
-                prev["end"], prev["n"], prev["sums"] = max(prev["end"], end), prev["n"] + n, [a + b for a, b in zip(prev["sums"], sums, strict=True)]
-                out.append((i, prev["id"]))
-            else:
-                kept.append({"id": i, "end": end, "n": n, "sums": sums})
-                out.append((i, i))
-            # an event that ended too long ago can take no more, and neither can those of later starts see it
-            kept = [e for e in kept if start - e["end"] <= MERGE_WINDOW]
-        return pd.DataFrame(out, columns=["event_id", "merged_into"])
-
-    e = events.select(F.col(lane).cast("long").alias("lane"), "event_id", "start_ms", "end_ms", "n_colored", *(F.coalesce(F.col(f"color_{c}"), F.lit(0.0)).alias(f"color_{c}") for c in "hsv"))
-    return e.groupBy("lane").applyInPandas(fold, "event_id long, merged_into long")
+    colour then grow, which the next decision sees, so it is a fold. Where all events of a lane ended more than 30 s
+    before, nothing can be joined any more; lanes are cut there and their pieces are folded apart."""
+
+    def step(kept: list, _key, i, start, end, n, h, s, v):
+        # an event that ended too long ago can take no more, and neither can those of later starts see it
+        kept[:] = [e for e in kept if start - e["end"] <= MERGE_WINDOW]
+        sums = [n * c for c in (h, s, v)] if n >= 1 else [0.0] * 3
+        prev = max((e for e in kept if e["end"] < start), key=lambda e: (e["end"], e["id"]), default=None)
+        if prev and n >= 2 and prev["n"] >= 2 and _distance([c / n for c in sums], [c / prev["n"] for c in prev["sums"]]) <= COLOR_MERGE:
+            prev["end"], prev["n"], prev["sums"] = max(prev["end"], end), prev["n"] + n, [a + b for a, b in zip(prev["sums"], sums, strict=True)]
+            return [(i, prev["id"])]
+        kept.append({"id": i, "end": end, "n": n, "sums": sums})
+        return [(i, i)]
+
+    e = events.select(F.col(lane).cast("long").alias("lane"), "event_id", "start_ms", "end_ms", F.col("n_colored").cast("long").alias("n_colored"), *(F.coalesce(F.col(f"color_{c}"), F.lit(0.0)).alias(f"color_{c}") for c in "hsv"))
+    columns = ("event_id", "start_ms", "end_ms", "n_colored", "color_h", "color_s", "color_v")
+    return fold_rows(cut(e, ("lane",), "start_ms", MERGE_WINDOW, end="end_ms"), ("lane", "_piece"), ("start_ms", "event_id"), columns, "event_id long, merged_into long", list, step)
 
 
 def colors_of(det: DataFrame, lane: str = "site_id") -> DataFrame:
@@ -208,20 +208,19 @@ def finalize(det: DataFrame, lane: str = "site_id") -> DataFrame:
 
 
 def open_from_frames(frames: DataFrame, lane: str = "source_id", within_ms: int = 3000) -> DataFrame:
-    """Times at which a frame with an object opens an event, none having opened within 3 s."""
-    import pandas as pd
+    """Times at which a frame with an object opens an event, none having opened within 3 s. A frame that comes later
+    than that after the one before opens one in any case, so lanes are cut there."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        last, out = None, []
-        for ts in sorted(pdf["ts_ms"].tolist()):
-            if last is None or ts - last > within_ms:
-                last = ts
-                out.append(ts)
-        return pd.DataFrame({"lane": pdf["lane"].iloc[0], "start_ms": out})
+    def step(state: dict, key, ts):
+        if "last" in state and ts - state["last"] <= within_ms:
+            return []
+        state["last"] = ts
+        return [(key[0], ts)]
 
-    return frames.select(F.col(lane).cast("long").alias("lane"), "ts_ms").distinct().groupBy("lane").applyInPandas(fold, "lane long, start_ms long")
+    f = frames.select(F.col(lane).cast("long").alias("lane"), "ts_ms").distinct()
+    return fold_rows(cut(f, ("lane",), "ts_ms", within_ms), ("lane", "_piece"), ("ts_ms",), ("ts_ms",), "lane long, start_ms long", dict, step)
 
 
 def seal_verdict_per_pass(det: DataFrame, lane: str = "site_id") -> DataFrame:
     """Verdict of each pass: clusters of a lane's detections by time, at least three rows, then the vote."""
-    return seal_vote(gap_clusters(det, (lane,), several=False), (lane, "cluster"))
+    return seal_vote(lane_clusters(det, lane, several=False), (lane, "cluster"))

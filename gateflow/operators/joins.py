@@ -65,15 +65,15 @@ def resolve_preset(devices: DataFrame, presets: DataFrame) -> DataFrame:
 def prev_event(events: DataFrame, lane: str = "site_id", within_ms: int = 30_000) -> DataFrame:
     """Of each event the closed event of its lane that ended last before it starts, within the window.
 
-    Starts and ends of a lane are one sorted sequence; the last end before a start is found by a window,
-    ties of an end and a start at one time do not count as before."""
-    ends = events.where("end_ms is not null").select(lane, F.col("end_ms").alias("t"), F.lit(1).alias("kind"), F.col("event_id").alias("end_event"), F.lit(None).cast("long").alias("event_id"))
-    starts = events.select(lane, F.col("start_ms").alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("end_event"), "event_id")
-    w = W.partitionBy(lane).orderBy("t", "kind", "end_event").rowsBetween(W.unboundedPreceding, W.currentRow)
-    last = F.last(F.when(F.col("kind") == 1, F.struct("end_event", "t")), ignorenulls=True).over(w)
-    rows = ends.unionByName(starts).withColumn("p", last).where("kind = 0")
-    near = F.col("t") - F.col("p.t") <= within_ms
-    return rows.select("event_id", F.when(near, F.col("p.end_event")).alias("prev_event_id"), F.when(near, F.col("t") - F.col("p.t")).alias("gap_ms"))
+    Time buckets of the window's width are the join key: an end goes to its bucket and the next. An end at the time of
+    the start does not count as before."""
+    bucket = lambda c: F.floor(F.col(c) / within_ms)
+    ends = events.where("end_ms is not null").select(F.col(lane).alias("_lane"), F.struct(F.col("end_ms").alias("t"), F.col("event_id").alias("id")).alias("p"), F.explode(F.array(bucket("end_ms"), bucket("end_ms") + 1)).alias("_in"))
+    starts = events.select("event_id", lane, "start_ms", bucket("start_ms").alias("_bucket"))
+    near = (F.col("p.t") < F.col("start_ms")) & (F.col("start_ms") - F.col("p.t") <= within_ms)
+    hits = starts.join(ends, (F.col(lane) == F.col("_lane")) & (F.col("_bucket") == F.col("_in")) & near, "left")
+    best = hits.groupBy("event_id", "start_ms").agg(F.max("p").alias("p"))
+    return best.select("event_id", F.col("p.id").alias("prev_event_id"), (F.col("start_ms") - F.col("p.t")).alias("gap_ms"))
 
 
 def open_event_at(q: DataFrame, events: DataFrame, within_ms: int = 15_000, lane: str = "site_id") -> DataFrame:

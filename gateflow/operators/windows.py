@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lanes import SPAN_MS, before_span, cut, fold_rows
+
 ORDER = ("ts_ms", "det_id")
 
 
@@ -24,6 +26,25 @@ def gap_clusters(det: DataFrame, keys: tuple[str, ...] = ("event_id",), gap_ms:
     return c.withColumns({"_lo": F.min("cluster").over(every), "_hi": F.max("cluster").over(every)}).where("_lo < _hi").drop("_lo", "_hi")
 
 
+def lane_clusters(det: DataFrame, lane: str = "site_id", gap_ms: int = 3000, cross_ms: int = 5000, least: int = 3, several: bool = True, span_ms: int = SPAN_MS) -> DataFrame:
+    """:func:`gap_clusters` for keys with many rows each: windows over time spans of a lane, joined by what was last before."""
+    at = (lane, "_span")
+    d = det.withColumn("_span", F.floor(F.col("ts_ms") / span_ms))
+    row = F.struct(*ORDER, "source_id")
+    d = before_span(d, (lane,), {"_old": F.max(row)}, {"_old": F.max})
+    w = W.partitionBy(*at).orderBy(*ORDER)
+    d = d.withColumn("_prev", F.coalesce(F.lag(row).over(w), F.col("_old")))
+    limit = F.when(F.col("_prev.source_id") != F.col("source_id"), cross_ms).otherwise(gap_ms)
+    d = d.withColumn("_new", F.coalesce((F.col("ts_ms") - F.col("_prev.ts_ms") > limit).cast("int"), F.lit(0))).drop("_old", "_prev")
+    d = before_span(d, (lane,), {"_cuts": F.sum("_new")}, {"_cuts": F.sum})
+    c = d.withColumn("cluster", F.sum("_new").over(w) + F.coalesce("_cuts", F.lit(0))).drop("_new", "_cuts", "_span")
+    c = c.withColumn("_n", F.count("*").over(W.partitionBy(lane, "cluster"))).where(F.col("_n") >= least).drop("_n")
+    if not several:
+        return c
+    ends = c.groupBy(F.col(lane).alias("_lane")).agg(F.min("cluster").alias("_lo"), F.max("cluster").alias("_hi")).where("_lo < _hi")
+    return c.join(ends, F.col(lane).eqNullSafe(F.col("_lane")), "left_semi")
+
+
 def latest(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
     """The last row of each key."""
     rest = [c for c in df.columns if c not in keys]
@@ -108,17 +129,16 @@ class WatchdogCounter:
 
 
 def fps_watchdog(fps: DataFrame, cycle_s: int = 10, **limits) -> DataFrame:
-    """Restart requests with expiring counters, as a fold over each device's cycles."""
-    import pandas as pd
+    """Restart requests with expiring counters. A good cycle clears them, so bad cycles are folded run by run."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        counter, out = WatchdogCounter(**limits), []
-        for device, cycle, v in pdf.sort_values("cycle")[["device_id", "cycle", "fps"]].itertuples(index=False):
-            if hit := counter.see(int(cycle) * cycle_s, int(v)):
-                out.append((device, cycle, hit))
-        return pd.DataFrame(out, columns=["device_id", "cycle", "reason"])
+    def step(counter: WatchdogCounter, key, cycle, v):
+        hit = counter.see(cycle * cycle_s, v)
+        return [(key[0], cycle, hit)] if hit else []
 
-    return fps.select("device_id", "cycle", "fps").groupBy("device_id").applyInPandas(fold, "device_id long, cycle long, reason string")
+    good = F.col("fps") >= WatchdogCounter(**limits).floor
+    runs = fps.select(F.col("device_id").cast("long").alias("device_id"), F.col("cycle").cast("long").alias("cycle"), "fps")
+    runs = runs.withColumn("_run", F.sum(good.cast("long")).over(W.partitionBy("device_id").orderBy("cycle"))).where(~good)
+    return fold_rows(runs, ("device_id", "_run"), ("cycle",), ("cycle", "fps"), "device_id long, cycle long, reason string", lambda: WatchdogCounter(**limits), step)
 
 
 def level_bounds(levels: DataFrame) -> DataFrame:
@@ -159,23 +179,20 @@ def line_crossings(tracks: DataFrame, lines: DataFrame) -> DataFrame:
 def throttle(df: DataFrame, keys: tuple[str, ...], interval_ms: int, per_frame: int | None = None) -> DataFrame:
     """Rows that a limiter lets through: of each key one per interval, counted from the last that went through.
 
-    The rows of a key are folded in order; only keys, times and ids go to Python."""
-    import pandas as pd
-
+    A row that comes an interval or more after the one before goes through in any case, so keys are cut there and their
+    pieces are folded; only keys, times and ids go to Python."""
     if per_frame:
         w = W.partitionBy("source_id", "frame_num").orderBy("det_id")
         df = df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_frame).drop("_r")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        last, keep = None, []
-        for i, ts in pdf.sort_values(["ts_ms", "det_id"])[["det_id", "ts_ms"]].itertuples(index=False):
-            if last is None or ts - last >= interval_ms:
-                last = ts
-                keep.append(i)
-        return pdf[pdf["det_id"].isin(keep)]
+    def step(state: dict, key, ts, i):
+        if "last" in state and ts - state["last"] < interval_ms:
+            return []
+        state["last"] = ts
+        return [(*key[:-1], ts, i)]
 
     narrow = df.select(*dict.fromkeys([*keys, "ts_ms", "det_id"]))
-    return narrow.groupBy(*keys).applyInPandas(fold, narrow.schema)
+    return fold_rows(cut(narrow, keys, "ts_ms", interval_ms, at_gap=True), (*keys, "_piece"), ORDER, ORDER, narrow.schema, dict, step)
 
 
 def patrol_plan(patrols: DataFrame, horizon_s: int = 60) -> DataFrame:

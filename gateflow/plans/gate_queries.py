@@ -182,7 +182,7 @@ k AS (SELECT * FROM c QUALIFY count(*) OVER (PARTITION BY {key}, cluster) >= 3)"
 
 @query("win1_gap_clusters", CLUSTERS.format(table="event_detections", key="site_id") + " SELECT det_id, cluster::BIGINT AS cluster FROM k QUALIFY min(cluster) OVER (PARTITION BY site_id) < max(cluster) OVER (PARTITION BY site_id)", ("event_detections",))
 def _(v):
-    return win.gap_clusters(v("event_detections"), ("site_id",)).select("det_id", "cluster")
+    return win.lane_clusters(v("event_detections")).select("det_id", "cluster")
 
 
 @query("seal_verdict_per_pass", CLUSTERS.format(table="detections", key="site_id") + f" SELECT site_id, cluster::BIGINT AS cluster, a AS n_sealed, b AS n_unsealed, {_VOTE} FROM (SELECT site_id, cluster, count(*) FILTER (class_id = 0) AS a, count(*) FILTER (class_id = 1) AS b FROM k GROUP BY ALL)", ("detections",))
