@@ -16,7 +16,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
@@ -27,10 +27,10 @@ QUANTUM, PER_SOURCE = 1000, 50
 
 
 def target_slots(counts: DataFrame, alpha: float, quantum: int) -> DataFrame:
-    """(source, n, m): m of ``quantum`` slots for each source, weights being n ** ``alpha``; at least
-    one slot each, the rest by largest remainder. ``counts`` has (source, n)."""
-    w = counts.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(alpha)))
-    total = counts.agg(F.count("*").alias("sources"), F.sum(F.pow(F.col("n").cast("double"), F.lit(alpha))).alias("total"))
+    """(source, n, m): m of ``quantum`` slots for each source, weights being ``w`` where the table has it, else n ** ``alpha``; at
+    least one slot each, the rest by largest remainder. ``counts`` has (source, n)."""
+    w = counts if "w" in counts.columns else counts.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(alpha)))
+    total = w.agg(F.count("*").alias("sources"), F.sum("w").alias("total"))
     w = w.withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one")
     w = w.withColumn("share", F.col("w") / F.col("total") * (F.lit(quantum) - F.col("sources"))).withColumn("low", F.floor("share"))
     left = "cast({0} - sources - sum(low) over (partition by one) as int)".format(quantum)
@@ -93,10 +93,15 @@ def block_places(slots: DataFrame, plan: DataFrame, quantum: int, block_rows: in
     return blocks.withColumn("inside", start).join(before, "part").select("source", "mix_block", "mix_slot", (F.col("before") + F.col("inside")).alias("start"))
 
 
-def mix_sources(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", alpha: float = 0.5, block_rows: int = 16, quantum: int | None = None, group_rows: int = 3000, max_broadcast: int = 1_000_000) -> DataFrame:
+def _name(source: Column) -> Column:
+    """A null source sorts before all others, apart from one that is empty."""
+    return F.when(source.isNull(), "0").otherwise(F.concat(F.lit("1"), source.cast("string")))
+
+
+def mix_sources(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", alpha: float = 0.5, block_rows: int = 16, quantum: int | None = None, group_rows: int = 3000, max_broadcast: int = 1_000_000, weights: DataFrame | None = None) -> DataFrame:
     """Add ``mix_block`` (block of its source), ``mix_slot`` (place of the block in the schedule) and
-    ``mix_position`` (gapless place of the row in the whole mix), with target weights proportional to
-    (rows of the source) ** ``alpha``.
+    ``mix_position`` (gapless place of the row in the whole mix). Target weights are those of ``weights`` (source,
+    weight), or proportional to (rows of the source) ** ``alpha``.
 
     All rows are kept. While every source has blocks left, each is less than one block from its target
     share; when one runs out its slots are passed over and the others go on in the same proportions.
@@ -108,23 +113,24 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", source_col: str = "source
 
     ``quantum`` is the number of slots of the schedule's period; by default 1000, or 50 a source where that is more.
     Each source has one slot at least, which bends the targets by up to sources / quantum of the schedule (a
-    fiftieth by default).
+    fiftieth by default); one that is given smaller than the number of sources counts as that number.
 
-    Defined edge cases: a null source is a source of its own; a null id counts as an empty one; rows
-    with equal ids are ordered arbitrarily between themselves; an empty table gives an empty result;
-    a ``quantum`` that is given must be at least the number of sources; all columns are returned, and must not be named like the
-    new ones."""
+    Defined edge cases: a null source is a source of its own; a source without a weight, or with one that is not above
+    0, has the least weight of all; a null id counts as an empty one; rows with equal ids are ordered arbitrarily between
+    themselves; texts are not read; an empty table gives an empty result; all columns are returned, but one named like
+    a new column is replaced by it."""
     new = ["mix_block", "mix_slot", "mix_position"]
-    if clash := set(new) & set(df.columns):
-        raise ValueError(f"columns exist: {sorted(clash)}")
-    # a null source sorts before all others, apart from one that is empty
-    name = F.when(F.col(source_col).isNull(), "0").otherwise(F.concat(F.lit("1"), F.col(source_col).cast("string")))
-    rows = df.withColumns({"__source": name, "__md5": F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))})
+    # the user's columns travel under private names, so that none can be taken for one of the schedule's
+    kept = {f"__c{i}": c for i, c in enumerate(c for c in df.columns if c not in new)}
+    back = [F.col(k).alias(c) for k, c in kept.items()]
+    rows = df.select(*(F.col(f"`{c}`").alias(k) for k, c in kept.items()), _name(F.col(f"`{source_col}`")).alias("__source"), F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))).alias("__md5"))
     counts = rows.groupBy(F.col("__source").alias("source")).agg(F.count("*").alias("n"))
     n, n_sources = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    quantum = max(QUANTUM, PER_SOURCE * n_sources) if quantum is None else quantum
-    if n_sources > quantum:
-        raise ValueError(f"{n_sources} sources; quantum is {quantum}")
+    if weights is not None:
+        given = weights.groupBy(_name(F.col("source")).alias("source")).agg(F.sum(F.when(F.col("weight") > 0, F.col("weight").cast("double"))).alias("w"))
+        least = given.agg(F.coalesce(F.min("w"), F.lit(1.0))).first()[0]
+        counts = counts.join(given, "source", "left").withColumn("w", F.coalesce("w", F.lit(float(least))))
+    quantum = max(QUANTUM if quantum is None else quantum, PER_SOURCE * n_sources if quantum is None else n_sources)
     digits = max(2, math.ceil(math.log(max(1, n / group_rows), 16)))
     rows = rows.withColumn("__group", F.substring("__md5", 1, digits))
     slots = target_slots(counts, alpha, quantum)
@@ -143,13 +149,13 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", source_col: str = "source
     if quantum * n_sources > max_broadcast:
         slots = stage(slots)  # its windows are not made again for each use
         places = block_places(slots, long_period(slots, quantum), quantum, block_rows).withColumnRenamed("source", "__source")
-        return rows.join(places, ["__source", "mix_block"]).withColumn("mix_position", F.expr(f"start + __at % {block_rows}")).select(*df.columns, *new)
+        return rows.join(places, ["__source", "mix_block"]).withColumn("mix_position", F.expr(f"start + __at % {block_rows}")).select(*back, *new)
     table = slots.agg(F.expr("sort_array(collect_list(struct(source, m, n)))").alias("s"), F.lit(1).alias("one"))
     plan = period(slots.select("source", "m"), quantum).withColumn("one", F.lit(1)).join(table, "one")
     plan = plan.selectExpr("source as __source", "k as __k", "slot as __slot", "ahead as __ahead", "transform(s, x -> x.m) as __m", "transform(s, x -> x.n) as __n")
     rows = rows.join(F.broadcast(plan), ["__source", "__k"])
     position = F.expr(f"aggregate(sequence(0, size(__m) - 1), 0L, (a, i) -> a + least(__n[i], {block_rows} * ((mix_block div __own) * __m[i] + __ahead[i]))) + __at % {block_rows}")
-    return rows.withColumn("mix_slot", F.expr(f"(mix_block div __own) * {quantum} + __slot")).withColumn("mix_position", position).select(*df.columns, *new)
+    return rows.withColumn("mix_slot", F.expr(f"(mix_block div __own) * {quantum} + __slot")).withColumn("mix_position", position).select(*back, *new)
 
 
 def in_mix_order(mixed: DataFrame) -> DataFrame:
