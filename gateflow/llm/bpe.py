@@ -3,31 +3,35 @@
 1. Texts are split into words by the tokenizer's own rules. A block (the rows of one task, up to a
    number of distinct words) keeps each text as numbers into the block's word list.
 2. The blocks' word lists are shuffled by word; each distinct word is encoded once, over all blocks, and its
-   other rows take the ids from that one.
-3. The ids go back to the blocks, and every text's ids are put together by position.
-4. Decoding joins the ids to the table of pieces (the vocabulary), which has a fixed size.
+   ids are joined to the table of pieces, which tells what the word decodes to.
+3. Ids and pieces go back to the blocks, packed. The first text of a block brings them, and the others are
+   read past in order, their ids and pieces put together by position.
 
-Shuffled are the word lists and the numbers, never a row for each word of a text.
+Shuffled are the word lists and their ids, never a row for each word of a text. A task holds one block's
+words and a few texts at a time.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage
+from .common import lean, stage
 
-MAX_BLOCK_WORDS = 400_000  # distinct words of a block, about
-MAX_BLOCK_ITEMS = 8_000_000  # words of a block, about
-MAX_PIECES = 1 << 20
-GROUP = 64  # texts whose numbers are packed together
+MAX_BLOCK_WORDS = 300_000  # distinct words of a block, about
+MAX_BLOCK_ITEMS = 3_000_000  # words of a block, about
+GROUP, GROUP_ITEMS = 64, 1 << 19  # texts whose numbers are packed together, and their words, about
+SENT = 1 << 19  # rows of the word lists that are packed together
+MAX_BROADCAST_PIECES = 1 << 20  # a vocabulary of more pieces is joined by a shuffle
 
 
 class Splitter:
@@ -103,15 +107,22 @@ def word_encoder(path: str):
 
 
 def pieces_table(spark: SparkSession, path: str) -> DataFrame:
-    """(id, piece) of the whole vocabulary; its size is that of the tokenizer's file, and checked."""
+    """(id, piece) of the whole vocabulary: as many rows as the tokenizer's file has pieces."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     rows = {i: p for p, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
-    if len(rows) > MAX_PIECES:
-        raise ValueError(f"{len(rows)} pieces; at most {MAX_PIECES}")
     return spark.createDataFrame(pa.table({"id": pa.array(list(rows), pa.int32()), "piece": list(rows.values())}))
 
 
+def _join_pieces(ids: DataFrame, pieces: DataFrame, *order: str) -> DataFrame:
+    """(..., id, piece), the rows of ``order[0]`` together and in this order, as ``ids`` has them. The table of pieces is
+    counted: a small one is broadcast, which leaves the rows where they are; a larger one is joined by a shuffle."""
+    if pieces.limit(MAX_BROADCAST_PIECES + 1).count() <= MAX_BROADCAST_PIECES:
+        return ids.join(F.broadcast(pieces), "id", "left")
+    joined = ids.join(pieces, "id", "left")
+    return joined.repartition(order[0]).sortWithinPartitions(*order) if order else joined
+
+
 class _Numbers(dict):
     """Number of each word, in order of appearance."""
 
@@ -133,12 +144,17 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
 
 def _split(path: str, keys: list[str], schema: pa.Schema):
     """Rows of two kinds: (block, num, word) of a block's word list, and (keys, block, group, place, n_words, nums)
-    of a text. The words of a block are numbered by frequency; the numbers of ``GROUP`` texts are packed
-    together and stand in the group's first row."""
+    of a text. The words of a block are numbered by how often they are found, in powers of two, then by spelling, so
+    that numbers and lists are small when packed; the numbers of ``GROUP`` texts are packed together and
+    stand in the group's first row."""
 
     def rows(n: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
+    def own(part: pa.RecordBatch) -> pa.RecordBatch:
+        """The key columns, copied: a slice would hold the whole batch, texts and all."""
+        return part.select(keys).take(pa.array(np.arange(part.num_rows)))
+
     def run(batches):
         from pyspark import TaskContext
 
@@ -147,91 +163,187 @@ def _split(path: str, keys: list[str], schema: pa.Schema):
 
         def close():
             block = lambda n: pa.array(np.full(n, (task << 24) + made, dtype=np.int64))
-            words = np.array([*numbers, None], dtype=object)[:-1]
-            order = np.argsort(-np.bincount(np.concatenate([np.zeros(0, dtype=np.uint32), *seen]), minlength=len(words)), kind="stable")
+            words = pa.array(list(numbers), pa.string())
+            times = np.bincount(np.concatenate([np.zeros(0, dtype=np.uint32), *seen]), minlength=len(words))
+            spelling = np.empty(len(words), dtype=np.int64)
+            spelling[pa.compute.array_sort_indices(words).to_numpy()] = np.arange(len(words))
+            order = np.lexsort((spelling, -np.frexp(times)[1]))
             rank = np.empty(len(words), dtype=np.uint32)
             rank[order] = np.arange(len(words), dtype=np.uint32)
             at = 0
-            for g, part in enumerate(held):
-                n, nums = part.num_rows, seen[at : at + part.num_rows]
+            for g, (n, part) in enumerate(held):
+                nums = seen[at : at + n]
                 at += n
                 packed = [_pack(rank[np.concatenate(nums)])] + [None] * (n - 1)
-                yield rows(n, __block=block(n), __group=pa.array(np.full(n, g, dtype=np.int32)), __place=pa.array(np.arange(n, dtype=np.int32)), __n=pa.array([len(x) for x in nums], pa.int32()), __nums=pa.array(packed, pa.binary()), **{k: part.column(k) for k in keys})
+                yield rows(n, __block=block(n), __group=pa.array(np.full(n, g, dtype=np.int32)), __place=pa.array(np.arange(n, dtype=np.int32)), __n=pa.array([len(x) for x in nums], pa.int32()), __nums=pa.array(packed, pa.binary()), __items=pa.array([sum(map(len, nums))] + [None] * (n - 1), pa.int64()), **{k: part.column(k) for k in keys})
             for at in range(0, len(words), 20_000):
-                part = words[order[at : at + 20_000]]
-                yield rows(len(part), __block=block(len(part)), __num=pa.array(np.arange(at, at + len(part), dtype=np.int32)), __word=pa.array(part.tolist(), pa.string()))
+                part = words.take(pa.array(order[at : at + 20_000]))
+                yield rows(len(part), __block=block(len(part)), __num=pa.array(np.arange(at, at + len(part), dtype=np.int32)), __word=part)
 
         items = 0
         for batch in batches:
-            texts = batch.column("__text")
-            for at in range(0, batch.num_rows, GROUP):
-                held.append(batch.slice(at, GROUP).drop_columns(["__text"]) if keys else batch.slice(at, GROUP))
-                for i in range(at, min(at + GROUP, batch.num_rows)):
-                    words = splitter.words(texts[i].as_py() or "")
-                    seen.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.uint32, count=len(words)))
-                    items += len(words)
-                if len(numbers) >= MAX_BLOCK_WORDS or items >= MAX_BLOCK_ITEMS:
-                    yield from close()
-                    made, numbers, held, seen, items = made + 1, _Numbers(), [], [], 0
+            texts, at, in_group = batch.column("__text"), 0, 0
+            for i in range(batch.num_rows):
+                words = splitter.words(texts[i].as_py() or "")
+                seen.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.uint32, count=len(words)))
+                items, in_group = items + len(words), in_group + len(words)
+                if i + 1 - at >= GROUP or in_group >= GROUP_ITEMS or i + 1 == batch.num_rows:
+                    held.append((i + 1 - at, own(batch.slice(at, i + 1 - at)) if keys else None))
+                    at, in_group = i + 1, 0
+                    if len(numbers) >= MAX_BLOCK_WORDS or items >= MAX_BLOCK_ITEMS:
+                        yield from close()
+                        made, numbers, held, seen, items = made + 1, _Numbers(), [], [], 0
         if held:
             yield from close()
 
-    return run
+    return lean(run)
+
+
+#: A block's words: how many, their ids and letters, and packed: numbers, ids a word, ids, letters a word, letters.
+_WORDS = pa.struct([("n", pa.int32()), ("n_ids", pa.int32()), ("n_letters", pa.int32()), ("nums", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary()), ("lengths", pa.binary()), ("letters", pa.binary())])
+
+
+def _sent(block: np.ndarray, num: np.ndarray, size: np.ndarray, length: np.ndarray, ids: np.ndarray, letters: np.ndarray) -> pa.RecordBatch:
+    """A row for each block with its words."""
+    order = np.lexsort((num, block))
+    ids = _ragged(ids, np.concatenate([[0], np.cumsum(size)]), order)
+    letters = _ragged(letters, np.concatenate([[0], np.cumsum(length)]), order)
+    block, num, size, length = block[order], num[order], size[order], length[order]
+    cut = np.flatnonzero(np.diff(block, prepend=-1)).tolist()
+    ends, at = np.concatenate([[0], np.cumsum(size)]), np.concatenate([[0], np.cumsum(length)])
+    rows = []
+    for a, b in zip(cut, [*cut[1:], len(block)], strict=True):
+        mine, said = ids[ends[a] : ends[b]], letters[at[a] : at[b]]
+        rows.append({"n": b - a, "n_ids": len(mine), "n_letters": len(said), "nums": _pack(np.diff(num[a:b], prepend=0)), "sizes": _pack(size[a:b]), "ids": _pack(mine), "lengths": _pack(length[a:b]), "letters": pa.compress(said.tobytes(), codec="zstd", asbytes=True)})
+    return pa.RecordBatch.from_arrays([pa.array(block[cut]), pa.array(rows, _WORDS)], ["__of", "__words"])
 
 
 def _encode_runs(path: str):
-    """(block, num, ids) of rows sorted by word: every distinct word is encoded once."""
+    """(run, ids, blocks, nums) from rows sorted by word: every distinct word is encoded once. The places of a word that
+    a batch has are one row."""
 
     def run(batches):
-        encode, last, ids = word_encoder(path), None, b""
+        from pyspark import TaskContext
+
+        encode, last, ids, made = word_encoder(path), None, [], TaskContext.get().partitionId() << 40
         for batch in batches:
+            if not batch.num_rows:
+                continue
             words = batch.column("__word").dictionary_encode()
-            known = words.dictionary.to_pylist()
-            new = [w for w in known if w != last]
-            packed = dict(zip(new, (np.asarray(x, dtype="<u4").tobytes() for x in encode(new)), strict=True))
-            if known and known[0] == last:
-                packed[last] = ids  # the run goes on from the batch before
-            yield pa.RecordBatch.from_arrays([batch.column("__block"), batch.column("__num"), pa.array([packed[w] for w in known], pa.binary()).take(words.indices)], ["__of", "__num", "__ids"])
-            if known:
-                last = known[words.indices[-1].as_py()]
-                ids = packed[last]
-
-    return run
-
-
-def _ragged(flat: np.ndarray, first: np.ndarray, picks: np.ndarray) -> np.ndarray:
+            known, which = words.dictionary.to_pylist(), words.indices.to_numpy()
+            found = [*([ids] if known[0] == last else []), *encode([w for w in known if w != last])]  # the last run may go on
+            first = pa.array(np.append(np.flatnonzero(np.diff(which, prepend=-1)), len(which)).astype(np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)], dtype=np.int32)), pa.array([i for x in found for i in x], pa.int32()))
+            places = [pa.ListArray.from_arrays(first, batch.column(c)) for c in ("__block", "__num")]
+            yield pa.RecordBatch.from_arrays([pa.array(made + np.arange(len(known))), lists, *places], ["__run", "__ids", "__blocks", "__nums"])
+            last, ids, made = known[-1], found[-1], made + len(known)
+
+    return lean(run)
+
+
+def _send(batches):
+    """(of, words) from rows of (run, pos, id, piece, blocks, nums), in order of run and pos; of a run the first row has the places."""
+    rest, held, n = None, [], 0
+    for batch in itertools.chain(batches, [None]):
+        rows = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])]).combine_chunks()
+        if rows is None or not rows.num_rows:
+            continue
+        first = np.flatnonzero(np.diff(rows.column("__run").to_numpy(), prepend=-1))
+        if batch is None:
+            done, rest = rows, None
+        else:  # the last run may go on
+            done, rest, first = rows.slice(0, first[-1]), rows.slice(first[-1]), first[:-1]
+        if not done.num_rows:
+            continue
+        has = done.column("id").is_valid().to_numpy().astype(np.int64)
+        ids = done.column("id").drop_null().to_numpy()
+        spaced = pa.compute.fill_null(pa.compute.binary_join_element_wise(done.column("piece"), "", " "), "")
+        at, letters = _buffers(spaced)
+        size, length = np.add.reduceat(has, first), np.add.reduceat(np.diff(at), first)
+        blocks, nums = (done.column(c).take(pa.array(first)).combine_chunks() for c in ("__blocks", "__nums"))
+        of = np.repeat(np.arange(len(first)), pa.compute.list_value_length(blocks).to_numpy())
+        held.append((blocks.flatten().to_numpy(), nums.flatten().to_numpy(), size[of], length[of], _ragged(ids, np.concatenate([[0], np.cumsum(size)]), of), _ragged(letters, np.concatenate([[0], np.cumsum(length)]), of)))
+        n += len(of)
+        if n >= SENT:
+            yield _sent(*map(np.concatenate, zip(*held, strict=True)))
+            held, n = [], 0
+    if held:
+        yield _sent(*map(np.concatenate, zip(*held, strict=True)))
+
+
+def _buffers(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of texts."""
+    wide = column.cast(pa.large_string()).combine_chunks()
+    wide = wide if isinstance(wide, pa.Array) else pa.concat_arrays(wide.chunks)
+    at = np.frombuffer(wide.buffers()[1], dtype=np.int64)[wide.offset : wide.offset + len(wide) + 1]
+    return at - at[0], np.frombuffer(wide.buffers()[2] or b"", dtype=np.uint8)[at[0] : at[-1]]
+
+
+def _ragged(flat: np.ndarray, first: np.ndarray, picks: np.ndarray, step: int = 1 << 16) -> np.ndarray:
     """The runs flat[first[p] : first[p + 1]] of all picks, one after the other."""
     lengths = first[picks + 1] - first[picks]
-    ends = np.cumsum(lengths)
-    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[picks] - (ends - lengths), lengths)]
-
-
-def _assemble(pieces, keys: list[str]):
-    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        ids = words.select(["__num", "__ids"]).sort_by("__num").column("__ids").combine_chunks().cast(pa.large_binary())
-        first = np.frombuffer(ids.buffers()[1], dtype=np.int64)[ids.offset : ids.offset + len(ids) + 1] // 4 if len(ids) else np.zeros(1, dtype=np.int64)
-        flat = np.frombuffer(ids.buffers()[2], dtype="<u4") if len(ids) and ids.buffers()[2] else np.zeros(0, dtype="<u4")
-        names = pieces.value
-        spelled = [" ".join([names[i] for i in flat[a:b].tolist()]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-        texts = texts.sort_by([("__group", "ascending"), ("__place", "ascending")])
-        group, sizes = texts.column("__group").to_numpy(), texts.column("__n").to_numpy()
-        heads = np.flatnonzero(texts.column("__place").to_numpy() == 0).tolist()
-        columns = [[], [], []]
-        for at, to in zip(heads, [*heads[1:], len(group)], strict=True):  # a group of texts at a time, straight into Arrow
-            ends = np.concatenate([[0], np.cumsum(sizes[at:to], dtype=np.int64)]).tolist()
-            numbers = _unpack(texts.column("__nums")[at].as_py(), ends[-1]).astype(np.int64)
-            runs = [numbers[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            tokens = [_ragged(flat, first, r).astype("<u4").tobytes() for r in runs]
-            columns[0].append(pa.array([len(t) // 4 for t in tokens], pa.int64()))
-            columns[1].append(pa.array(tokens, pa.binary()))
-            columns[2].append(pa.array([" ".join([spelled[i] for i in r.tolist()]) for r in runs], pa.string()))
-        out = texts.select(keys)
-        for name, chunks in zip(("n_tokens", "ids", "decoded"), columns, strict=True):
-            out = out.append_column(name, pa.chunked_array(chunks))
-        pa.default_memory_pool().release_unused()
-        return out
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    out = np.empty(ends[-1], dtype=flat.dtype)
+    for at in range(0, len(picks), step):  # some at a time: the places take more room than the values
+        to = min(at + step, len(picks))
+        out[ends[at] : ends[to]] = flat[np.arange(ends[at], ends[to]) + np.repeat(first[picks[at:to]] - ends[at:to], lengths[at:to])]
+    return out
+
+
+def _cut(flat: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Bytes as values of these lengths."""
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    wide = pa.Array.from_buffers(pa.large_binary() if kind == pa.binary() else pa.large_string(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
+    return wide.cast(kind)
+
+
+class _Block:
+    """What the first text of a block brings: ids and letters of its words, by their number."""
+
+    def __init__(self, words: list[dict], size: int | None):
+        part = lambda c, n: np.concatenate([np.zeros(0, dtype=np.uint32), *(_unpack(w[c], w[n]) for w in words)]).astype(np.int64)
+        num = np.concatenate([np.zeros(0, dtype=np.int64), *(np.cumsum(_unpack(w["nums"], w["n"]), dtype=np.int64) for w in words)])
+        if len(num) != (size or 0):
+            raise RuntimeError("words of a block are missing")
+        order, runs = np.argsort(num), lambda x: np.concatenate([[0], np.cumsum(x)])
+        sizes, lengths = part("sizes", "n"), part("lengths", "n")
+        letters = np.frombuffer(b"".join(pa.decompress(w["letters"], w["n_letters"], codec="zstd", asbytes=True) for w in words), dtype=np.uint8)
+        self.ids, self.first = _ragged(part("ids", "n_ids").astype("<u4"), runs(sizes), order), runs(sizes[order])
+        self.letters, self.said = _ragged(letters, runs(lengths), order), runs(lengths[order])
+
+    def texts(self, words: np.ndarray, sizes: np.ndarray) -> list[pa.Array]:
+        """n_tokens, ids and decoded of texts of ``sizes`` words."""
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        total = lambda of: np.diff(np.concatenate([[0], np.cumsum(np.diff(of)[words])])[ends])
+        n, lengths = total(self.first), total(self.said)
+        ids = _cut(_ragged(self.ids, self.first, words).view(np.uint8), 4 * n, pa.binary())
+        text = np.delete(_ragged(self.letters, self.said, words), np.cumsum(lengths)[lengths > 0] - 1)  # the space behind the last piece
+        return [pa.array(n), ids, _cut(text, lengths - (lengths > 0), pa.string())]
+
+
+def _assemble(keys: list[str]):
+    """Texts sorted by block, group and place; a group at a time, straight into Arrow."""
 
-    return run
+    def run(batches):
+        block = words = None
+        for batch in batches:
+            place, sizes = batch.column("__place").to_numpy(), batch.column("__n").to_numpy().astype(np.int64)
+            begins = np.flatnonzero(place == 0).tolist()
+            begins = begins if begins[:1] == [0] else [0, *begins]  # a group may go on from the batch before
+            for at, to in zip(begins, [*begins[1:], batch.num_rows], strict=True):
+                if at == to:
+                    continue
+                if place[at] == 0:
+                    if batch.column("__group")[at].as_py() == 0:
+                        block = _Block(batch.column("__words")[at].as_py() or [], batch.column("__size")[at].as_py())
+                    nums = batch.column("__nums")[at].as_py()
+                    words = _unpack(nums, batch.column("__items")[at].as_py()).astype(np.int64)
+                own = int(sizes[at:to].sum())
+                done, words = block.texts(words[:own], sizes[at:to]), words[own:]
+                part = batch.slice(at, to - at)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), *done], [*keys, "n_tokens", "ids", "decoded"])
+
+    return lean(run)
 
 
 def bpe_encode_decode(df: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
@@ -241,18 +353,19 @@ def bpe_encode_decode(df: DataFrame, tokenizer_path: str, text_col: str = "text"
     Ids equal those of the tokenizer on the whole text without special tokens added; strings of
     added tokens inside a text become their ids.
 
-    Defined edge cases: a null or empty text has no ids; repeated rows are encoded each; an empty table
-    gives an empty result; all other columns are returned and may not be named like the new ones."""
-    new = {"n_tokens", "ids", "decoded", "__block", "__num", "__word", "__group", "__place", "__n", "__nums", "__text", "__ids"}
-    if clash := new & set(df.columns):
-        raise ValueError(f"columns exist: {sorted(clash)}")
+    Defined edge cases: a null or empty text has no ids and decodes to an empty text; repeated rows are encoded each;
+    a text of any length is one row of its block; an empty table gives an empty result; all other columns are
+    returned as they are, but one named like a new column is replaced by it."""
+    new = ["n_tokens", "ids", "decoded"]
     spark = df.sparkSession
-    keys = [c for c in df.columns if c != text_col]
-    kept = df.select(*keys, F.col(text_col).cast("string").alias("__text"))
+    named = {f"__k{i}": c for i, c in enumerate(c for c in df.columns if c != text_col and c not in new)}
+    keys = list(named)
+    kept = df.select(*(F.col(f"`{c}`").alias(k) for k, c in named.items()), F.col(text_col).cast("string").alias("__text"))
     schema = T.StructType([
         *(T.StructField(f.name, f.dataType, True) for f in kept.schema.fields[:-1]),
         T.StructField("__block", T.LongType()), T.StructField("__num", T.IntegerType()), T.StructField("__word", T.StringType()),
         T.StructField("__group", T.IntegerType()), T.StructField("__place", T.IntegerType()), T.StructField("__n", T.IntegerType()), T.StructField("__nums", T.BinaryType()),
+        T.StructField("__items", T.LongType()),
     ])
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -261,14 +374,23 @@ def bpe_encode_decode(df: DataFrame, tokenizer_path: str, text_col: str = "text"
 
     # one shuffle by word; the rows of a word are then neighbours, and it is encoded once for all of them
     lists = split.where("__num is not null").select("__block", "__num", "__word")
-    words = lists.repartition("__word").sortWithinPartitions("__word").mapInArrow(_encode_runs(tokenizer_path), "__of long, __num int, __ids binary")
+    places = "__blocks array<long>, __nums array<int>"
+    runs = lists.repartition("__word").sortWithinPartitions("__word").mapInArrow(_encode_runs(tokenizer_path), f"__run long, __ids array<int>, {places}")
+    runs = stage(runs)  # else its Python workers and those of the sending below stand in each task together
+    # of a word's ids the first keeps its places with it through the join
+    first = F.coalesce("pos", F.lit(0)) == 0
+    ids = runs.select("__run", "__blocks", "__nums", F.posexplode_outer("__ids").alias("pos", "id"))
+    ids = ids.select("__run", "pos", "id", *(F.when(first, F.col(c)).alias(c) for c in ("__blocks", "__nums")))
+    said = _join_pieces(ids, pieces_table(spark, tokenizer_path), "__run", "pos").select("__run", "id", "piece", "__blocks", "__nums")
+    sent = said.mapInArrow(lean(_send), "__of long, __words struct<n: int, n_ids: int, n_letters: int, nums: binary, sizes: binary, ids: binary, lengths: binary, letters: binary>")
+    # one shuffle by block
+    brought = sent.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "__of").groupBy(F.col("__of").alias("__for")).agg(F.collect_list("__words").alias("__words"), F.sum("__words.n").alias("__size"))
     texts = split.where("__group is not null").drop("__num", "__word")
-    pieces = pieces_table(spark, tokenizer_path).toArrow().sort_by("id")
-    names = [""] * (pieces.column("id")[-1].as_py() + 1)
-    for i, p in zip(pieces.column("id").to_pylist(), pieces.column("piece").to_pylist(), strict=True):
-        names[i] = p
+    head = (F.col("__block") == F.col("__for")) & (F.col("__group") == 0) & (F.col("__place") == 0)
+    texts = texts.join(brought, head, "left").sortWithinPartitions("__block", "__group", "__place")
     out = T.StructType([*schema.fields[: len(keys)], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
-    return texts.groupBy("__block").cogroup(words.groupBy("__of")).applyInArrow(_assemble(spark.sparkContext.broadcast(names), keys), out)
+    done = texts.mapInArrow(_assemble(keys), out)
+    return done.select(*(F.col(k).alias(c) for k, c in named.items()), *new)
 
 
 def unpack_ids(ids) -> F.Column:
@@ -285,5 +407,5 @@ def bpe_decode(df: DataFrame, pieces: DataFrame, key_col: str, ids_col: str = "i
 
     Unknown ids raise no error and decode to nothing; null or empty ids decode to an empty text."""
     long = df.select(F.col(key_col).alias("key"), F.posexplode_outer(ids_col).alias("pos", "id"))
-    joined = long.join(F.broadcast(pieces), "id", "left")
-    return joined.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("pos", "piece")))), lambda x: x.piece), " ").alias("decoded")).withColumnRenamed("key", key_col)
+    found = F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("pos", "piece")))
+    return _join_pieces(long, pieces).groupBy("key").agg(F.array_join(F.transform(F.array_sort(found), lambda x: x.piece), " ").alias("decoded")).withColumnRenamed("key", key_col)

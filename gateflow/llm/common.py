@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import inspect
 import tempfile
 import uuid
-from functools import lru_cache
+from contextlib import contextmanager
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +21,38 @@ SPACES = (0x20, *range(0x09, 0x0E))
 
 
 def stage_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The shared folder of the cluster (``spark.checkpoint.dir``). Where it is unset a local session, as in tests, gets a
+    temporary one; a cluster has no folder that all its machines see by then."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="gateflow-stages-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = _local_dir()
     return folder.rstrip("/")
 
 
+@lru_cache(maxsize=None)
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="gateflow-stages-")
+
+
+#: Bytes that go to a Python task at a time while stage tables are written; texts can be long.
+BATCH_BYTES = 4 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Within it Python tasks get batches of at most about ``BATCH_BYTES``, unless the session asks for less."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        if not before.isdigit() or int(before) > BATCH_BYTES:
+            spark.conf.set(key, str(BATCH_BYTES))
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stage(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back: cuts the lineage, and
     survives the loss of any executor. With ``by`` it is written in hash buckets of that column, so that
@@ -33,15 +61,61 @@ def stage(df: DataFrame, by: str | None = None) -> DataFrame:
     name = f"stage_{uuid.uuid4().hex}"
     path = f"{stage_dir(spark)}/{name}"
     writer = df.write.option("compression", "zstd")
-    if by is None:
-        writer.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-    writer.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).saveAsTable(name)
+    with small_batches(spark):
+        if by is None:
+            writer.parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
+        writer.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the name only; the files stay, and the plan knows them
     return out
 
 
+# --- Python workers --------------------------------------------------------------------------
+
+
+def release() -> None:
+    """Hand freed memory back to the system: a worker serves many tasks, and would keep the most that any of them took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(f):
+    """``f``, a generator of a task's batches or a function of one or two groups, with :func:`release` when it has ended."""
+    if inspect.isgeneratorfunction(f):
+
+        @wraps(f)
+        def run(batches):
+            try:
+                yield from f(batches)
+            finally:
+                release()
+
+    elif len(inspect.signature(f).parameters) == 1:
+
+        @wraps(f)
+        def run(group):
+            try:
+                return f(group)
+            finally:
+                release()
+
+    else:
+
+        @wraps(f)
+        def run(left, right):
+            try:
+                return f(left, right)
+            finally:
+                release()
+
+    return run
+
+
 # --- word hashing --------------------------------------------------------------------------
 
 

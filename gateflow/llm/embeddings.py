@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stage
+from .common import components, lean, stage
 
 LEAD = 8  # axes in a tile's box
 STEP = 16  # dimensions accumulated at a time
@@ -61,7 +61,7 @@ def pca_bases(vectors: DataFrame, max_dim: int = 1024, max_kinds: int = 16) -> d
     kinds = [r.dim for r in vectors.where(F.col("dim") <= max_dim).groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(max_kinds).collect()]
     if not kinds:
         return {}
-    rows = vectors.where(F.col("dim").isin(kinds)).select("dim", "emb").mapInArrow(_gram, "dim int, pos int, v double").groupBy("dim", "pos").agg(F.sum("v").alias("v")).toArrow()
+    rows = vectors.where(F.col("dim").isin(kinds)).select("dim", "emb").mapInArrow(lean(_gram), "dim int, pos int, v double").groupBy("dim", "pos").agg(F.sum("v").alias("v")).toArrow()
     out = {}
     dim, pos, v = (rows.column(c).to_numpy() for c in ("dim", "pos", "v"))
     for d in kinds:
@@ -209,10 +209,10 @@ def embedding_near_dedup(df: DataFrame, id_col: str = "vec_id", vector_col: str
     bases = pca_bases(reps)
     order, cut = _tiles(bases, tile_rows)
     emb_type = reps.schema["emb"].dataType.simpleString()
-    lined = reps.select("id", "c", "label", "dim", "emb").mapInArrow(order, f"id long, c long, label string, dim int, emb {emb_type}, z double")
+    lined = reps.select("id", "c", "label", "dim", "emb").mapInArrow(lean(order), f"id long, c long, label string, dim int, emb {emb_type}, z double")
     tiles = stage(
         lined.repartitionByRange("label", "dim", "z").sortWithinPartitions("label", "dim", "z", "id").drop("z")
-        .mapInArrow(cut, "tile long, label string, dim int, n int, ids binary, counts binary, x binary, lo array<double>, hi array<double>")
+        .mapInArrow(lean(cut), "tile long, label string, dim int, n int, ids binary, counts binary, x binary, lo array<double>, hi array<double>")
     )
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
     cell = lambda v: F.floor(v / reach).cast("int")
@@ -223,7 +223,7 @@ def embedding_near_dedup(df: DataFrame, id_col: str = "vec_id", vector_col: str
     near = F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x) <= reach * reach
     pairs = a.join(b, ["label", "dim", "cell"]).where((F.col("tile_a") <= F.col("tile_b")) & near).select("tile_a", "tile_b").distinct()
     side = lambda s: tiles.select("tile", *(["dim"] if s == "a" else []), "n", "ids", "counts", "x").withColumnsRenamed({c: f"{c}_{s}" for c in ("tile", "n", "ids", "counts", "x")})
-    found = stage(pairs.join(side("a"), "tile_a").join(side("b"), "tile_b").mapInArrow(_compare(bases, threshold), "id long, links long, low long"))
+    found = stage(pairs.join(side("a"), "tile_a").join(side("b"), "tile_b").mapInArrow(lean(_compare(bases, threshold)), "id long, links long, low long"))
     degree = found.groupBy("id").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("id").alias("a"), F.col("low").alias("b")))
     known = reps.join(degree, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left").select(

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mix64, seeds, stage, windows_hash, word_chunks
+from .common import components, lean, mix64, seeds, stage, windows_hash, word_chunks
 
 PERMUTATIONS, BANDS, BAND_PERMS = 72, 24, 3
 LEFT_BLOCK, RIGHT_BLOCK = 128, 512
@@ -185,7 +185,7 @@ def minhash_near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     should be unique, rows that repeat an id have one set each but share their component; an empty
     table gives an empty result; other columns are ignored."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    prof = stage(docs.mapInArrow(_profile(width), "doc_id long, n long, f1 long, f2 long, bands array<long>, sig binary"))
+    prof = stage(docs.mapInArrow(lean(_profile(width)), "doc_id long, n long, f1 long, f2 long, bands array<long>, sig binary"))
     full = prof.where("n > 0 and doc_id is not null")
     key = ["n", "f1", "f2"]
     classes = stage(full.groupBy(*key).agg(F.min(F.struct("doc_id", "bands", "sig")).alias("r")).select(*key, "r.*"))
@@ -194,9 +194,9 @@ def minhash_near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     star = member.join(heads, "bucket").where(f"doc_id <> a and 100 * least(n, n_a) >= {percent} * greatest(n, n_a)").select("a", F.col("doc_id").alias("b")).distinct()
     sigs = classes.select("doc_id", "sig")
     near = lambda c: sigs.select(F.col("doc_id").alias(c), F.col("sig").alias(f"sig_{c}"))
-    star = stage(star.join(near("a"), "a").join(near("b"), "b").mapInArrow(_near_by_signature(percent), "a long, b long"))
+    star = stage(star.join(near("a"), "a").join(near("b"), "b").mapInArrow(lean(_near_by_signature(percent)), "a long, b long"))
     texts = lambda c: docs.where("doc_id is not null").select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-    confirm = lambda pairs: stage(pairs.join(texts("a"), "a").join(texts("b"), "b").mapInArrow(_confirm(width, percent), "a long, b long"))
+    confirm = lambda pairs: stage(pairs.join(texts("a"), "a").join(texts("b"), "b").mapInArrow(lean(_confirm(width, percent)), "a long, b long"))
     links = confirm(star)
     comp = components(links)
 
@@ -209,14 +209,14 @@ def minhash_near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rest = stage(held.join(open_, "bucket"))
     # a semi-join of the ids' own rows: each needed text is read once, however many buckets it is in
     needed = docs.join(rest.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = stage(needed.mapInArrow(_short_sets(width), "doc_id long, set binary"))
+    sets = stage(needed.mapInArrow(lean(_short_sets(width)), "doc_id long, set binary"))
     rest = rest.join(sigs.join(sets, "doc_id"), "doc_id")
     block = lambda n, of: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(of)
     place = lambda n: F.pmod(F.xxhash64("doc_id", "bucket"), F.col(n)).cast("int")
     cols = ["doc_id", "n", "comp", "bucket", "sig", "set"]
     left = rest.where("comp <> main").select(*cols, F.lit(True).alias("left"), place("lefts").alias("i"), block("rights", "j"))
     right = rest.select(*cols, F.lit(False).alias("left"), place("rights").alias("j"), block("lefts", "i")).select(*left.columns)
-    more = left.unionAll(right).groupBy("bucket", "i", "j").applyInArrow(_in_block(percent), "a long, b long").distinct()
+    more = left.unionAll(right).groupBy("bucket", "i", "j").applyInArrow(lean(_in_block(percent)), "a long, b long").distinct()
     links = links.unionAll(confirm(stage(more)))
     comp = components(links).withColumnRenamed("node", "rep")
     roots = classes.select(*key, F.col("doc_id").alias("rep")).join(comp, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
