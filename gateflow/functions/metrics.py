@@ -97,3 +97,10 @@ def snmp_rows(df: DataFrame) -> DataFrame:
     r = df.select("id", F.explode("devices").alias("v")).withColumn("n", blank(F.col("v.name")))
     up = uptime_seconds(F.col("v.uptime"))
     return r.select("id", F.col("v.id").alias("device_id"), F.coalesce("n", blank(F.col("v.description"))).alias("name"), F.col("n").isNotNull().alias("reachable"), up.alias("uptime_s"), uptime_text(up).alias("uptime"))
+
+
+def stream_profiles(devices: DataFrame, uris: str = "stream_uris", id_col: str = "id", ptz: str = "ptz") -> DataFrame:
+    """(id, token, name, uri, ptz, is_default) of each address that a device has stored; the default is the first one."""
+    keys = F.map_keys(uris)
+    d = devices.select(id_col, F.col(ptz).alias("ptz"), F.get(keys, F.lit(0)).alias("_first"), F.explode(uris).alias("token", "uri"))
+    return d.select(id_col, "token", F.col("token").alias("name"), "uri", F.coalesce("ptz", F.lit(False)).alias("ptz"), (F.col("token") == F.col("_first")).alias("is_default"))

@@ -156,12 +156,12 @@ def close_on_cross(events: DataFrame, crossings: DataFrame, lane: str = "site_id
 
 def split_events(det: DataFrame) -> DataFrame:
     """(det_id, event_id, new_event_id): in events with clusters of clearly different colours, the second cluster and
-    those after it become events of their own; rows outside clusters stay."""
+    those after it become events of their own, named by the negative of their first detection; rows outside clusters stay."""
     c = gap_clusters(det)
     order = W.partitionBy("event_id").orderBy("cluster")
     far = distinct_clusters(avg_color(c, ("event_id", "cluster"))).where("splittable")
     moved = c.join(far.select("event_id"), "event_id", "left_semi").withColumn("_n", F.dense_rank().over(order)).where("_n > 1")
-    moved = moved.select("det_id", F.xxhash64("event_id", "cluster").alias("_new"))
+    moved = moved.select("det_id", (-1 - F.min("det_id").over(W.partitionBy("event_id", "cluster"))).alias("_new"))
     return det.join(moved, "det_id", "left").select("det_id", "event_id", F.coalesce("_new", "event_id").alias("new_event_id"))
 
 

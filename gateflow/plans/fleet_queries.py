@@ -141,7 +141,21 @@ def _(v):
     return win.watchdog_runs(v("fps"))
 
 
-@query("win8_fps_watchdog")
+def watchdog_sql(rows: str) -> str:
+    """CTE ``w``: counters of bad cycles over ``rows`` (device_id, i, cycle, fps), a device's i going up from 1. A counter lives 180 s."""
+    return f"""
+w(device_id, i, cycle, reason, zc, zb, lc, lb, pending, until) AS (
+  SELECT DISTINCT device_id, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, false, -1::BIGINT FROM {rows}
+  UNION ALL
+  SELECT device_id, i, cycle, hit, CASE WHEN fps >= 6 OR hit = 'zero' THEN 0 WHEN fps = 0 THEN z ELSE zc END, CASE WHEN fps >= 6 OR hit = 'zero' THEN 0 WHEN fps = 0 AND z = 1 THEN s ELSE zb END,
+    CASE WHEN fps >= 6 OR hit = 'low' THEN 0 WHEN fps > 0 THEN l ELSE lc END, CASE WHEN fps >= 6 OR hit = 'low' THEN 0 WHEN fps > 0 AND l = 1 THEN s ELSE lb END,
+    until > s, CASE WHEN hit IS NOT NULL THEN s + 3600 ELSE until END
+  FROM (SELECT *, CASE WHEN fps = 0 AND z >= 12 THEN 'zero' WHEN fps BETWEEN 1 AND 5 AND l >= 18 THEN 'low' END AS hit FROM (
+    SELECT r.device_id, r.i, r.cycle, r.fps, r.cycle * 10 AS s, zc, zb, lc, lb, until, 1 + CASE WHEN zc > 0 AND r.cycle * 10 - zb < 180 THEN zc ELSE 0 END AS z, 1 + CASE WHEN lc > 0 AND r.cycle * 10 - lb < 180 THEN lc ELSE 0 END AS l
+    FROM w JOIN {rows} r ON r.device_id = w.device_id AND r.i = w.i + 1)))"""
+
+
+@query("win8_fps_watchdog", f"WITH RECURSIVE f AS (SELECT *, cycle AS i FROM fps), {watchdog_sql('f')} SELECT device_id, cycle, reason FROM w WHERE reason IS NOT NULL", ("fps",))
 def _(v):
     return win.fps_watchdog(v("fps"))
 

@@ -233,7 +233,18 @@ def _(v):
     return win.line_crossings(v("tracks"), line)
 
 
-@query("win12_throttle")
+def jumps_sql(rows: str, keys: str, gap: str) -> str:
+    """CTE ``t``: of ``rows`` (keys, ts_ms, ...) of each key the first, then always the first after ``gap``."""
+    on = " AND ".join(f"{{0}}.{k.strip()} = {{1}}.{k.strip()}" for k in keys.split(","))
+    return f"""
+n AS (SELECT b.*, x.ts_ms AS next_ms FROM {rows} b ASOF LEFT JOIN {rows} x ON {on.format('b', 'x')} AND b.ts_ms + {gap} x.ts_ms),
+t AS (SELECT * FROM (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY ts_ms) = 1) UNION ALL SELECT n.* FROM t JOIN n ON {on.format('n', 't')} AND n.ts_ms = t.next_ms)"""
+
+
+@query("win12_throttle", f"""
+WITH RECURSIVE f AS (SELECT source_id, ts_ms, det_id FROM detections QUALIFY row_number() OVER (PARTITION BY source_id, frame_num ORDER BY det_id) <= 6),
+r AS (SELECT source_id, ts_ms, min(det_id) AS det_id FROM f GROUP BY ALL), {jumps_sql('r', 'source_id', '1000 <=')}
+SELECT source_id, ts_ms, det_id FROM t""", ("detections",))
 def _(v):
     return win.throttle(v("detections"), ("source_id",), 1000, per_frame=6)
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import metrics as met
 from ..functions import text as txt
 from ..operators import filters as flt
+from ..sources import packets, sinks
 from ..sources import parsers as src
-from ..sources import sinks
+from ..streaming.run import shared_dir
 from .registry import query
 
 BOX = "bbox_left, bbox_top, bbox_width, bbox_height"
@@ -304,9 +307,50 @@ def devices(v, name="devices"):
     return v(name).withColumn("stream_uris", uris)
 
 
-@query("prj27_stream_profiles", "SELECT id, 'tok_a' AS token, uri_a AS uri, ptz FROM devices WHERE uri_a IS NOT NULL UNION ALL SELECT id, 'tok_b', uri_b, ptz FROM devices WHERE uri_b IS NOT NULL", ("devices",))
+@query("prj27_stream_profiles", """
+SELECT id, 'tok_a' AS token, 'tok_a' AS name, uri_a AS uri, ptz, true AS is_default FROM devices WHERE uri_a IS NOT NULL
+UNION ALL SELECT id, 'tok_b', 'tok_b', uri_b, ptz, uri_a IS NULL FROM devices WHERE uri_b IS NOT NULL""", ("devices",))
+def _(v):
+    return met.stream_profiles(devices(v))
+
+
+#: Detections as captures of a minute and device; every 13th header tells a wrong size.
+_CAPTURE = "concat('dev', cast(device_id AS varchar(9)), '/', cast(cast(floor(ts_ms / 60000) AS bigint) AS varchar(20)))"
+_IMAGE = "concat('img', cast(det_id AS varchar(20)), ' ', ocr_text)"
+_PACKED = f"""SELECT {_CAPTURE} AS path, row_number() OVER (PARTITION BY {_CAPTURE} ORDER BY ts_ms, det_id) - 1 AS pos, device_id, source_id, class_id, object_id, confidence,
+  {BOX}, frame_num, ts_ms, {_IMAGE} AS image, length({_IMAGE}) + CASE WHEN det_id % 13 = 0 THEN 1 ELSE 0 END AS size, CASE class_id % 3 WHEN 0 THEN 'roi' WHEN 1 THEN 'lc' ELSE 'oc' END AS kind FROM detections"""
+_WIRE = ", ".join(f"cast(cast({c} AS float) AS double) AS {c}" for c in BOX.split(", "))
+
+
+def _packed(v):
+    v("detections")
+    return v.spark.sql(_PACKED).withColumn("image", F.col("image").cast("binary"))
+
+
+@query("src1_read_crop_packets", f"SELECT path, pos::INT AS pos, device_id, source_id, class_id, object_id, cast(cast(confidence AS float) AS double) AS confidence, {_WIRE}, frame_num, ts_ms, size, size = length(image) AS ok, image FROM ({_PACKED})", ("detections",))
+def _(v):
+    files = packets.encode_packets(_packed(v), "crop")
+    return packets.decode_crop_packets(files).withColumns({"image": F.col("image").cast("string"), "object_id": F.col("object_id").cast("long"), "ts_ms": F.col("ts_ms").cast("long")})
+
+
+@query("src2_read_snapshot_packets", f"SELECT path, pos::INT AS pos, device_id, source_id, kind, {_WIRE}, ts_ms, size, size = length(image) AS ok, image FROM ({_PACKED})", ("detections",))
+def _(v):
+    files = packets.encode_packets(_packed(v), "snapshot")
+    return packets.decode_snapshot_packets(files).withColumns({"image": F.col("image").cast("string"), "ts_ms": F.col("ts_ms").cast("long")})
+
+
+@query("src10_read_thresholds", "SELECT (o_orderkey % 20 - 2)::INT AS class_id, (o_orderkey % 7 - 1) / 4 AS threshold FROM orders WHERE o_orderkey % 20 - 2 BETWEEN 0 AND 15 AND o_orderkey % 7 > 1")
+def _(v):
+    folder = f"{shared_dir(v.spark)}/thresholds-{uuid.uuid4().hex}"
+    v("orders").selectExpr("concat(o_orderkey % 20 - 2, '=', (o_orderkey % 7 - 1) / 4)").write.text(folder)
+    return src.read_thresholds(v.spark, folder)
+
+
+@query("snk2_write_detections", "SELECT det_id, device_id, ts_ms, strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d') AS date FROM detections", ("detections",))
 def _(v):
-    return devices(v).select("id", F.explode("stream_uris").alias("token", "uri"), "ptz")
+    folder = f"{shared_dir(v.spark)}/detections-{uuid.uuid4().hex}"
+    sinks.write_detections(v("detections"), folder)
+    return v.spark.read.parquet(folder).select("det_id", "device_id", "ts_ms", F.col("date").cast("string").alias("date"))
 
 
 @query("prj28_system_series", """SELECT event_id AS id, event_id * 30000 AS created_ms, cast(event_id % 100 AS double) AS cpu, cast(event_id % 90 AS double) AS ram, CASE WHEN event_id % 8 = 0 THEN cast(event_id % 70 AS double) END AS gpu_util, CASE WHEN event_id % 8 = 0 THEN 1838.0e0 END AS gpu_mem, CASE WHEN event_id % 8 = 0 THEN 66.0e0 END AS gpu_temp FROM events WHERE event_id % 4 = 0""")

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..sources.parsers import parse_source_map
 from ..streaming import operators as live
-from ..streaming.run import read_table, run_available
+from ..streaming.run import read_table, run_available, run_updates
+from .event_queries import ASSIGN
 from .fixtures import VIEWS, Views
+from .fleet_queries import watchdog_sql
+from .gate_queries import jumps_sql
 from .registry import query
 from .scalar_queries import shapes
 
@@ -35,7 +38,12 @@ def back(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn(col, F.col(col) - AHEAD_MS)
 
 
-@query("str1_stream_events")
+@query("str1_stream_events", f"""
+WITH RECURSIVE {ASSIGN},
+a AS (SELECT f.det_id, f.event_id, k.* EXCLUDE (det_id) FROM fold f JOIN k USING (det_id)),
+c AS (SELECT site_id, event_id, least(max(ts_ms) + 15000, coalesce(max(ts_ms) FILTER (class_id IN (0, 1)) + 3000, 1000000000000000), coalesce(max(ts_ms) FILTER (roi_name = 'salida') + 2000, 1000000000000000)) AS due FROM a GROUP BY ALL)
+SELECT site_id::BIGINT AS lane, 'assign' AS kind, det_id, event_id, ts_ms AS at_ms FROM a
+UNION ALL SELECT site_id, 'close', NULL, event_id, due FROM c WHERE due < (SELECT max(ts_ms) FROM a WHERE a.site_id = c.site_id) OR due <= (SELECT max(ts_ms) - 10000 FROM a)""", ("detections",))
 def _(v):
     return back(run_available(live.stream_events(with_ts(stream(v, "detections")))), "at_ms")
 
@@ -59,16 +67,18 @@ def _(v):
     return run_available(live.stream_health(events.selectExpr("user_id % 50 AS device_id", "event_id AS cycle", "(event_id * 7) % 10 < 4 AS ok")))
 
 
-@query("str4_stream_watchdog")
+@query("str4_stream_watchdog", f"""
+WITH RECURSIVE f AS (SELECT user_id % 3 AS device_id, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) AS i, event_id AS cycle, CASE event_id // 600 % 3 WHEN 0 THEN 0 WHEN 1 THEN 3 ELSE 10 END AS fps FROM events), {watchdog_sql('f')}
+SELECT device_id, cycle, reason, pending FROM w WHERE reason IS NOT NULL""")
 def _(v):
     events = read_table(v.spark, f"{v.sf_dir}/events.parquet")
     fps = "cast(CASE WHEN cast(floor(event_id / 600) AS bigint) % 3 = 0 THEN 0 WHEN cast(floor(event_id / 600) AS bigint) % 3 = 1 THEN 3 ELSE 10 + event_id % 20 END AS int)"
     return run_available(live.stream_watchdog(events.selectExpr("user_id % 3 AS device_id", "event_id AS cycle", f"{fps} AS fps")))
 
 
-@query("str5_stream_fps")
+@query("str5_stream_fps", "SELECT source_id, ts_ms // 1000 * 1000 AS window_ms, count(*) AS n, count(*)::INT AS fps FROM detections GROUP BY ALL", ("detections",))
 def _(v):
-    return back(run_available(live.stream_fps(with_ts(stream(v, "detections")))), "window_ms")
+    return back(run_updates(live.stream_fps(with_ts(stream(v, "detections"))), ("source_id", "window_ms")), "window_ms")
 
 
 @query("str6_stream_map", "SELECT det_id, CASE WHEN source_id = 0 THEN 1 ELSE -1 END AS device_id FROM detections", ("detections",))
@@ -88,9 +98,9 @@ def _(v):
     return run_available(out.select("event_id", F.array_join("roi", ";").alias("roi"), "direction", F.size("analytics").alias("n_analytics")))
 
 
-@query("str8_stream_throttle")
+@query("str8_stream_throttle", f"WITH RECURSIVE r AS (SELECT source_id::BIGINT AS source_id, ts_ms, min(det_id) AS det_id FROM detections GROUP BY ALL), {jumps_sql('r', 'source_id', '1000 <=')} SELECT source_id, det_id, ts_ms FROM t", ("detections",))
 def _(v):
-    return run_available(live.stream_throttle(stream(v, "detections"), ["source_id"], 1000))
+    return back(run_available(live.stream_throttle(with_ts(stream(v, "detections")), ["source_id"], 1000)), "ts_ms")
 
 
 @query("str9_stream_roi", """
@@ -102,9 +112,9 @@ def _(v):
     return run_available(live.stream_roi(stream(v, "detections"), static).select("det_id", "roi_name"))
 
 
-@query("str10_stream_cooldown")
+@query("str10_stream_cooldown", f"WITH RECURSIVE r AS (SELECT object_id, ts_ms, min(det_id) AS det_id FROM detections GROUP BY ALL), {jumps_sql('r', 'object_id', '30000 <=')} SELECT object_id, det_id, ts_ms FROM t", ("detections",))
 def _(v):
-    return run_available(live.stream_cooldown(stream(v, "detections")))
+    return back(run_available(live.stream_cooldown(with_ts(stream(v, "detections")))), "ts_ms")
 
 
 @query("str11_stream_consensus", """
@@ -124,3 +134,16 @@ def _(v):
     q = done.writeStream.foreachBatch(live.consensus_batch(static, save)).option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start()
     q.awaitTermination()
     return v.spark.read.schema("event_id long, container_code string, n long").parquet(f"{root}/out")
+
+
+@query("snk3_live_sink", "SELECT device_id::VARCHAR AS key, det_id, source_id, ts_ms FROM detections", ("detections",))
+def _(v):
+    import uuid
+
+    from ..sources.sinks import live_sink
+    from ..streaming.run import shared_dir
+
+    root = f"{shared_dir(v.spark)}/live-{uuid.uuid4().hex}"
+    live_sink(stream(v, "detections").select("det_id", "device_id", "source_id", "ts_ms"), f"{root}/out", f"{root}/log").awaitTermination()
+    rows = v.spark.read.schema("value string, key string").json(f"{root}/out").select("key", F.from_json("value", "det_id long, source_id int, ts_ms long").alias("m"))
+    return rows.select("key", "m.*")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 MARK = b"END!"
 # Wire layouts, little-endian.
@@ -16,13 +20,15 @@ CROP_DDL = "path string, pos int, device_id int, source_id int, class_id int, ob
 SNAPSHOT_DDL = "path string, pos int, device_id int, source_id int, kind string, bbox_left double, bbox_top double, bbox_width double, bbox_height double, ts_ms decimal(20,0), size bigint, ok boolean, image binary"
 
 
-def split_packets(data: bytes, layout: struct.Struct):
+_MARK = re.compile(re.escape(MARK))
+
+
+def split_packets(data: bytes | memoryview, layout: struct.Struct):
     """(image, header fields) of each complete packet; framing is by the first mark."""
     at = 0
-    while (mark := data.find(MARK, at)) >= 0 and mark + len(MARK) + layout.size <= len(data):
-        head = mark + len(MARK)
-        yield data[at:mark], layout.unpack_from(data, head)
-        at = head + layout.size
+    while (mark := _MARK.search(data, at)) and mark.end() + layout.size <= len(data):
+        yield bytes(data[at : mark.start()]), layout.unpack_from(data, mark.end())
+        at = mark.end() + layout.size
 
 
 def _signed(device: int) -> int:
@@ -40,28 +46,67 @@ def packet_rows(kind: str, path: str, data: bytes):
             yield (path, pos, _signed(device), source, name.split(b"\0")[0].decode("ascii", "replace"), *box, Decimal(ts), size, size == len(image), image)
 
 
-def _decode(kind: str, columns: list[str]):
-    def run(batches):
-        import pandas as pd
+#: Bytes of images that leave a task at a time.
+FLUSH_BYTES = 8 << 20
+
+
+def _decode(kind: str, schema: pa.Schema):
+    """Rows of captures, a few images at a time."""
 
+    def emit(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    def run(batches):
         for batch in batches:
-            rows = [r for path, data in zip(batch["path"], batch["content"], strict=True) for r in packet_rows(kind, path, bytes(data))]
-            yield pd.DataFrame(rows, columns=columns)
+            rows, size = [], 0
+            for path, data in zip(batch.column("path"), batch.column("content"), strict=True):
+                if not data.is_valid:
+                    continue
+                for row in packet_rows(kind, path.as_py(), memoryview(data.as_buffer())):
+                    rows.append(row)
+                    size += len(row[-1])
+                    if size >= FLUSH_BYTES:
+                        yield emit(rows)
+                        rows, size = [], 0
+            if rows:
+                yield emit(rows)
 
     return run
 
 
-def _columns(ddl: str) -> list[str]:
-    return [x.split()[0] for x in ddl.replace("(20,0)", "").split(", ")]
+def _decoded(files: DataFrame, kind: str, ddl: str) -> DataFrame:
+    schema = StructType.fromDDL(ddl)
+    return files.select("path", "content").mapInArrow(_decode(kind, to_arrow_schema(schema)), schema)
 
 
 def decode_crop_packets(files: DataFrame) -> DataFrame:
-    """Rows of captures (path, content); one whose size does not match its image has ``ok`` false."""
-    return files.select("path", "content").mapInPandas(_decode("crop", _columns(CROP_DDL)), CROP_DDL)
+    """Rows of captures (path, content); one whose size does not match its image has ``ok`` false. A null content has none."""
+    return _decoded(files, "crop", CROP_DDL)
 
 
 def decode_snapshot_packets(files: DataFrame) -> DataFrame:
-    return files.select("path", "content").mapInPandas(_decode("snapshot", _columns(SNAPSHOT_DDL)), SNAPSHOT_DDL)
+    return _decoded(files, "snapshot", SNAPSHOT_DDL)
+
+
+_FIELDS = {
+    "crop": ("device_id", "source_id", "class_id", "object_id", "confidence", "bbox_left", "bbox_top", "bbox_width", "bbox_height", "frame_num", "ts_ms", "size"),
+    "snapshot": ("device_id", "source_id", "kind", "bbox_left", "bbox_top", "bbox_width", "bbox_height", "ts_ms", "size"),
+}
+
+
+def pack_rows(kind: str, table: pa.Table) -> pa.Table:
+    """One capture of the rows of a path."""
+    table, out, layout = table.sort_by("pos"), bytearray(), CROP if kind == "crop" else SNAPSHOT
+    fields = zip(*(table.column(c).to_pylist() for c in _FIELDS[kind]), strict=True)
+    for image, (device, *rest) in zip(table.column("image").to_pylist(), fields, strict=True):
+        out += image + MARK + layout.pack(device & 0xFFFFFFFF, *(x.encode() if isinstance(x, str) else x for x in rest))
+    return pa.table({"path": [table.column("path")[0].as_py()], "content": pa.array([bytes(out)], pa.binary())})
+
+
+def encode_packets(rows: DataFrame, kind: str) -> DataFrame:
+    """Captures (path, content) of rows (path, pos, the fields of the layout, image), packed in order of ``pos``: the way back of the
+    decoders. A path is one capture, and so one task's work."""
+    return rows.select("path", "pos", *_FIELDS[kind], "image").groupBy("path").applyInArrow(lambda table: pack_rows(kind, table), "path string, content binary")
 
 
 def read_crop_packets(spark: SparkSession, path: str) -> DataFrame:
@@ -74,3 +119,22 @@ def read_snapshot_packets(spark: SparkSession, path: str) -> DataFrame:
 
 def good_and_quarantined(packets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return packets.where("ok"), packets.where(~F.col("ok"))
+
+
+#: What a recogniser returns for an image: its best text, how sure it is, and the regions that it read.
+OCR_DDL = "text string, confidence double, regions array<struct<text: string, confidence: double, bbox: array<array<double>>>>"
+
+
+def recognise(crops: DataFrame, ocr, image: str = "image") -> DataFrame:
+    """``crops`` with ``ocr``: what the function ``ocr`` reads in the images, in batches. It gets a list of images (bytes, or None)
+    and returns for each None or a dict of text, confidence and regions ([text, confidence, [[x, y], ...]] with places as parts
+    of the image's size). No engine comes with the library."""
+    kind = to_arrow_schema(StructType.fromDDL(OCR_DDL))
+
+    def run(images: pa.Array) -> pa.Array:
+        rows = []
+        for found in ocr(images.to_pylist()):
+            rows.append(found and {"text": found["text"], "confidence": float(found["confidence"]), "regions": [{"text": t, "confidence": float(c), "bbox": [[float(x) for x in p] for p in box]} for t, c, box in found.get("regions", ())]})
+        return pa.array(rows, pa.struct(list(kind)))
+
+    return crops.withColumn("ocr", F.arrow_udf(run, OCR_DDL)(F.col(image)))

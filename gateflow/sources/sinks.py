@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +34,14 @@ def to_live_message(df: DataFrame, key: str = "device_id") -> DataFrame:
     return df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*df.columns)).alias("value"))
 
 
-def live_sink(stream: DataFrame, path: str, checkpoint: str, key: str = "device_id"):
-    """Start appending live messages, by key, as JSON lines files."""
-    out = to_live_message(stream, key)
-    return out.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).partitionBy("key").trigger(availableNow=True).start()
+def live_sink(stream: DataFrame, path: str | None, checkpoint: str, key: str = "device_id", to: Callable[[DataFrame, int], None] | None = None, form: str = "json", **options):
+    """Start sending live messages: by key as files under ``path``, to the sink ``form`` with its ``options`` (a message queue, say) if
+    there is no path, or batch by batch to the function ``to``."""
+    out = to_live_message(stream, key).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if to is not None:
+        return out.foreachBatch(to).start()
+    out = out.format(form).options(**options)
+    return (out.option("path", path).partitionBy("key") if path else out).start()
 
 
 def to_api_json(df: DataFrame, ts_col: str = "ts_ms") -> DataFrame:

@@ -17,14 +17,16 @@ class Fold(StatefulProcessor):
 
     ``step(state, row)`` changes the state and returns output rows. ``due(state)`` says at which event time
     (ms) ``late(state, now)`` wants to be called if nothing more comes; it returns output rows too, and the
-    state is dropped if it is then empty. Rows come in order of ``order`` within a batch."""
+    state is dropped if it is then empty. Without ``due`` a state can have a time to live, ``ttl_ms`` of the wall clock from
+    its last change. Rows come in order of ``order`` within a batch; a batch's rows of a key are one group, so the
+    stream's trigger should be limited (``read_table``)."""
 
-    def __init__(self, fields, order, columns, step: Callable, due: Callable | None = None, late: Callable | None = None):
-        self.fields, self.order, self.columns, self.step, self.due, self.late = fields, order, columns, step, due, late
+    def __init__(self, fields, order, columns, step: Callable, due: Callable | None = None, late: Callable | None = None, ttl_ms: int | None = None):
+        self.fields, self.order, self.columns, self.step, self.due, self.late, self.ttl_ms = fields, order, columns, step, due, late, ttl_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "json string")
+        self.state = handle.getValueState("state", "json string", **({"ttlDurationMs": self.ttl_ms} if self.ttl_ms else {}))
 
     def _load(self) -> dict:
         return json.loads(self.state.get()[0]) if self.state.exists() else {}
@@ -62,11 +64,11 @@ class Fold(StatefulProcessor):
         pass
 
 
-def fold(df: DataFrame, keys: list[str], order: list[str], out: str, step: Callable, due: Callable | None = None, late: Callable | None = None) -> DataFrame:
+def fold(df: DataFrame, keys: list[str], order: list[str], out: str, step: Callable, due: Callable | None = None, late: Callable | None = None, ttl_ms: int | None = None) -> DataFrame:
     """Apply a :class:`Fold` to a stream; with ``due`` it must have a watermark."""
     spark = df.sparkSession
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != PROVIDER:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     columns = [f.strip().split()[0] for f in out.split(",")]
     fields = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).transformWithStateInPandas(Fold(fields, order, columns, step, due, late), outputStructType=out, outputMode="Append", timeMode="eventTime" if due else "none")
+    return df.groupBy(*keys).transformWithStateInPandas(Fold(fields, order, columns, step, due, late, None if due else ttl_ms), outputStructType=out, outputMode="Append", timeMode="eventTime" if due else "processingTime" if ttl_ms else "none")

@@ -78,8 +78,13 @@ def stream_truck_gate(analytics: DataFrame, strict: bool = True, delay: str = "1
     return fold(df, ["source_id", "truck_id"], ["ts_ms", "det_id"], "source_id long, truck_id long, event string, ts_ms long", step, lambda s: s["last"] + idle_ms, late)
 
 
-def stream_health(pings: DataFrame, failures: int = 3) -> DataFrame:
-    """Changes of status, with the cycle since when a device is offline."""
+#: What a live deployment passes as ``ttl_ms``: a device that says nothing for a day is forgotten.
+FORGET_MS = 86_400_000
+
+
+def stream_health(pings: DataFrame, failures: int = 3, ttl_ms: int | None = None) -> DataFrame:
+    """Changes of status, with the cycle since when a device is offline. A device is forgotten ``ttl_ms`` after its last ping;
+    such a stream goes on till it is stopped, a run over what is there leaves it out."""
 
     def step(state, r):
         n = 0 if r.ok else state.get("n", 0) + 1
@@ -87,11 +92,11 @@ def stream_health(pings: DataFrame, failures: int = 3) -> DataFrame:
         state["online"] = n < failures
         return [(r.cycle, state["online"], None if state["online"] else r.cycle)] if state["online"] != was else []
 
-    return fold(pings.select("device_id", "cycle", "ok"), ["device_id"], ["cycle"], "device_id long, cycle long, is_online boolean, offline_since long", step)
+    return fold(pings.select("device_id", "cycle", "ok"), ["device_id"], ["cycle"], "device_id long, cycle long, is_online boolean, offline_since long", step, ttl_ms=ttl_ms)
 
 
-def stream_watchdog(fps: DataFrame, cycle_s: int = 10, pending_s: int = 3600) -> DataFrame:
-    """Restart requests, and whether one is pending already."""
+def stream_watchdog(fps: DataFrame, cycle_s: int = 10, pending_s: int = 3600, ttl_ms: int | None = None) -> DataFrame:
+    """Restart requests, and whether one is pending already; ``ttl_ms`` as in :func:`stream_health`."""
 
     def step(state, r):
         c = WatchdogCounter(state.get("zero", (0, 0)), state.get("low", (0, 0)))
@@ -103,11 +108,12 @@ def stream_watchdog(fps: DataFrame, cycle_s: int = 10, pending_s: int = 3600) ->
             state["until"] = at + pending_s
         return [(r.cycle, hit, pending)] if hit else []
 
-    return fold(fps.select("device_id", "cycle", "fps"), ["device_id"], ["cycle"], "device_id long, cycle long, reason string, pending boolean", step)
+    return fold(fps.select("device_id", "cycle", "fps"), ["device_id"], ["cycle"], "device_id long, cycle long, reason string, pending boolean", step, ttl_ms=ttl_ms)
 
 
 def stream_fps(frames: DataFrame, delay: str = "10 seconds") -> DataFrame:
-    """Frames per second and source in tumbling windows of one second."""
+    """Frames per second and source in tumbling windows of one second. In append mode a window is told when the watermark has
+    passed it, so the last ones wait for later rows; ``run_updates`` tells them all."""
     g = frames.withWatermark("ts", delay).groupBy(F.window("ts", "1 second"), "source_id").agg(F.count("*").alias("n"))
     return g.select("source_id", F.unix_millis("window.start").alias("window_ms"), "n", F.floor(F.col("n") + 0.5).cast("int").alias("fps"))
 
@@ -138,8 +144,11 @@ def preset_filter(events: DataFrame, active: DataFrame) -> DataFrame:
     }).drop("active_token")
 
 
-def stream_throttle(df: DataFrame, keys: list[str], interval_ms: int) -> DataFrame:
-    """Of each key at most one row per interval, counted from the last that went through."""
+def stream_throttle(df: DataFrame, keys: list[str], interval_ms: int, delay: str = "10 seconds") -> DataFrame:
+    """Of each key at most one row per interval, counted from the last that went through.
+
+    ``df`` has a timestamp column ``ts``; rows later than ``delay`` behind the stream's newest are dropped by the watermark. A key
+    is forgotten once the watermark is an interval past its last row, when any row would go through."""
 
     def step(state, r):
         if "last" in state and r.ts_ms - state["last"] < interval_ms:
@@ -147,13 +156,17 @@ def stream_throttle(df: DataFrame, keys: list[str], interval_ms: int) -> DataFra
         state["last"] = r.ts_ms
         return [(r.det_id, r.ts_ms)]
 
-    df = df.select(*(F.col(k).cast("long").alias(k) for k in keys), "det_id", "ts_ms")
-    return fold(df, keys, ["ts_ms", "det_id"], ", ".join([*(f"{k} long" for k in keys), "det_id long", "ts_ms long"]), step)
+    def late(state, now):
+        state.clear()
+        return []
+
+    df = df.withWatermark("ts", delay).select("ts", *(F.col(k).cast("long").alias(k) for k in keys), "det_id", "ts_ms")
+    return fold(df, keys, ["ts_ms", "det_id"], ", ".join([*(f"{k} long" for k in keys), "det_id long", "ts_ms long"]), step, lambda s: s["last"] + interval_ms, late)
 
 
-def stream_cooldown(df: DataFrame, identity: str = "object_id", interval_ms: int = 30_000) -> DataFrame:
-    """An identity once in 30 s."""
-    return stream_throttle(df, [identity], interval_ms)
+def stream_cooldown(df: DataFrame, identity: str = "object_id", interval_ms: int = 30_000, delay: str = "10 seconds") -> DataFrame:
+    """An identity once in 30 s, and forgotten after."""
+    return stream_throttle(df, [identity], interval_ms, delay)
 
 
 def consensus_batch(det: DataFrame, save: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:

@@ -4,23 +4,33 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set."""
+    """The cluster's shared folder (``spark.checkpoint.dir``). Where it is unset a local session, as in tests, gets a
+    temporary one; a cluster has no folder that all its machines see by then."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="gateflow-streams-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = _local_dir()
     return folder.rstrip("/")
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table, a folder or a single file, as a stream of its files."""
+@lru_cache(maxsize=None)
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="gateflow-streams-")
+
+
+def read_table(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
+    """A Parquet table, a folder or a single file, as a stream of its files, at most so many a batch."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern may name a file
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern may name a file
 
 
 def run_available(stream: DataFrame, output_mode: str = "append") -> DataFrame:
@@ -30,3 +40,16 @@ def run_available(stream: DataFrame, output_mode: str = "append") -> DataFrame:
     q = stream.writeStream.format("parquet").outputMode(output_mode).option("path", f"{root}/out").option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+def run_updates(stream: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Run an aggregation over what is there now and return the last row of each key. Rows are taken as they are
+    updated, so that the last windows are told as well, which in append mode wait for a later row."""
+    spark = stream.sparkSession
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    save = lambda batch, k: batch.withColumn("_batch", F.lit(k)).write.mode("overwrite").parquet(f"{root}/out/_n={k}")  # noqa: E731  a batch that is run again replaces itself
+    q = stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("_batch", LongType())])).parquet(f"{root}/out")
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("r")).select(*keys, "r.*")

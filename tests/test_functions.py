@@ -105,6 +105,30 @@ def test_snapshot_packets(spark, tmp_path):
     assert (r.device_id, r.kind, int(r.ts_ms), r.ok) == (5, "lc", 77, True)
 
 
+def test_packets_round_trip(spark):
+    rows = [("a", 1, -1, 2, "lc", 0.5, 0.25, 0.125, 1.0, 77, 3, b"two"), ("a", 0, 5, 1, "roi", 0.5, 0.5, 0.25, 0.25, 7, 9, b""), ("b", 0, 5, 1, "oc", 0.0, 0.0, 0.0, 0.0, 2**40, 1, b"x")]
+    df = spark.createDataFrame(rows, "path string, pos int, device_id int, source_id int, kind string, bbox_left double, bbox_top double, bbox_width double, bbox_height double, ts_ms long, size long, image binary")
+    got = packets.decode_snapshot_packets(packets.encode_packets(df, "snapshot")).withColumn("ts_ms", F.col("ts_ms").cast("long")).collect()
+    assert sorted((*(r[c] for c in df.columns[:-1]), bytes(r.image)) for r in got) == sorted(rows)
+    assert packets.decode_crop_packets(spark.createDataFrame([("a", None)], "path string, content binary")).count() == 0
+
+
+def test_any_recogniser(spark):
+    def ocr(images):
+        return [None if x is None else {"text": bytes(x).decode().upper(), "confidence": 0.75, "regions": [[bytes(x).decode(), 0.5, [[0, 0], [1, 1]]]]} for x in images]
+
+    got = {r.id: r.ocr for r in packets.recognise(spark.createDataFrame([(1, b"ab"), (2, None)], "id int, image binary"), ocr).collect()}
+    assert got[2] is None and (got[1].text, got[1].confidence, got[1].regions[0].bbox) == ("AB", 0.75, [[0.0, 0.0], [1.0, 1.0]])
+
+
+def test_live_sink_to_a_function(spark, tmp_path):
+    spark.range(5).selectExpr("id AS det_id", "cast(id % 2 AS int) AS device_id").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("det_id long, device_id int").parquet(str(tmp_path / "in"))
+    seen = []
+    sinks.live_sink(stream, None, str(tmp_path / "log"), to=lambda batch, _: seen.extend(batch.collect())).awaitTermination()
+    assert sorted(r.key for r in seen) == ["0", "0", "0", "1", "1"]
+
+
 def bmp(pixels, width):
     """A 24-bit bitmap of (r, g, b) rows."""
     rows = [pixels[k : k + width] for k in range(0, len(pixels), width)][::-1]

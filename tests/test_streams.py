@@ -64,6 +64,17 @@ def test_throttle(files):
     assert got == {r.det_id for r in win.throttle(batch, ("source_id",), 1000).collect()}
 
 
+def test_throttle_forgets(spark, tmp_path):
+    """A key's state is gone once the watermark is past its interval; what comes then goes through as it would have."""
+    rows = [[(1, 1, 1000), (2, 2, 1500)], [(3, 1, 60_000), (4, 1, 60_500)], [(5, 2, 90_000), (6, 1, 90_500)]]
+    for k, part in enumerate(rows):
+        spark.createDataFrame(part, "det_id long, source_id long, ts_ms long").withColumn("ts", F.timestamp_millis("ts_ms")).coalesce(1).write.mode("append").parquet(str(tmp_path))
+        for f in sorted(glob.glob(f"{tmp_path}/*.parquet"), key=os.path.getmtime)[k:]:
+            os.utime(f, (1_700_000_000 + 10 * k,) * 2)
+    s = spark.readStream.schema("det_id long, source_id long, ts_ms long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+    assert sorted(r.det_id for r in run_available(live.stream_throttle(s, ["source_id"], 1000)).collect()) == [1, 2, 3, 5, 6]
+
+
 def test_watchdog(spark):
     f = Views(spark, SF)("fps")
     events = read_table(spark, f"{SF}/events.parquet")
