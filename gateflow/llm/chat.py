@@ -37,7 +37,7 @@ def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     texts of ``train_role`` inside the formatted string, without marks.
 
     Turns are collected as structs and sorted by (turn, role, text); adjacent turns of one role are
-    merged into a block by an array aggregation; the blocks are concatenated. A conversation is one
+    merged into a block, by the places where the role changes; the blocks are concatenated. A conversation is one
     output row, so its turns meet in one place and nowhere else.
 
     Defined edge cases: a null text or role is empty; a null turn sorts first; repeated rows are turns
@@ -49,43 +49,41 @@ def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
     turns = df.groupBy(F.col(conv_col).alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    # a block: its role, whether it is trained on, and its escaped texts
-    block = "struct<role:string,texts:array<string>>"
-    empty = F.expr(f"cast(array() as array<{block}>)")
-
-    def merge(blocks: Column, t: Column) -> Column:
-        last = F.element_at(blocks, -1)
-        opened = F.struct(t.role.alias("role"), F.array(escape(t.text)).alias("texts"))
-        grown = F.struct(last.role.alias("role"), F.concat(last.texts, F.array(escape(t.text))).alias("texts"))
-        same = (F.size(blocks) > 0) & (F.try_element_at(blocks, F.lit(-1)).role == t.role)
-        return F.when(same, F.concat(F.slice(blocks, 1, F.size(blocks) - 1), F.array(grown))).otherwise(F.concat(blocks, F.array(opened)))
-
-    blocks = turns.select("conv_id", F.aggregate("turns", empty, merge).alias("blocks"))
-    # pieces in order: marks and texts, each with whether the loss counts it
-    pieces = F.flatten(
-        F.transform(
-            "blocks",
-            lambda b: F.concat(
-                F.array(F.struct(F.concat(F.lit(START), _role_out(b.role), F.lit("\n")).alias("s"), F.lit(False).alias("loss"))),
-                F.slice(
-                    F.flatten(F.transform(b.texts, lambda t: F.array(F.struct(F.lit(NEXT).alias("s"), F.lit(False).alias("loss")), F.struct(t.alias("s"), (b.role == train_role).alias("loss"))))),
-                    2, 2 * F.size(b.texts),
-                ),
-                F.array(F.struct(F.lit(END).alias("s"), F.lit(False).alias("loss"))),
-            ),
-        )
-    )
-    pieces = blocks.select("conv_id", pieces.alias("pieces"))
-    start = F.struct(F.lit(1).alias("at"), F.expr("cast(array() as array<struct<start:int,length:int>>)").alias("spans"))
-    spans = F.aggregate(
-        "pieces", start,
-        lambda s, p: F.struct(
-            (s.at + F.length(p.s)).alias("at"),
-            F.when(p.loss, F.concat(s.spans, F.array(F.struct(s.at.alias("start"), F.length(p.s).alias("length"))))).otherwise(s.spans).alias("spans"),
-        ),
-        lambda s: s.spans,
-    )
-    return pieces.select("conv_id", F.array_join(F.transform("pieces", lambda p: p.s), "").alias("formatted"), spans.alias("loss_spans"))
+    # where blocks begin; a block is then a slice of the turns, and nothing is grown turn by turn
+    role = lambda i: F.get("turns", i).role
+    starts = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: (i == 0) | (role(i) != role(i - 1)))
+    turns = turns.select("conv_id", "turns", starts.alias("starts"))
+    mark = lambda c: F.struct(c.alias("s"), F.lit(False).alias("loss"))
+
+    def block(start: Column, j: Column) -> Column:
+        n = F.coalesce(F.get("starts", j + 1), F.size("turns")) - start
+        texts = F.transform(F.slice("turns", start + 1, n), lambda t: F.array(mark(F.lit(NEXT)), F.struct(escape(t.text).alias("s"), (t.role == train_role).alias("loss"))))
+        opened = mark(F.concat(F.lit(START), _role_out(role(start)), F.lit("\n")))
+        return F.concat(F.array(opened), F.slice(F.flatten(texts), F.lit(2), 2 * n), F.array(mark(F.lit(END))))
+
+    # pieces in order: marks and texts, each with whether the loss counts it, and where each begins
+    pieces = turns.select("conv_id", F.flatten(F.transform("starts", block)).alias("pieces"))
+    pieces = pieces.select("conv_id", "pieces", _running(F.transform("pieces", lambda p: F.length(p.s))).alias("at"))
+    spans = F.zip_with("pieces", "at", lambda p, at: F.when(p.loss, F.struct((at + 1).alias("start"), F.length(p.s).alias("length"))))
+    formatted = F.array_join(F.transform("pieces", lambda p: p.s), "")
+    return pieces.select("conv_id", formatted.alias("formatted"), F.filter(spans, lambda s: s.isNotNull()).alias("loss_spans"))
+
+
+def _running(lengths: Column) -> Column:
+    """The sum of the lengths before each: inside slices as long as there are slices, then over these, as an array that
+    grows is copied at each step."""
+    let = lambda value, f: F.transform(F.array(value), f)[0]
+
+    def sums(a: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(a, start, lambda s, x: F.struct((s.at + x).alias("at"), F.concat(s.out, F.array(s.at)).alias("out")), lambda s: s.out)
+
+    def sliced(a: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(a))).cast("int")
+        parts = let(width, lambda w: F.transform(F.sequence(F.lit(0), F.size(a) - 1, w), lambda i: F.slice(a, i + 1, w)))
+        return let(parts, lambda ps: F.flatten(F.zip_with(sums(F.transform(ps, lambda p: F.aggregate(p, F.lit(0), lambda x, y: x + y))), ps, lambda before, p: F.transform(sums(p), lambda x: x + before))))
+
+    return let(lengths, sliced)
 
 
 def parse_chats(formatted: DataFrame, col: str = "formatted") -> DataFrame:
