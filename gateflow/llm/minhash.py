@@ -1,9 +1,9 @@
 """MinHash near-dedup by min-max hashing.
 
 Every permutation gives two signature values, the least and the greatest image of the shingle
-set, so 72 evaluations make a signature of 144 values (Ji et al., "Min-Max Hash", 2013: unbiased, and
-of lower variance than 144 minima). Bands of 6 values (both ends of 3 permutations) find a pair of
-similarity 0.85 in at least one of 24 bands with probability 1 - 1e-5.
+set, so 108 evaluations make a signature of 216 values (Ji et al., "Min-Max Hash", 2013: unbiased, and
+of lower variance than 216 minima). Bands of 6 values (both ends of 3 permutations) find a pair of
+similarity 0.80 in at least one of 36 bands but for 2 pairs in 100,000, one of 0.85 but for 4 in 10^8.
 
 What follows does without pairs inside a group:
 
@@ -11,8 +11,8 @@ What follows does without pairs inside a group:
 2. Star pass: in each band bucket every member is paired with the bucket's least member only.
 3. Confirmed links make components. A bucket whose members are all in one component is settled.
    In the others, members outside the bucket's largest component are compared with all of the bucket, in
-   blocks of documents: first by their signatures (4 standard deviations of slack), then by their sets
-   of 32-bit shingle hashes. Only pairs of different components that are links by those (one percent
+   blocks of documents, a pair in the first bucket that it shares: first by their signatures (6 standard deviations
+   of slack), then by their sets of 32-bit shingle hashes. Only pairs of different components that are links by those (one percent
    of slack) leave a block, so a group of documents that are alike but not linked gives no rows.
 
 Every link is confirmed on the full shingle sets of both texts. A link between documents already
@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import components, lean, mix64, seeds, stage, windows_hash, word_chunks
 
-PERMUTATIONS, BANDS, BAND_PERMS = 72, 24, 3
-LEFT_BLOCK, RIGHT_BLOCK = 128, 512
-SIGMA = 4.0
+PERMUTATIONS, BANDS, BAND_PERMS = 108, 36, 3
+LEFT_BLOCK, RIGHT_BLOCK = 512, 2048
+SIGMA = 6.0
 
 
 def shingle_sets(texts: pa.Array, width: int):
@@ -153,6 +153,8 @@ def _in_block(percent: int):
         sig = lambda t: np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint16).reshape(t.num_rows, -1)
         col = lambda t, c: t.column(c).to_numpy()
         x, y = sig(left), sig(right)
+        bands = lambda t: t.column("bands").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        left_bands, right_bands, band = bands(left), bands(right), table.column("band")[0].as_py()
         sets = lambda t: [np.frombuffer(v, dtype=np.uint32) for v in t.column("set").to_pylist()]
         left_sets, right_sets = sets(left), sets(right)
 
@@ -164,6 +166,7 @@ def _in_block(percent: int):
         for i in range(left.num_rows):
             n, m = col(left, "n")[i], col(right, "n")
             ok = (col(right, "comp") != col(left, "comp")[i]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            ok[ok] = (right_bands[ok] == left_bands[i]).argmax(axis=1) == band  # else they meet in an earlier bucket
             ok[ok] = _estimated(x[i], y[ok]) >= _slack(percent)
             ok[ok] = [alike(i, j) for j in np.flatnonzero(ok)]
             b.append(col(right, "doc_id")[ok])
@@ -189,14 +192,21 @@ def minhash_near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     full = prof.where("n > 0 and doc_id is not null")
     key = ["n", "f1", "f2"]
     classes = stage(full.groupBy(*key).agg(F.min(F.struct("doc_id", "bands", "sig")).alias("r")).select(*key, "r.*"))
-    member = classes.select("doc_id", "n", F.explode("bands").alias("bucket"))
+    member = classes.select("doc_id", "n", F.posexplode("bands").alias("band", "bucket"))
     heads = member.groupBy("bucket").agg(F.min(F.struct("doc_id", "n")).alias("head"), F.count("*").alias("size")).where("size > 1").select("bucket", F.col("head.doc_id").alias("a"), F.col("head.n").alias("n_a"))
     star = member.join(heads, "bucket").where(f"doc_id <> a and 100 * least(n, n_a) >= {percent} * greatest(n, n_a)").select("a", F.col("doc_id").alias("b")).distinct()
     sigs = classes.select("doc_id", "sig")
     near = lambda c: sigs.select(F.col("doc_id").alias(c), F.col("sig").alias(f"sig_{c}"))
     star = stage(star.join(near("a"), "a").join(near("b"), "b").mapInArrow(lean(_near_by_signature(percent)), "a long, b long"))
-    texts = lambda c: docs.where("doc_id is not null").select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-    confirm = lambda pairs: stage(pairs.join(texts("a"), "a").join(texts("b"), "b").mapInArrow(lean(_confirm(width, percent)), "a long, b long"))
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        """The pairs that are links by their full sets. The texts of their documents alone are dealt out, once, for both sides."""
+        ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
+        held = stage(docs.join(ids, "doc_id", "left_semi").repartition(buckets, "doc_id"), by="doc_id")
+        texts = lambda c: held.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
+        return stage(pairs.join(texts("a"), "a").join(texts("b"), "b").mapInArrow(lean(_confirm(width, percent)), "a long, b long"))
+
     links = confirm(star)
     comp = components(links)
 
@@ -210,10 +220,10 @@ def minhash_near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # a semi-join of the ids' own rows: each needed text is read once, however many buckets it is in
     needed = docs.join(rest.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = stage(needed.mapInArrow(lean(_short_sets(width)), "doc_id long, set binary"))
-    rest = rest.join(sigs.join(sets, "doc_id"), "doc_id")
+    rest = rest.join(classes.select("doc_id", "sig", "bands").join(sets, "doc_id"), "doc_id")
     block = lambda n, of: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(of)
     place = lambda n: F.pmod(F.xxhash64("doc_id", "bucket"), F.col(n)).cast("int")
-    cols = ["doc_id", "n", "comp", "bucket", "sig", "set"]
+    cols = ["doc_id", "n", "comp", "bucket", "band", "bands", "sig", "set"]
     left = rest.where("comp <> main").select(*cols, F.lit(True).alias("left"), place("lefts").alias("i"), block("rights", "j"))
     right = rest.select(*cols, F.lit(False).alias("left"), place("rights").alias("j"), block("lefts", "i")).select(*left.columns)
     more = left.unionAll(right).groupBy("bucket", "i", "j").applyInArrow(lean(_in_block(percent)), "a long, b long").distinct()
