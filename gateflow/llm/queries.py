@@ -165,6 +165,24 @@ link AS (
 ), {_COMPONENTS}
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(m, d.doc_id)) AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least ON least.id = d.doc_id
+""",
+        "op6_sharding": f"""
+WITH RECURSIVE jump AS (
+  SELECT doc_id, (coalesce(doc_id, 0)::HUGEINT + 18446744073709551616::HUGEINT) % 18446744073709551616::HUGEINT AS key, 0::BIGINT AS b FROM documents
+  UNION ALL
+  SELECT doc_id, k, j FROM (
+    SELECT doc_id, k, floor((b + 1) * (2147483648.0::DOUBLE / ((k // 8589934592::HUGEINT)::DOUBLE + 1)))::BIGINT AS j
+    FROM (SELECT doc_id, b, (key * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT AS k FROM jump))
+  WHERE j <= {N_SHARDS}
+),
+placed AS (SELECT doc_id, max(b) FILTER (b < {N_SHARDS}) AS shard, max(b) AS grown FROM jump GROUP BY doc_id),
+crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, i) AS c FROM range(256) r(i))
+),
+bytes AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: 16 * (instr('0123456789ABCDEF', h[1]) - 1) + instr('0123456789ABCDEF', h[2]) - 1) AS b FROM documents),
+sums AS (SELECT doc_id, len(b) AS size, xor(CASE WHEN len(b) = 0 THEN 4294967295 ELSE list_reduce(b, lambda a, x: xor(t[(xor(a, x) & 255) + 1], a // 256), 4294967295) END, 4294967295) AS crc FROM bytes, crc)
+SELECT s.doc_id, (size + 8)::BIGINT AS size, crc AS text_crc32, 'key' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY coalesce(s.doc_id, 0)) - 1 AS slot, grown::INT AS grown_shard
+FROM sums s JOIN placed p ON p.doc_id = s.doc_id
 """,
         "op7_substring_dedup": f"""
 WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),

@@ -285,6 +285,9 @@ def test_shards(spark):
     assert all(len(v) == 1 for v in by_key.values())
     assert sharding.jump_shards(df.limit(0), 24).count() == 0
     assert sharding.jump_shards(spark.createDataFrame([(None,)], "doc_id long"), 24).first().slot == 0
+    named = spark.createDataFrame([("a1", 7, 8), ("b", 7, 8), (None, 7, 8), ("a1", 7, 8)], "doc_id string, slot int, `x.y` int")
+    rows = sharding.jump_shards(named, 3).collect()
+    assert len(rows) == 4 and len({r.shard for r in rows if r.doc_id == "a1"}) == 1 and {r["x.y"] for r in rows} == {8}
 
 
 def test_jump_hash_by_the_book():
