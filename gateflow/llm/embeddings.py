@@ -44,31 +44,58 @@ def _by_dim(batch: pa.RecordBatch):
         yield int(d), batch.filter(pa.array(dims == d))
 
 
-def _gram(batches):
-    sums = {}
-    for batch in batches:
-        for d, part in _by_dim(batch):
-            u = unit(_matrix(part.column("emb")))
-            sums[d] = sums.get(d, 0) + u.T @ u
-    for d, g in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(d * d, d, dtype=np.int32)), pa.array(np.arange(d * d, dtype=np.int32)), pa.array(g.ravel())], ["dim", "pos", "v"])
-
-
-def pca_bases(vectors: DataFrame, max_dim: int = 1024, max_kinds: int = 16) -> dict[int, np.ndarray]:
-    """Principal axes for each vector length, largest first, from the summed outer products of all
-    vectors: at most ``max_kinds`` matrices of ``max_dim`` squared reach the driver, whatever the rows.
-    Other lengths keep their own axes."""
-    kinds = [r.dim for r in vectors.where(F.col("dim") <= max_dim).groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(max_kinds).collect()]
+def _gram(directions: dict[int, np.ndarray]):
+    """(dim, pos, v): of each length the sum of u u^T, or of u u^T times its ``directions``, over unit vectors u."""
+
+    def run(batches):
+        sums = {}
+        for batch in batches:
+            for d, part in _by_dim(batch):
+                u = unit(_matrix(part.column("emb")))
+                sums[d] = sums.get(d, 0) + u.T @ (u @ directions[d] if d in directions else u)
+        for d, g in sums.items():
+            flat = g.ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), d, dtype=np.int32)), pa.array(np.arange(len(flat), dtype=np.int64)), pa.array(flat)], ["dim", "pos", "v"])
+
+    return lean(run)
+
+
+def pca_bases(vectors: DataFrame, axes: int = 256, budget: int = 64 << 20) -> dict[int, np.ndarray]:
+    """The first principal axes of every vector length, largest first, over all its vectors: at most ``axes``, and so few that
+    those of all lengths together take ``budget`` bytes, whatever the rows. For lengths up to ``axes`` they
+    come from the sum of outer products, for longer ones from two rounds of subspace iteration, whose sums have a few
+    columns only."""
+    kinds = [r.dim for r in vectors.select("dim").distinct().collect()]
     if not kinds:
         return {}
-    rows = vectors.where(F.col("dim").isin(kinds)).select("dim", "emb").mapInArrow(lean(_gram), "dim int, pos int, v double").groupBy("dim", "pos").agg(F.sum("v").alias("v")).toArrow()
+    axes = max(1, min(axes, budget // (8 * sum(kinds))))
+    long = [d for d in kinds if d > axes]
+
+    def sums(directions: dict[int, np.ndarray], some: list[int]) -> dict[int, np.ndarray]:
+        rows = vectors.where(F.col("dim").isin(some)).select("dim", "emb").mapInArrow(_gram(directions), "dim int, pos long, v double").groupBy("dim", "pos").agg(F.sum("v").alias("v")).toArrow()
+        dim, pos, v = (rows.column(c).to_numpy() for c in ("dim", "pos", "v"))
+        out = {}
+        for d in some:
+            out[d] = np.zeros(d * (directions[d].shape[1] if d in directions else d))
+            out[d][pos[dim == d]] = v[dim == d]
+            out[d] = out[d].reshape(d, -1)
+        return out
+
     out = {}
-    dim, pos, v = (rows.column(c).to_numpy() for c in ("dim", "pos", "v"))
-    for d in kinds:
-        g = np.zeros(d * d)
-        g[pos[dim == d]] = v[dim == d]
-        _, axes = np.linalg.eigh(g.reshape(d, d))
-        out[d] = np.ascontiguousarray(axes[:, ::-1])
+    short = [d for d in kinds if d <= axes]
+    for d, g in sums({}, short).items() if short else ():
+        out[d] = np.ascontiguousarray(np.linalg.eigh(g)[1][:, ::-1])
+    if long:
+        width = {d: min(d, axes + 8) for d in long}
+        q = {d: np.linalg.qr(np.random.default_rng(d).normal(size=(d, width[d])))[0] for d in long}
+        for last in (False, True):
+            y = sums(q, long)
+            if not last:
+                q = {d: np.linalg.qr(y[d])[0] for d in long}
+        for d in long:
+            small = q[d].T @ y[d]
+            turn = np.linalg.eigh((small + small.T) / 2)[1][:, ::-1]
+            out[d] = np.ascontiguousarray((q[d] @ turn)[:, :axes])
     return out
 
 
@@ -76,8 +103,7 @@ def _tiles(bases: dict[int, np.ndarray], rows: int):
     def order(batches):
         for batch in batches:
             for d, part in _by_dim(batch):
-                axis = bases[d][:, 0] if d in bases else np.eye(d)[0]
-                yield part.append_column("z", pa.array(unit(_matrix(part.column("emb"))) @ axis))
+                yield part.append_column("z", pa.array(unit(_matrix(part.column("emb"))) @ bases[d][:, 0]))
 
     def cut(batches):
         from pyspark import TaskContext
@@ -89,14 +115,14 @@ def _tiles(bases: dict[int, np.ndarray], rows: int):
             t = pa.Table.from_batches(parts)
             label, d = t.column("label")[0].as_py(), t.column("dim")[0].as_py()
             x = np.concatenate([_matrix(c) for c in t.column("emb").chunks])
-            z = unit(x) @ bases[d] if d in bases else unit(x)
+            z = unit(x) @ bases[d][:, :LEAD]
             made += 1
             return pa.RecordBatch.from_pylist(
                 [{
                     "tile": (task << 32) + made, "label": label, "dim": d, "n": len(x),
                     "ids": t.column("id").to_numpy().tobytes(), "counts": t.column("c").to_numpy().tobytes(),
                     "x": x.astype(np.float32).tobytes() if x.dtype == np.float32 else x.astype(np.float64).tobytes(),
-                    "lo": z[:, :LEAD].min(axis=0).tolist(), "hi": z[:, :LEAD].max(axis=0).tolist(),
+                    "lo": z.min(axis=0).tolist(), "hi": z.max(axis=0).tolist(),
                 }],
                 schema=pa.schema([("tile", pa.int64()), ("label", pa.string()), ("dim", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("x", pa.binary()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64()))]),
             )
@@ -124,12 +150,13 @@ def _tiles(bases: dict[int, np.ndarray], rows: int):
     return order, cut
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray, basis: np.ndarray | None, threshold: float, same: bool):
-    """(i, j) with cosine of a[i] and b[j] at the threshold or above; i < j if ``same``."""
-    ua, ub = unit(a), unit(b)
-    za, zb = (ua @ basis, ub @ basis) if basis is not None else (ua, ub)
+def near_pairs(a: np.ndarray, b: np.ndarray, basis: np.ndarray, threshold: float, same: bool):
+    """(i, j) with cosine of a[i] and b[j] at the threshold or above; i < j if ``same``.
+
+    ``basis`` has the leading axes; what a unit vector has outside of the first k is the rest of its length 1."""
+    za, zb = unit(a) @ basis, unit(b) @ basis
     d = za.shape[1]
-    rest = lambda z, k: np.sqrt((z[:, k:] ** 2).sum(axis=1))
+    rest = lambda z, k: np.sqrt(np.maximum(1 - (z[:, :k] ** 2).sum(axis=1), 0) + 1e-14)  # noqa: E731  never less than it is
     k = min(STEP, d)
     part = za[:, :k] @ zb[:, :k].T
     i, j = np.nonzero(part + rest(za, k)[:, None] * rest(zb, k)[None, :] >= threshold - SLACK)
@@ -174,7 +201,7 @@ def _compare(bases: dict[int, np.ndarray], threshold: float):
                 r = batch.slice(k, 1).to_pylist()[0]
                 same = r["tile_a"] == r["tile_b"]
                 (ia, ca, xa), (ib, cb, xb) = read(r, "a"), read(r, "b")
-                i, j = near_pairs(xa, xb, bases.get(r["dim"]), threshold, same)
+                i, j = near_pairs(xa, xb, bases[r["dim"]], threshold, same)
                 if not len(i):
                     continue
                 ids, counts = (ia, ca) if same else (np.concatenate([ia, ib]), np.concatenate([ca, cb]))

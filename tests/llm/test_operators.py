@@ -78,6 +78,22 @@ def test_embedding_links(spark):
     assert embeddings.embedding_near_dedup(df.limit(0)).count() == 0
 
 
+def test_embedding_axes(spark):
+    """Long vectors get their axes by subspace iteration, short ones from all outer products; few axes change no result."""
+    rng = np.random.default_rng(5)
+    low = rng.normal(size=(300, 4)) @ rng.normal(size=(4, 40)) + 0.01 * rng.normal(size=(300, 40))
+    rows = [(i, v.tolist(), 40) for i, v in enumerate(low)] + [(900 + i, v.tolist(), 3) for i, v in enumerate(rng.normal(size=(50, 3)))]
+    df = spark.createDataFrame(rows, "id long, emb array<double>, dim int")
+    exact, few = embeddings.pca_bases(df), embeddings.pca_bases(df, axes=6)
+    assert exact[40].shape == (40, 40) and few[40].shape == (40, 6) and few[3].shape == (3, 3)
+    assert np.allclose(np.abs(np.diag(exact[40][:, :4].T @ few[40][:, :4])), 1, atol=1e-6)
+    assert np.allclose(few[40].T @ few[40], np.eye(6), atol=1e-9)
+    want = {(i, j) for i in range(300) for j in range(i) if low[i] @ low[j] / np.linalg.norm(low[i]) / np.linalg.norm(low[j]) >= 0.93}
+    for basis in (exact[40], few[40], few[40][:, :1]):
+        i, j = embeddings.near_pairs(low, low, basis, 0.93, True)
+        assert {(b, a) for a, b in zip(i.tolist(), j.tolist(), strict=True)} == want
+
+
 # --- 2 urls ------------------------------------------------------------------------------------
 
 URLS = ["http://a.Example.org/es/x", "http://example.org/en/12", "http://example.org/en/2", "http://example.orgx/es/", "x", None, "", "http://org/", "http://org", "https://u.com/fr/a?b#c", "https://u.com/de/", "https://u.com/frx", "a://b.net/x://c.org/", "http://h.org?u=://z.com/fr/", "http://EXAMPLE.org/es/", "http://badexample.org/es/q", "://", "http:///es/"]
