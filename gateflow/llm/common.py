@@ -6,6 +6,7 @@ import ctypes
 import gc
 import inspect
 import tempfile
+import time
 import uuid
 from contextlib import contextmanager
 from functools import lru_cache, wraps
@@ -74,14 +75,22 @@ def stage(df: DataFrame, by: str | None = None) -> DataFrame:
 # --- Python workers --------------------------------------------------------------------------
 
 
+#: Seconds between two releases of a worker: a task can have thousands of small groups.
+RELEASE_S = 1.0
+_released = [0.0]
+
+
 def release() -> None:
     """Hand freed memory back to the system: a worker serves many tasks, and would keep the most that any of them took."""
+    if time.monotonic() - _released[0] < RELEASE_S:
+        return
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library
         pass
+    _released[0] = time.monotonic()
 
 
 def lean(f):
