@@ -314,6 +314,8 @@ def judge(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             found = [pa.array(pred.tolist(), pa.string()), pa.array(np.where(ok, score, 0.0)), pa.array(np.where(ok, low, np.nan), from_pandas=True), pa.array(~ok | out)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], schema=pa.schema([*list(batch.schema)[:-1], *(pa.field(c, f.type) for c, f in zip(("__lang_pred", "__score", "__entropy", "__rejected"), found, strict=True))]))
 
-    rows = df.withColumn("__text", F.col(f"`{text_col}`").cast("string"))
-    kind = T.StructType([*rows.schema.fields[:-1], T.StructField("__lang_pred", T.StringType()), T.StructField("__score", T.DoubleType()), T.StructField("__entropy", T.DoubleType()), T.StructField("__rejected", T.BooleanType())])
-    return rows.mapInArrow(lean(run), kind)
+    kept = {f"__c{i}": c for i, c in enumerate(df.columns)}
+    new = {"__lang_pred": T.StringType(), "__score": T.DoubleType(), "__entropy": T.DoubleType(), "__rejected": T.BooleanType()}
+    rows = df.select(*(F.col(f"`{c}`").alias(k) for k, c in kept.items()), F.col(f"`{text_col}`").cast("string").alias("__text"))
+    kind = T.StructType([*rows.schema.fields[:-1], *(T.StructField(c, t) for c, t in new.items())])
+    return rows.mapInArrow(lean(run), kind).select(*(F.col(k).alias(c) for k, c in kept.items()), *new)

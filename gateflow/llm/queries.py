@@ -215,8 +215,7 @@ f AS (
     CASE WHEN n_words = 0 OR word_chars / n_words < 2.0 OR word_chars / n_words > 14.0 THEN 'word_length' END,
     CASE WHEN word_chars > 0 AND n_symbols / word_chars > 0.08 THEN 'symbols' END,
     CASE WHEN n_words = 0 OR n_stop_words / n_words < 0.02 THEN 'stop_words' END,
-    CASE WHEN n_lines > 0 AND n_dup_lines / n_lines > 0.5 THEN 'repeated_lines' END,
-    CASE WHEN n_words > 0 AND n_repeat_words / n_words > 0.5 THEN 'repeated_words' END], lambda x: x IS NOT NULL) AS failed FROM m
+    CASE WHEN n_lines > 0 AND n_dup_lines / n_lines > 0.5 THEN 'repeated_lines' END], lambda x: x IS NOT NULL) AS failed FROM m
 )
 SELECT *, NOT base_failed AND len(failed) = 0 AS kept FROM f
 """,

@@ -68,7 +68,8 @@ def url_filter(df: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col
     A rule fits its host and all subdomains if the url's path starts with the rule's. Precedence: most
     host labels, then the longest path; a block wins over an equal allow; no rule: ``default``. The
     rule table is counted first: up to ``max_trie_rules`` rows become a trie held by every task;
-    beyond that the same match runs as a shuffle join on (host suffix, whole path segments).
+    beyond that the same match runs as a shuffle join on (host suffix, whole path segments) over distinct urls; a suffix that
+    many of them have makes a skewed partition, which Spark splits at run time.
 
     Defined edge cases: a null url, or one without ``://``, has an empty host and path and gets the
     default; rules with a null part are ignored, a null path is empty; repeated rows are judged each;

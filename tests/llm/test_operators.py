@@ -398,6 +398,56 @@ def test_language_held_out(spark):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
 
 
+def test_kneser_ney_by_hand(spark):
+    """Every probability of a toy corpus against the formula, written out over dictionaries."""
+    texts = ["abracadabra abra", "cadab racab dab", "abba baab"] * 4
+    model = langid.train(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id long, text string, lang string"))
+    sample = langid.fit_sample(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id long, text string, lang string"), 1000, 16_000_000).where("part <> 0").collect()
+    count = {n: Counter() for n in range(1, langid.ORDER + 1)}
+    for r in sample:
+        t = f" {r.text} "
+        for n in count:
+            for end in range(max(n - 1, 1), len(t)):
+                count[n][t[end - n + 1 : end + 1]] += 1
+    a = {langid.ORDER: count[langid.ORDER]}
+    for n in range(1, langid.ORDER):
+        different = Counter(g[1:] for g in count[n + 1])
+        a[n] = {g: different.get(g, 1) for g in count[n]}
+    d = {}
+    for n in a:
+        n1, n2 = (sum(v == k for v in a[n].values()) for k in (1, 2))
+        d[n] = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    none = 1 / (len(count[1]) + 1000)
+
+    def p(c, context):
+        n = len(context) + 1
+        below = p(c, context[1:]) if context else none
+        around = {g: v for g, v in a[n].items() if g[:-1] == context}
+        if not around:
+            return below
+        total = sum(around.values())
+        return max(around.get(context + c, 0) - d[n], 0) / total + d[n] * len(around) / total * below
+
+    for t in (" abracadabra ", " dabba cab ", " zab "):
+        points = np.array(list(t), dtype="U1").view(np.uint32)
+        got = np.exp(model.log_probs(points, np.arange(len(points)))[:, 0])
+        for k in range(1, len(t)):
+            want = p(t[k], t[max(0, k - langid.ORDER + 1) : k])
+            assert abs(got[k] - want) < 1e-4 * want, (t, k)
+
+
+def test_every_language_is_learned(spark):
+    """Many languages share the sample, none is left out, and a small one keeps its model."""
+    rng = random.Random(8)
+    alphabets = [[chr(0x4E00 + 12 * k + j) for j in range(12)] for k in range(20)]
+    text = lambda k: "".join(rng.choice(alphabets[k]) for _ in range(60))
+    rows = [(i, text(k), f"l{k:02}") for i, k in enumerate([0] * 300 + [k for k in range(20) for _ in range(12)])]
+    known = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    ask = spark.createDataFrame([(k, text(k), "x") for k in range(20)], "doc_id long, text string, score string")
+    got = {r.doc_id: r for r in langid.identify_language(ask, known, fit_chars=20_000, keep=("score", "text")).collect()}
+    assert all(got[k].lang_pred == f"l{k:02}" and 0 <= got[k].score <= 1 and got[k].text for k in range(20))
+
+
 def test_language_edges(spark):
     teach = [(i, ("the quick brown fox and the dog " if i % 2 else "der schnelle braune fuchs und das ") * 5, "en" if i % 2 else "de") for i in range(80)]
     teach += [(500, None, "en"), (501, "x", None), (None, "x", "zz")]
@@ -495,6 +545,10 @@ def test_mixing_by_blocks_is_the_same(spark):
     df = spark.range(900).selectExpr("id AS doc_id", "if(id < 700, 'a', if(id < 870, 'b', if(id < 895, null, ''))) AS source").repartition(3)
     one, two = (mixing.mix_sources(df, quantum=50, block_rows=4, group_rows=10, max_broadcast=b).orderBy("doc_id").collect() for b in (10**6, 0))
     assert one == two and len(one) == 900
+    weights = spark.createDataFrame([("a", 1.0), ("b", 3.0), (None, 1.0)], "source string, weight double")
+    got = mixing.mix_sources(df.withColumn("mix_slot", F.lit("x")), quantum=50, block_rows=4, group_rows=10, weights=weights).orderBy("mix_position").collect()
+    first = Counter(r.source for r in got[:80])
+    assert len(got) == 900 and first["b"] > 2 * first["a"] > 0
 
 
 # --- the pipeline ------------------------------------------------------------------------------
@@ -552,6 +606,39 @@ def test_pipeline_keeps_the_mix(spark, tmp_path):
     assert {(r.doc_id, r.mix_position) for r in got} == want
 
 
+ODD = [
+    (1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, "one two three four five six", "en", None, 27), (3, "one two three four five six", "en", None, 27),
+    (None, "seven eight nine ten eleven twelve", None, "b", 34), (4, " \n\t", "en", "b", 3), (5, "word " * 30_000, "en", "b", 150_000), (6, "12 34 !!", "de", "c", 8),
+]
+NAMES = ("score", "rejected", "entropy", "lang_pred", "block", "n", "n_words", "h", "old_text", "mix_slot", "mix_position", "kept_text", "ids", "component_id", "kept", "a.b", "key")
+
+
+@pytest.mark.parametrize("stage", ["language", "near_copies", "passages", "mix", "tokens"])
+def test_pipeline_stage_edges(spark, stage):
+    """Nulls, empty and long texts, repeated rows, columns with the operators' names, and an empty table, in every stage."""
+    import corpus_pipeline
+
+    f = dict(corpus_pipeline.STAGES)[stage]
+    docs = spark.createDataFrame(ODD, DOCS).withColumns({c: F.lit(c) for c in NAMES}).repartition(3)
+    rows = f(spark, docs, SF).collect()
+    texts = [(r[0], r[1]) for r in ODD]
+    if stage == "tokens":
+        assert len(rows) == len(ODD) and sorted(r.mix_position for r in rows) == list(range(len(ODD)))
+        assert {r.n_tokens for r in rows if r.doc_id in (1, 2, 4)} == {0} and next(r.n_tokens for r in rows if r.doc_id == 5) == 30_000
+    else:
+        assert all(r[c] == c for r in rows for c in NAMES) and f(spark, docs.limit(0), SF).columns == docs.columns
+        got = Counter((r.doc_id, r.text) for r in rows)
+        if stage == "language":
+            assert not {i for i, _ in got} & {1, 2, 4, 6} and set(got) <= set(texts)
+        elif stage == "near_copies":
+            assert got == Counter(set(texts))
+        elif stage == "passages":  # the long text repeats itself, short ones have no passage
+            assert got == Counter((i, "" if i == 5 else t) for i, t in texts)
+        else:
+            assert got == Counter(texts)
+    assert f(spark, docs.limit(0), SF).count() == 0
+
+
 def test_pipeline_null_and_repeated_ids(spark, tmp_path):
     """A repeated row stays once and whole, rows of one id with different texts stay both, rows without id stay."""
     import corpus_pipeline
