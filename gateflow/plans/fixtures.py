@@ -38,8 +38,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "trucks": (("detections",), "SELECT det_id AS truck_det, source_id, frame_num, object_id AS truck_id, ts_ms, bbox_left * 0.5e0 AS bbox_left, bbox_width + 0.4e0 AS bbox_width, bbox_top * 0.5e0 AS bbox_top, bbox_height + 0.4e0 AS bbox_height FROM detections WHERE class_id = 4"),
     "cargo": (("detections",), "SELECT * FROM detections WHERE class_id <> 4"),
     "truck_analytics": (("detections",), "SELECT source_id, object_id AS truck_id, ts_ms, det_id, det_id % 3 = 0 AS crossed, det_id % 4 = 1 AS in_roi FROM detections WHERE class_id = 4"),
-    "source_map": (("nation",), "SELECT cast(n_nationkey AS varchar(20)) AS key, cast(n_nationkey + 1 AS varchar(40)) AS value FROM nation WHERE n_nationkey = 0 UNION ALL SELECT concat(cast(n_nationkey AS varchar(20)), ':url'), concat('rtsp://h', cast(n_nationkey AS varchar(20))) FROM nation WHERE n_nationkey < 3 UNION ALL SELECT concat(cast(n_nationkey AS varchar(20)), ':fps'), cast(n_nationkey + 20 AS varchar(40)) FROM nation WHERE n_nationkey < 3"),
-    "presets": (("nation",), "SELECT cast(1 + n_nationkey % 4 AS int) AS device_id, concat('p', cast(n_nationkey AS varchar(20))) AS preset_token, n_nationkey AS preset_id, n_name AS preset_name, cast(n_nationkey % 5 AS double) / 10 AS x0, cast(n_nationkey % 3 AS double) / 10 AS y0, 0.4e0 AS w, 0.5e0 AS h, n_nationkey % 7 <> 6 AS has_shapes FROM nation"),
+    "source_map": (("supplier",), "SELECT cast(s_suppkey - 1 AS varchar(20)) AS key, cast(s_suppkey AS varchar(40)) AS value FROM supplier WHERE s_suppkey % 5 = 1 UNION ALL SELECT concat(cast(s_suppkey - 1 AS varchar(20)), ':url'), concat('rtsp://h', cast(s_suppkey - 1 AS varchar(20))) FROM supplier UNION ALL SELECT concat(cast(s_suppkey - 1 AS varchar(20)), ':fps'), cast(s_suppkey + 19 AS varchar(40)) FROM supplier"),
+    "presets": (("supplier",), "SELECT cast(1 + s_suppkey % 4 AS int) AS device_id, concat('p', cast(s_suppkey AS varchar(20))) AS preset_token, s_suppkey AS preset_id, s_name AS preset_name, cast(s_suppkey % 5 AS double) / 10 AS x0, cast(s_suppkey % 3 AS double) / 10 AS y0, 0.4e0 AS w, 0.5e0 AS h, s_suppkey % 7 <> 6 AS has_shapes FROM supplier"),
     "devices": (("supplier",), "SELECT s_suppkey AS id, s_name AS name, concat('10.0.', cast(s_suppkey % 7 AS varchar(9)), '.', cast(s_suppkey AS varchar(9))) AS host, cast(80 + s_suppkey % 2 AS int) AS port, CASE WHEN s_suppkey % 6 = 0 THEN '' ELSE concat('u', cast(s_suppkey AS varchar(9))) END AS username, cast(1 + s_suppkey % 2 AS int) AS site_id, CASE WHEN s_suppkey % 5 = 0 THEN 'file' ELSE 'rtsp' END AS source_type, s_suppkey % 3 <> 0 AS is_online, concat('pipe', cast(s_suppkey % 4 AS varchar(9))) AS pipeline, CASE WHEN s_suppkey % 7 = 3 THEN NULL ELSE concat('rtsp://h', cast(s_suppkey AS varchar(9)), '/a') END AS uri_a, CASE WHEN s_suppkey % 4 = 1 THEN NULL ELSE concat('rtsp://h', cast(s_suppkey AS varchar(9)), '/b') END AS uri_b, CASE WHEN s_suppkey % 9 = 2 THEN 'tok_b' ELSE 'tok_a' END AS default_token, CASE WHEN s_suppkey % 8 = 0 THEN NULL ELSE cast(90 + s_suppkey % 20 AS double) END AS h_fov_wide, s_suppkey % 4 <> 0 AS ptz FROM supplier"),
     "pings": (("events",), "SELECT user_id % 50 AS device_id, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS cycle, (event_id * 7) % 10 < 4 AS ok FROM events"),
     "fps": (("events",), "SELECT user_id % 50 AS device_id, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS cycle, cast(CASE WHEN cast(floor(event_id / 600) AS bigint) % 3 = 0 THEN 0 WHEN cast(floor(event_id / 600) AS bigint) % 3 = 1 THEN 3 ELSE 10 + event_id % 20 END AS int) AS fps FROM events"),
@@ -49,14 +49,14 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "frames_json2": (("detections",), "SELECT frame_num, concat('{\"source_id\":', cast(min(source_id) AS varchar(9)), ',\"frame_num\":', cast(frame_num AS varchar(20)), ',\"ts\":', cast(min(ts_ms) AS varchar(20)), ',\"objects\":[{\"cls\":', cast(min(class_id) AS varchar(9)), ',\"truck\":', cast(max(object_id) AS varchar(9)), ',\"conf\":0.5,\"bbox\":[0.25,0.5,0.125,0.25]}]}') AS body FROM detections GROUP BY frame_num"),
     "truck_json": (("trucks",), "SELECT truck_det, concat('{\"event\":\"', CASE WHEN truck_det % 2 = 0 THEN 'CROSS' ELSE 'ROI_IN' END, '\",\"source_id\":', cast(source_id AS varchar(9)), ',\"truck_id\":', cast(truck_id AS varchar(9)), ',\"timestamp_ms\":', cast(ts_ms AS varchar(20)), ',\"roi_name\":\"r1\",\"cargo\":[', CASE WHEN truck_det % 3 = 0 THEN '' ELSE concat('{\"class_id\":', cast(truck_det % 4 AS varchar(9)), ',\"confidence\":0.5}') END, ']}') AS body FROM trucks"),
     "config_lines": (("supplier",), "SELECT s_suppkey AS device_id, concat('table.VideoAnalyseRule[0][0].Name=rule', cast(s_suppkey AS varchar(9)), chr(10), 'table.VideoAnalyseRule[0][0].Enable=true', chr(10), CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'table.VideoAnalyseRule[0][0].Direction=LeftToRight' END, chr(10), 'table.VideoAnalyseRule[0][1].Type=CrossLineDetection', chr(10), 'bad line', chr(10), 'table.MotionDetect[0].Window[2].Sensitive=', cast(s_suppkey % 9 AS varchar(9))) AS body FROM supplier"),
-    "ini_files": (("nation",), "SELECT n_nationkey AS file_id, concat('# comment', chr(10), '[property]', chr(10), 'enable=1', chr(10), chr(10), '[roi-filtering-stream-', cast(n_nationkey AS varchar(9)), ']', chr(10), 'roi-RF=1;2;', cast(n_nationkey AS varchar(9)), chr(10), 'class-id=', cast(n_nationkey % 4 AS varchar(9)), chr(10), 'class-id=7') AS body FROM nation"),
+    "ini_files": (("supplier",), "SELECT s_suppkey AS file_id, concat('# comment', chr(10), '[property]', chr(10), 'enable=1', chr(10), chr(10), '[roi-filtering-stream-', cast(s_suppkey AS varchar(9)), ']', chr(10), 'roi-RF=1;2;', cast(s_suppkey AS varchar(9)), chr(10), 'class-id=', cast(s_suppkey % 4 AS varchar(9)), chr(10), 'class-id=7') AS body FROM supplier"),
     "metric_snapshots": (("events",), "SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'system' WHEN 1 THEN 'mediamtx' WHEN 2 THEN 'snmp' ELSE 'deepstream' END AS source, event_id * 30000 AS created_ms, CASE event_id % 4 WHEN 0 THEN concat('{\"cpu\":{\"percent\":', cast(event_id % 100 AS varchar(9)), ',\"load_1m\":1.5},\"memory\":{\"percent\":', cast(event_id % 90 AS varchar(9)), ',\"used_mb\":100,\"total_mb\":400},\"gpu\":{\"available\":', CASE WHEN event_id % 8 = 0 THEN 'true' ELSE 'false' END, ',\"gpus\":[{\"gpu_utilization_pct\":', cast(event_id % 70 AS varchar(9)), ',\"memory_used_mb\":1838,\"memory_total_mb\":4096,\"temperature_c\":66}]},\"disk\":{\"partitions\":[{\"mountpoint\":\"/data\",\"percent\":10,\"free_gb\":5},{\"mountpoint\":\"', CASE WHEN event_id % 3 = 0 THEN '/' ELSE '/x' END, '\",\"percent\":20,\"free_gb\":7}]}}') WHEN 1 THEN concat('{\"paths\":[{\"name\":\"a\",\"online\":true,\"readers\":[1,2],\"bytes_received\":', cast(event_id * 1000 AS varchar(20)), '},{\"name\":\"b\",\"online\":', CASE WHEN event_id % 3 = 0 THEN 'true' ELSE 'false' END, ',\"readers\":[1]}],\"rtsp_sessions\":[{\"id\":\"abcdefghijklmnop\",\"rtp_packets_lost\":', cast(event_id % 5 AS varchar(9)), ',\"rtp_packets_jitter\":2.5}],\"webrtc_sessions\":[{\"id\":\"short\",\"rtp_packets_lost\":1}]}') WHEN 2 THEN concat('{\"devices\":[{\"id\":1,\"name\":\"', CASE WHEN event_id % 3 = 0 THEN '(none)' ELSE 'sw' END, '\",\"description\":\"d\",\"uptime\":\"', cast(event_id * 100 AS varchar(20)), '\"},{\"id\":2,\"name\":\"\",\"description\":\"\",\"uptime\":\"x\"}]}') ELSE concat('{\"containers\":{\"p1-1\":{\"running\":true,\"cpu_percent\":', cast(event_id % 50 AS varchar(9)), ',\"memory_mb\":440.5,\"network_rx_mb\":3,\"pids\":9},\"p1-2\":{\"running\":false}},\"fps\":{\"p1\":{\"total_fps\":', cast(event_id % 60 AS varchar(9)), ',\"source_count\":2}}}') END AS data FROM events"),
     "frames": (("detections",), "SELECT DISTINCT source_id, frame_num, ts_ms FROM detections"),
     "containers": (("events",), "SELECT event_id AS tick, concat('pipe', cast(event_id % 3 AS varchar(9))) AS pipeline, concat('i', cast(user_id % 4 AS varchar(9))) AS instance, event_id % 4 <> 0 AS running, value AS cpu, value * 2 AS mem, event_id % 30 AS pids, event_id * 1000000 AS mem_bytes, CASE WHEN event_id % 6 = 0 THEN 0 ELSE event_id * 2000000 END AS mem_limit, event_id % 500 AS cpu_total, event_id % 400 AS cpu_before, event_id % 9000 AS sys_total, event_id % 8000 AS sys_before FROM events"),
     "source_fps": (("events",), "SELECT event_id % 97 AS tick, concat('pipe', cast(user_id % 4 AS varchar(9))) AS pipeline, user_id % 10 AS source_id, cast(event_id % 40 AS int) AS fps FROM events"),
     "pipelines": (("nation",), "SELECT DISTINCT concat('pipe', cast(n_nationkey % 6 AS varchar(9))) AS pipeline FROM nation"),
     "sites": (("region",), "SELECT r_regionkey AS site_id, r_name AS site_name FROM region"),
-    "levels": (("nation",), "SELECT n_regionkey AS site_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS level, CASE WHEN row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey DESC) = 1 THEN 0 ELSE 60 + 10 * n_nationkey END AS timeout_s FROM nation"),
+    "levels": (("supplier",), "SELECT s_suppkey % 5 AS site_id, row_number() OVER (PARTITION BY s_suppkey % 5 ORDER BY s_suppkey) AS level, CASE WHEN row_number() OVER (PARTITION BY s_suppkey % 5 ORDER BY s_suppkey DESC) = 1 THEN 0 ELSE 60 + 10 * (s_suppkey % 25) END AS timeout_s FROM supplier"),
     "operators": (("customer",), "SELECT c_custkey AS operator_id, c_name AS name, c_nationkey % 5 AS site_id, 1 + c_custkey % 5 AS level FROM customer"),
     "incidents": (("orders",), "SELECT o_orderkey AS incident_id, o_orderkey % 5 AS site_id, o_orderkey % 900 AS age_s FROM orders"),
     "viewers": (("events",), "SELECT user_id % 200 AS user_id, event_id * 4000 AS ts_ms FROM events"),

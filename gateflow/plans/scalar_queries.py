@@ -71,10 +71,10 @@ def _(v):
 
 
 @query("src9_parse_ini_rows", """
-SELECT n_nationkey AS file_id, 'property' AS section, 'enable' AS key, '1' AS "values", 2 AS line FROM nation
-UNION ALL SELECT n_nationkey, concat('roi-filtering-stream-', n_nationkey), 'roi-RF', concat('1;2;', n_nationkey), 5 FROM nation
-UNION ALL SELECT n_nationkey, concat('roi-filtering-stream-', n_nationkey), 'class-id', cast(n_nationkey % 4 AS varchar), 6 FROM nation
-UNION ALL SELECT n_nationkey, concat('roi-filtering-stream-', n_nationkey), 'class-id', '7', 7 FROM nation""")
+SELECT s_suppkey AS file_id, 'property' AS section, 'enable' AS key, '1' AS "values", 2 AS line FROM supplier
+UNION ALL SELECT s_suppkey, concat('roi-filtering-stream-', s_suppkey), 'roi-RF', concat('1;2;', s_suppkey), 5 FROM supplier
+UNION ALL SELECT s_suppkey, concat('roi-filtering-stream-', s_suppkey), 'class-id', cast(s_suppkey % 4 AS varchar), 6 FROM supplier
+UNION ALL SELECT s_suppkey, concat('roi-filtering-stream-', s_suppkey), 'class-id', '7', 7 FROM supplier""")
 def _(v):
     return jsons(src.parse_ini_rows(v("ini_files")), "values")
 
@@ -99,7 +99,7 @@ def _(v):
 
 
 @query("src14_parse_source_map", """
-SELECT s.n_nationkey AS source_id, CASE WHEN s.n_nationkey = 0 THEN 1 END AS device_id, concat('rtsp://h', s.n_nationkey) AS url, cast(s.n_nationkey + 20 AS varchar) AS fps FROM nation s WHERE n_nationkey < 3""")
+SELECT (s_suppkey - 1)::INT AS source_id, CASE WHEN s_suppkey % 5 = 1 THEN s_suppkey::INT END AS device_id, concat('rtsp://h', s_suppkey - 1) AS url, cast(s_suppkey + 19 AS varchar) AS fps FROM supplier""")
 def _(v):
     plain, attrs = src.parse_source_map(v("source_map"))
     return attrs.join(plain, "source_id", "left").select("source_id", "device_id", "url", "fps")
@@ -178,14 +178,14 @@ def _(v):
 
 
 _DIGIT = """
-WITH c AS (SELECT DISTINCT concat('CS', substr('ABQUZJ', 1 + n_nationkey % 6, 1), substr('UJZA', 1 + n_nationkey % 4, 1), lpad(cast(100000 + n_nationkey * 7919 AS varchar), 6, '0'), cast(s_suppkey % 10 AS varchar)) AS code FROM nation JOIN supplier ON s_suppkey <= 10),
+WITH c AS (SELECT DISTINCT concat('CS', substr('ABQUZJ', cast(1 + o_orderkey % 6 AS int), 1), substr('UJZA', cast(1 + o_custkey % 4 AS int), 1), lpad(cast(o_orderkey * 7919 % 1000000 AS varchar), 6, '0'), cast(o_custkey % 10 AS varchar)) AS code FROM orders),
 x AS (SELECT code, sum((instr('0123456789A_BCDEFGHIJK_LMNOPQRSTU_VWXYZ', substr(code, i::INT, 1)) - 1) * power(2, i - 1)::BIGINT)::BIGINT AS s FROM c, range(1, 11) r(i) GROUP BY code)
 SELECT code, substr(code, 4, 1) IN ('U', 'J', 'Z') AND s % 11 % 10 = cast(substr(code, 11, 1) AS int) AS valid FROM x"""
 
 
 @query("prj10_is_valid_code", _DIGIT)
 def _(v):
-    codes = v("nation").join(v("supplier").where("s_suppkey <= 10")).selectExpr("concat('CS', substr('ABQUZJ', 1 + n_nationkey % 6, 1), substr('UJZA', 1 + n_nationkey % 4, 1), lpad(cast(100000 + n_nationkey * 7919 AS string), 6, '0'), cast(s_suppkey % 10 AS string)) AS code").distinct()
+    codes = v("orders").selectExpr("concat('CS', substr('ABQUZJ', cast(1 + o_orderkey % 6 AS int), 1), substr('UJZA', cast(1 + o_custkey % 4 AS int), 1), lpad(cast(o_orderkey * 7919 % 1000000 AS string), 6, '0'), cast(o_custkey % 10 AS string)) AS code").distinct()
     return codes.select("code", txt.is_valid_code(F.col("code")).alias("valid"))
 
 
