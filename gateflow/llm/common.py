@@ -8,7 +8,7 @@ import inspect
 import tempfile
 import time
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from functools import lru_cache, wraps
 
 import numpy as np
@@ -80,34 +80,45 @@ RELEASE_S = 1.0
 _released = [0.0]
 
 
-def release() -> None:
+@lru_cache(maxsize=None)
+def _give_back() -> None:
+    """Once in a worker: what is freed goes back to the system at once, if it is a megabyte or more, and Arrow keeps no store of its own."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    with suppress(AttributeError, OSError):  # another C library
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+
+
+def release(least_s: float = RELEASE_S) -> None:
     """Hand freed memory back to the system: a worker serves many tasks, and would keep the most that any of them took."""
-    if time.monotonic() - _released[0] < RELEASE_S:
+    if time.monotonic() - _released[0] < least_s:
         return
+    _powers.cache_clear()
     gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
+    with suppress(AttributeError, OSError):
         ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # another C library
-        pass
     _released[0] = time.monotonic()
 
 
 def lean(f):
-    """``f``, a generator of a task's batches or a function of one or two groups, with :func:`release` when it has ended."""
+    """``f``, a generator of a task's batches or a function of one or two groups, with :func:`release` around it."""
     if inspect.isgeneratorfunction(f):
 
         @wraps(f)
         def run(batches):
+            _give_back()
+            release()
             try:
                 yield from f(batches)
             finally:
-                release()
+                release(0.2)
 
     elif len(inspect.signature(f).parameters) == 1:
 
         @wraps(f)
         def run(group):
+            _give_back()
             try:
                 return f(group)
             finally:
@@ -117,6 +128,7 @@ def lean(f):
 
         @wraps(f)
         def run(left, right):
+            _give_back()
             try:
                 return f(left, right)
             finally:
