@@ -67,26 +67,30 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*back)
 
 
+MIX = ["mix_block", "mix_slot", "mix_position"]
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mix: every prefix of it has the sources in target shares. The last
-    stage gives each row its ``mix_position``.
+    """All documents with their places in the mix (``mix_block``, ``mix_slot``, ``mix_position``) beside the columns of documents:
+    every prefix by ``mix_position`` has the sources in target shares. The last stage passes the places on.
 
     Rows without an id or source are mixed like others (a null source is a source), equal rows take places beside each
-    other in any order, texts do not matter, an empty table stays empty, and columns of any name come through."""
+    other in any order, texts do not matter, an empty table stays empty, and columns of any name come through (but one
+    named like a place is replaced by it)."""
     named, back = _renamed(docs, __id="doc_id", __source="source")
-    return mixing.in_mix_order(mixing.mix_sources(named, "__id", "__source")).select(*back)
+    own = [c for c in docs.columns if c not in MIX]
+    return mixing.mix_sources(named, "__id", "__source").select(*(b for b, c in zip(back, docs.columns, strict=True) if c in own), *MIX)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (packed little-endian unsigned 32-bit) of every text, with a digest of what they decode to, and
-    its place in the mix: texts are dealt to blocks here, so the order of the rows does not hold it. No row
-    is lost since the mix, so computing it again gives the same places (rows of equal or no ids may swap theirs).
+    its place in the mix as the stage before gave it (null where it gave none).
 
     A null or empty text has no ids and decodes to an empty text; null ids and equal rows are encoded each; texts are
-    encoded whole; an empty table gives an empty result; columns other than id, source and text are not read."""
-    mixed = mixing.mix_sources(docs.select("doc_id", "source", "text"))
-    out = bpe.bpe_encode_decode(mixed, tokenizer_path())
-    return out.select("doc_id", "source", "mix_block", "mix_slot", "mix_position", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    encoded whole; an empty table gives an empty result; columns other than id, source, text and places are not read."""
+    places = [F.col(c) if c in docs.columns else F.lit(None).cast("long").alias(c) for c in MIX]
+    out = bpe.bpe_encode_decode(docs.select("doc_id", "source", "text", *places), tokenizer_path())
+    return out.select("doc_id", "source", *MIX, "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES = [("language", language), ("near_copies", near_copies), ("passages", passages), ("mix", mix), ("tokens", tokens)]

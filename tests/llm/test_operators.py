@@ -578,7 +578,7 @@ def test_pipeline_stages(spark, tmp_path):
     for r in rows:
         assert r.text == (want[r.doc_id][2] if want[r.doc_id][1] else texts[r.doc_id])
     mixed = corpus_pipeline.mix(spark, clean, SF)
-    assert mixed.columns == docs.columns and Counter(r.doc_id for r in mixed.collect()) == Counter(ids)
+    assert mixed.columns == docs.columns + corpus_pipeline.MIX and Counter(r.doc_id for r in mixed.collect()) == Counter(ids)
     out = corpus_pipeline.tokens(spark, mixed, SF)
     from tokenizers import Tokenizer
 
@@ -594,7 +594,7 @@ def test_pipeline_keeps_the_mix(spark, tmp_path):
 
     sizes = {"a": 400, "b": 100, "c": 25}
     docs = spark.createDataFrame([(k * 3 + j, f"text {k} of {s}", s) for j, (s, n) in enumerate(sizes.items()) for k in range(n)], "doc_id long, text string, source string")
-    got = corpus_pipeline.tokens(spark, docs, SF).orderBy("mix_position").collect()
+    got = corpus_pipeline.tokens(spark, corpus_pipeline.mix(spark, docs, SF), SF).orderBy("mix_position").collect()
     assert [r.mix_position for r in got] == list(range(525))
     assert [r.mix_slot for r in got] == sorted(r.mix_slot for r in got)
     total, taken = sum(n**0.5 for n in sizes.values()), Counter()
@@ -620,13 +620,17 @@ def test_pipeline_stage_edges(spark, stage):
 
     f = dict(corpus_pipeline.STAGES)[stage]
     docs = spark.createDataFrame(ODD, DOCS).withColumns({c: F.lit(c) for c in NAMES}).repartition(3)
+    if stage == "tokens":
+        docs = corpus_pipeline.mix(spark, docs, SF)
     rows = f(spark, docs, SF).collect()
     texts = [(r[0], r[1]) for r in ODD]
     if stage == "tokens":
         assert len(rows) == len(ODD) and sorted(r.mix_position for r in rows) == list(range(len(ODD)))
         assert {r.n_tokens for r in rows if r.doc_id in (1, 2, 4)} == {0} and next(r.n_tokens for r in rows if r.doc_id == 5) == 30_000
     else:
-        assert all(r[c] == c for r in rows for c in NAMES) and f(spark, docs.limit(0), SF).columns == docs.columns
+        new = corpus_pipeline.MIX if stage == "mix" else []
+        own = [c for c in docs.columns if c not in new]
+        assert all(r[c] == c for r in rows for c in NAMES if c not in new) and f(spark, docs.limit(0), SF).columns == own + new
         got = Counter((r.doc_id, r.text) for r in rows)
         if stage == "language":
             assert not {i for i, _ in got} & {1, 2, 4, 6} and set(got) <= set(texts)
@@ -635,7 +639,7 @@ def test_pipeline_stage_edges(spark, stage):
         elif stage == "passages":  # the long text repeats itself, short ones have no passage
             assert got == Counter((i, "" if i == 5 else t) for i, t in texts)
         else:
-            assert got == Counter(texts)
+            assert got == Counter(texts) and sorted(r.mix_position for r in rows) == list(range(len(ODD)))
     assert f(spark, docs.limit(0), SF).count() == 0
 
 
