@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, langid, minhash, mixing, quality, sharding, substrings, urls
+from . import bpe, chat, embeddings, html_text, langid, minhash, mixing, periodic, quality, sharding, substrings, urls, whitening
 
 TOKENIZER = "word_bpe_49k.json"
 URL_RULES = (
@@ -82,10 +82,46 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.html_text(table(spark, sf_dir, "pages"))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): every tenth document, by h = crc32(doc_id), goes on from word a = g % n by repeating its next
+    p = 1 + floor((n - a) / (3 + g % 8)) words, with g = floor(h / 10); the others are as they are."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.floor(h / 10).alias("g"), (h % 10 == 0).alias("planted"))
+    words = rows.withColumn("w", F.when(F.col("planted"), F.expr("filter(split(text, '[ \\t-\\r]+'), x -> x <> '')")))
+    places = words.withColumn("n", F.size("w").cast("long")).withColumn("a", F.when(F.col("n") > 0, F.expr("g % n")))
+    places = places.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    again = "slice(flatten(array_repeat(slice(w, int(a + 1), int(p)), int((n - a) div p + 1))), 1, int(n - a))"
+    text = F.when(F.col("planted") & (F.col("n") > 0), F.expr(f"array_join(concat(slice(w, 1, int(a)), {again}), ' ')")).otherwise(F.col("text"))
+    return places.select("doc_id", text.alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_repeats(table(spark, sf_dir, "documents")))
+    best = F.expr("array_max(transform(runs, r -> named_struct('length', r.length, 'start', -r.start, 'period', -r.period)))")
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    rows = found.withColumn("best", best)
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"), F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"), "n_words", "n_dropped",
+    )
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (op1_embedding_near_dedup, op2_url_filter, op3_bpe, op4_chat_format, op5_minhash, op6_sharding, op7_substring_dedup, op8_quality_rules, op9_language_id, op10_mixing)
+        for f in (
+            op1_embedding_near_dedup, op2_url_filter, op3_bpe, op4_chat_format, op5_minhash, op6_sharding, op7_substring_dedup, op8_quality_rules, op9_language_id, op10_mixing,
+            op11_html_text, op12_periodic_runs, op13_embedding_whitening,
+        )
     }
 
 
@@ -103,6 +139,45 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _STOP = ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS)))
 
 
+
+
+def _periodic_sql(greatest: int = 16) -> str:
+    """Windows of 2 ** j words get a hash each by doubling; a lag of half a window to a whole one is read from next occurrences,
+    and islands of neighbouring ones are runs. Lags up to 2 ** ``greatest``: of texts up to 4 times as many words."""
+    level = "h{j} AS MATERIALIZED (SELECT doc_id, i, hash(h, r) AS h FROM (SELECT doc_id, i, h, lead(h, {half}) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM h{before}) WHERE r IS NOT NULL)"
+    seed = "SELECT doc_id, i, {k} AS k, lead(i) OVER (PARTITION BY doc_id, h ORDER BY i) - i AS q FROM h{j} QUALIFY q BETWEEN {low} AND {k}"
+    doubled = ",\n".join(level.format(j=j, before=j - 1, half=2 ** (j - 1)) for j in range(1, greatest + 1))
+    seeds = "\nUNION ALL ".join(seed.format(j=j, k=2**j, low=1 if j == 2 else 2 ** (j - 1) + 1) for j in range(2, greatest + 1))
+    return f"""
+WITH crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, i) AS c FROM range(256) r(i))
+),
+d AS (
+  SELECT doc_id, {_WORDS} AS w, xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)), lambda a, x: xor(t[(xor(a, x) & 255) + 1], a // 256), 4294967295), 4294967295) AS h FROM documents, crc
+),
+g AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS planted, h // 10 AS g FROM d),
+a AS (SELECT *, CASE WHEN planted THEN g % n END AS a FROM g),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+docs AS MATERIALIZED (SELECT doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM p),
+x AS MATERIALIZED (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS i FROM docs),
+h0 AS (SELECT doc_id, i, hash(w) AS h FROM x),
+{doubled},
+seeds AS ({seeds}),
+runs AS MATERIALIZED (
+  SELECT doc_id, min(i) AS s, max(i) - min(i) + k + q AS l, q FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM seeds)
+  GROUP BY doc_id, k, q, island HAVING l >= greatest(6, 4 * q)
+),
+per AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(concat(s, ',', l, ',', q, chr(10)), '' ORDER BY s, q) AS listed, arg_max([s, l, q], l * 1000000000000000000::HUGEINT - s * 1000000000 - q) AS best FROM runs GROUP BY doc_id
+),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM runs),
+kept AS (SELECT x.doc_id, string_agg(w, ' ' ORDER BY x.i) AS t, count(*) AS c FROM x ANTI JOIN gone ON gone.doc_id = x.doc_id AND gone.i = x.i GROUP BY x.doc_id)
+SELECT docs.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best[1]::BIGINT AS start, best[2]::BIGINT AS length, best[3]::BIGINT AS period, (1000 * best[2] // best[3])::BIGINT AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256, n::BIGINT AS n_words, (n - coalesce(c, 0))::BIGINT AS n_dropped
+FROM docs LEFT JOIN per ON per.doc_id = docs.doc_id LEFT JOIN kept ON kept.doc_id = docs.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_embedding_near_dedup": f"""
@@ -236,4 +311,12 @@ d AS (SELECT doc_id, source, coalesce('1' || source, '0') AS s, row_number() OVE
 x AS (SELECT doc_id, source, i, i // 16 AS mix_block, i // 16 // m * 1000 + slot AS mix_slot FROM d JOIN w ON w.s = d.s JOIN plan p ON p.s = d.s AND p.k = i // 16 % m)
 SELECT doc_id, source, mix_block, mix_slot, row_number() OVER (ORDER BY mix_slot, i) - 1 AS mix_position FROM x
 """,
+        "op11_html_text": r"""
+WITH article AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS a FROM pages),
+plain AS (SELECT page_id, url, regexp_replace(regexp_replace(a, '</?(p|h1|br)>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM article),
+decoded AS (SELECT page_id, url, regexp_replace(replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') AS t FROM plain),
+done AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM decoded)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM done
+""",
+        "op12_periodic_runs": _periodic_sql(),
     }
