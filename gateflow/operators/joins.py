@@ -1,7 +1,7 @@
 """Containment, regions, as-of, nearest, and table maintenance joins.
 
-No join here is a cross or nested-loop join: spatial and temporal conditions ride on an equality
-(frame, time bucket, lane), or become a window over the union of both sides. Small tables are left to
+No join here is a cross or nested-loop join: spatial conditions ride on an equality (frame), and as-of
+joins are windows over the union of both sides. Small tables are left to
 Spark's own size check; only tables whose size is fixed or checked are broadcast by hint.
 """
 
@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import hsv_distance, inside_polygon
+from .asof import last_before
 
 
 def map_sources(df: DataFrame, source_map: DataFrame) -> DataFrame:
@@ -44,14 +45,18 @@ def last_presets(presets: DataFrame) -> DataFrame:
     return presets.groupBy("device_id").agg(F.max_by("shapes", "preset_id").alias("shapes"))
 
 
-def roi_join(det: DataFrame, presets: DataFrame) -> DataFrame:
-    """``roi_name``: the first closed polygon of the device's last preset with the centre strictly inside;
-    empty if there is none. A device's shapes are one array, so a detection stays one row."""
-    shapes = F.filter("shapes", lambda s: F.coalesce(s.isClosed, F.lit(True)) & (F.size(s.points) >= 3))
-    p = last_presets(presets).select("device_id", shapes.alias("_shapes"))
+def roi_of(det: DataFrame, shapes: str) -> DataFrame:
+    """``roi_name``: the first closed polygon of the row's ``shapes`` with the centre strictly inside; empty if there is none."""
+    closed = F.filter(shapes, lambda s: F.coalesce(s.isClosed, F.lit(True)) & (F.size(s.points) >= 3))
     cx, cy = F.col("bbox_left") + F.col("bbox_width") / 2, F.col("bbox_top") + F.col("bbox_height") / 2
-    hit = F.filter("_shapes", lambda s: inside_polygon(cx, cy, s.points))
-    return det.join(p, "device_id", "left").withColumn("roi_name", F.coalesce(F.get(hit, F.lit(0)).getField("name"), F.lit(""))).drop("_shapes")
+    hit = F.filter(closed, lambda s: inside_polygon(cx, cy, s.points))
+    return det.withColumn("roi_name", F.coalesce(F.get(hit, F.lit(0)).getField("name"), F.lit("")))
+
+
+def roi_join(det: DataFrame, presets: DataFrame) -> DataFrame:
+    """:func:`roi_of` the device's last preset. A device's shapes are one array, so a detection stays one row."""
+    p = last_presets(presets).select("device_id", F.col("shapes").alias("_shapes"))
+    return roi_of(det.join(p, "device_id", "left"), "_shapes").drop("_shapes")
 
 
 def resolve_preset(devices: DataFrame, presets: DataFrame) -> DataFrame:
@@ -63,28 +68,23 @@ def resolve_preset(devices: DataFrame, presets: DataFrame) -> DataFrame:
 
 
 def prev_event(events: DataFrame, lane: str = "site_id", within_ms: int = 30_000) -> DataFrame:
-    """Of each event the closed event of its lane that ended last before it starts, within the window.
+    """Of each event the closed event of its lane that ended last before it starts, within the window. An end at the time of
+    the start does not count as before.
 
-    Time buckets of the window's width are the join key: an end goes to its bucket and the next. An end at the time of
-    the start does not count as before."""
-    bucket = lambda c: F.floor(F.col(c) / within_ms)
-    ends = events.where("end_ms is not null").select(F.col(lane).alias("_lane"), F.struct(F.col("end_ms").alias("t"), F.col("event_id").alias("id")).alias("p"), F.explode(F.array(bucket("end_ms"), bucket("end_ms") + 1)).alias("_in"))
-    starts = events.select("event_id", lane, "start_ms", bucket("start_ms").alias("_bucket"))
-    near = (F.col("p.t") < F.col("start_ms")) & (F.col("start_ms") - F.col("p.t") <= within_ms)
-    hits = starts.join(ends, (F.col(lane) == F.col("_lane")) & (F.col("_bucket") == F.col("_in")) & near, "left")
-    best = hits.groupBy("event_id", "start_ms").agg(F.max("p").alias("p"))
-    return best.select("event_id", F.col("p.id").alias("prev_event_id"), (F.col("start_ms") - F.col("p.t")).alias("gap_ms"))
+    Ends and starts are one ordered run (see :mod:`.asof`), so a lane with many events at a time makes no more rows than they are."""
+    ends = events.select(lane, "end_ms", "event_id")
+    found = last_before(events.select("event_id", lane, "start_ms"), ends, (lane,), "start_ms", ("end_ms", "event_id"), "p", strict=True)
+    near = F.col("start_ms") - F.col("p.end_ms") <= within_ms
+    return found.select("event_id", F.when(near, F.col("p.event_id")).alias("prev_event_id"), F.when(near, F.col("start_ms") - F.col("p.end_ms")).alias("gap_ms"))
 
 
 def open_event_at(q: DataFrame, events: DataFrame, within_ms: int = 15_000, lane: str = "site_id") -> DataFrame:
-    """Of each row the newest event of its lane that started at most ``within_ms`` before; null if none.
-
-    Time buckets of the window's width are the join key: an event goes to its bucket and the next."""
-    bucket = lambda c: F.floor(F.col(c) / within_ms)
-    e = events.select(lane, F.col("event_id").alias("open_event_id"), "start_ms", F.explode(F.array(bucket("start_ms"), bucket("start_ms") + 1)).alias("_bucket"))
-    hits = q.withColumn("_bucket", bucket("ts_ms")).join(e, [lane, "_bucket"]).where((F.col("start_ms") <= F.col("ts_ms")) & (F.col("start_ms") >= F.col("ts_ms") - within_ms))
-    best = hits.groupBy("det_id").agg(F.max(F.struct("start_ms", "open_event_id")).alias("b"))
-    return q.join(best, "det_id", "left").withColumn("open_event_id", F.col("b.open_event_id")).drop("b")
+    """Of each row the newest event of its lane that started at most ``within_ms`` before; null if none. Starts and rows are one
+    ordered run (see :mod:`.asof`)."""
+    starts = events.select(lane, "start_ms", F.col("event_id").alias("open_event_id"))
+    found = last_before(q, starts, (lane,), "ts_ms", ("start_ms", "open_event_id"), "_b")
+    near = F.col("ts_ms") - F.col("_b.start_ms") <= within_ms
+    return found.withColumn("open_event_id", F.when(near, F.col("_b.open_event_id"))).drop("_b")
 
 
 def event_detail(events: DataFrame, det: DataFrame, event_id: int) -> DataFrame:
@@ -125,7 +125,7 @@ def replace_rules(current: DataFrame, new: DataFrame) -> DataFrame:
     return kept.select("device_id", F.col("idx").cast("long").alias("idx"), "name").unionByName(new.select("device_id", number.alias("idx"), "name"))
 
 
-def changed_devices(old: DataFrame, new: DataFrame, columns: tuple[str, ...] = ("host", "port", "username"), uris: str = "stream_uris") -> DataFrame:
+def changed_devices(old: DataFrame, new: DataFrame, columns: tuple[str, ...] = ("host", "port", "username", "password"), uris: str = "stream_uris") -> DataFrame:
     """Devices that differ in one of the columns or the map of addresses (in any order), or are new."""
     o = old.select("id", F.struct(*columns).alias("o"), F.sort_array(F.map_entries(uris)).alias("om"))
     n = new.select("id", F.struct(*columns).alias("n"), F.sort_array(F.map_entries(uris)).alias("nm"))

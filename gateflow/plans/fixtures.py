@@ -39,8 +39,13 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "cargo": (("detections",), "SELECT * FROM detections WHERE class_id <> 4"),
     "truck_analytics": (("detections",), "SELECT source_id, object_id AS truck_id, ts_ms, det_id, det_id % 3 = 0 AS crossed, det_id % 4 = 1 AS in_roi FROM detections WHERE class_id = 4"),
     "source_map": (("supplier",), "SELECT cast(s_suppkey - 1 AS varchar(20)) AS key, cast(s_suppkey AS varchar(40)) AS value FROM supplier WHERE s_suppkey % 5 = 1 UNION ALL SELECT concat(cast(s_suppkey - 1 AS varchar(20)), ':url'), concat('rtsp://h', cast(s_suppkey - 1 AS varchar(20))) FROM supplier UNION ALL SELECT concat(cast(s_suppkey - 1 AS varchar(20)), ':fps'), cast(s_suppkey + 19 AS varchar(40)) FROM supplier"),
+    # what changes while detections come: the map of sources, the presets that are active, the shapes of devices
+    "map_changes": (("detections",), "SELECT source_id, ts_ms, det_id AS number, CASE WHEN det_id % 120 = 3 THEN NULL ELSE cast(1 + det_id % 7 AS int) END AS device_id FROM detections WHERE det_id % 40 = 3"),
+    "preset_changes": (("detections",), "SELECT device_id, ts_ms, det_id AS number, CASE cast(floor(det_id / 150) AS bigint) % 4 WHEN 0 THEN '__fixed__' WHEN 1 THEN 'p0' WHEN 2 THEN 'p1' END AS active_token FROM detections WHERE det_id % 150 = 7"),
+    "shape_changes": (("detections",), "SELECT device_id, ts_ms, det_id AS number, concat('zone', cast(det_id AS varchar(20))) AS preset_name, cast(det_id % 5 AS double) / 10 AS x0, cast(det_id % 3 AS double) / 10 AS y0, 0.4e0 AS w, 0.5e0 AS h, det_id % 700 <> 11 AS has_shapes FROM detections WHERE det_id % 100 = 11"),
+    "preset_events": (("detections",), "SELECT det_id AS event_id, device_id, ts_ms, CASE det_id % 3 WHEN 0 THEN 'in' WHEN 1 THEN 'p0_in' ELSE 'p1_out' END AS direction FROM detections"),
     "presets": (("supplier",), "SELECT cast(1 + s_suppkey % 4 AS int) AS device_id, concat('p', cast(s_suppkey AS varchar(20))) AS preset_token, s_suppkey AS preset_id, s_name AS preset_name, cast(s_suppkey % 5 AS double) / 10 AS x0, cast(s_suppkey % 3 AS double) / 10 AS y0, 0.4e0 AS w, 0.5e0 AS h, s_suppkey % 7 <> 6 AS has_shapes FROM supplier"),
-    "devices": (("supplier",), "SELECT s_suppkey AS id, s_name AS name, concat('10.0.', cast(s_suppkey % 7 AS varchar(9)), '.', cast(s_suppkey AS varchar(9))) AS host, cast(80 + s_suppkey % 2 AS int) AS port, CASE WHEN s_suppkey % 6 = 0 THEN '' ELSE concat('u', cast(s_suppkey AS varchar(9))) END AS username, cast(1 + s_suppkey % 2 AS int) AS site_id, CASE WHEN s_suppkey % 5 = 0 THEN 'file' ELSE 'rtsp' END AS source_type, s_suppkey % 3 <> 0 AS is_online, concat('pipe', cast(s_suppkey % 4 AS varchar(9))) AS pipeline, CASE WHEN s_suppkey % 7 = 3 THEN NULL ELSE concat('rtsp://h', cast(s_suppkey AS varchar(9)), '/a') END AS uri_a, CASE WHEN s_suppkey % 4 = 1 THEN NULL ELSE concat('rtsp://h', cast(s_suppkey AS varchar(9)), '/b') END AS uri_b, CASE WHEN s_suppkey % 9 = 2 THEN 'tok_b' ELSE 'tok_a' END AS default_token, CASE WHEN s_suppkey % 8 = 0 THEN NULL ELSE cast(90 + s_suppkey % 20 AS double) END AS h_fov_wide, s_suppkey % 4 <> 0 AS ptz FROM supplier"),
+    "devices": (("supplier",), "SELECT s_suppkey AS id, s_name AS name, concat('10.0.', cast(s_suppkey % 7 AS varchar(9)), '.', cast(s_suppkey AS varchar(9))) AS host, cast(80 + s_suppkey % 2 AS int) AS port, CASE WHEN s_suppkey % 6 = 0 THEN '' ELSE concat('u', cast(s_suppkey AS varchar(9))) END AS username, concat('secret', cast(s_suppkey % 13 AS varchar(9))) AS password, cast(1 + s_suppkey % 2 AS int) AS site_id, CASE WHEN s_suppkey % 5 = 0 THEN 'file' ELSE 'rtsp' END AS source_type, s_suppkey % 3 <> 0 AS is_online, concat('pipe', cast(s_suppkey % 4 AS varchar(9))) AS pipeline, CASE WHEN s_suppkey % 7 = 3 THEN NULL ELSE concat('rtsp://h', cast(s_suppkey AS varchar(9)), '/a') END AS uri_a, CASE WHEN s_suppkey % 4 = 1 THEN NULL ELSE concat('rtsp://h', cast(s_suppkey AS varchar(9)), '/b') END AS uri_b, CASE WHEN s_suppkey % 9 = 2 THEN 'tok_b' ELSE 'tok_a' END AS default_token, CASE WHEN s_suppkey % 8 = 0 THEN NULL ELSE cast(90 + s_suppkey % 20 AS double) END AS h_fov_wide, s_suppkey % 4 <> 0 AS ptz FROM supplier"),
     "pings": (("events",), "SELECT user_id % 50 AS device_id, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS cycle, (event_id * 7) % 10 < 4 AS ok FROM events"),
     "fps": (("events",), "SELECT user_id % 50 AS device_id, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS cycle, cast(CASE WHEN cast(floor(event_id / 600) AS bigint) % 3 = 0 THEN 0 WHEN cast(floor(event_id / 600) AS bigint) % 3 = 1 THEN 3 ELSE 10 + event_id % 20 END AS int) AS fps FROM events"),
     "camera_lines": (("events",), "SELECT event_id AS line_id, user_id % 50 AS device_id, CASE WHEN event_id % 13 = 0 THEN concat('noise ', event_type) WHEN event_id % 5 = 0 THEN concat('Code=', event_type, ';index=', cast(event_id % 4 AS varchar(9))) WHEN event_id % 7 = 0 THEN concat('Code=', event_type, ';action=Stop') ELSE concat('Code=', event_type, ';action=Start;index=', cast(event_id % 4 AS varchar(9)), ';data=', props) END AS line FROM events"),
@@ -63,7 +68,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "patrols": (("supplier",), "SELECT s_suppkey AS patrol_id, 1 + s_suppkey % 60 AS device_id, s_suppkey % 5 <> 0 AS is_active, CASE WHEN s_suppkey % 4 = 0 THEN '2024-01-01' END AS valid_from, CASE WHEN s_suppkey % 6 = 0 THEN '2024-01-09' END AS valid_until, CASE s_suppkey % 3 WHEN 0 THEN '08:00' WHEN 1 THEN '11:00' END AS block_start, CASE s_suppkey % 3 WHEN 0 THEN '12:00' WHEN 1 THEN '18:00' END AS block_end, 1 + s_suppkey % 4 AS n_presets, 5 + s_suppkey % 9 AS dwell_s FROM supplier"),
     "pixels": (("lineitem",), "SELECT l_orderkey % 500 AS image, l_linenumber AS x, cast(l_quantity * 5 AS int) % 256 AS r, cast(floor(l_extendedprice) AS bigint) % 256 AS g, cast(round(l_discount * 2000) + l_quantity AS int) % 256 AS b FROM lineitem"),
     "ocr_regions": (("detections",), "SELECT det_id, 0 AS pos, 'csqu' AS text, cast(55 + det_id % 40 AS double) / 100 AS conf, CASE WHEN det_id % 3 = 0 THEN NULL ELSE cast(det_id % 10 AS double) END AS x FROM detections WHERE class_id = 3 UNION ALL SELECT det_id, 1, '3054383', cast(60 + det_id % 30 AS double) / 100, CASE WHEN det_id % 4 = 0 THEN NULL ELSE cast(det_id % 11 AS double) + 0.5e0 END FROM detections WHERE class_id = 3 UNION ALL SELECT det_id, 2, ' ', 0.9e0, CASE WHEN det_id % 5 = 0 THEN NULL ELSE 20.25e0 END FROM detections WHERE class_id = 3"),
-    "old_devices": (("devices",), "SELECT id, name, CASE WHEN id % 5 = 0 THEN '1.1.1.1' ELSE host END AS host, port, username, CASE WHEN id % 11 = 0 THEN NULL ELSE uri_a END AS uri_a, uri_b FROM devices WHERE id % 10 <> 1"),
+    "old_devices": (("devices",), "SELECT id, name, CASE WHEN id % 5 = 0 THEN '1.1.1.1' ELSE host END AS host, port, username, CASE WHEN id % 17 = 3 THEN 'old' ELSE password END AS password, CASE WHEN id % 11 = 0 THEN NULL ELSE uri_a END AS uri_a, uri_b FROM devices WHERE id % 10 <> 1"),
     "rules": (("supplier",), "SELECT 1 + s_suppkey % 60 AS device_id, s_suppkey % 4 AS idx, concat('r', cast(s_suppkey AS varchar(9))) AS name FROM supplier"),
     "new_rules": (("supplier",), "SELECT 1 + s_suppkey % 20 AS device_id, s_suppkey AS ord, concat('n', cast(s_suppkey AS varchar(9))) AS name FROM supplier"),
     "tracks": (("detections",), "SELECT source_id, object_id, det_id, ts_ms, bbox_left + bbox_width / 2 AS cx, bbox_top + bbox_height / 2 AS cy FROM detections"),

@@ -28,7 +28,7 @@ def _(v):
 
 
 @query("jn14_changed_devices", """
-SELECT d.id FROM devices d LEFT JOIN old_devices o ON o.id = d.id WHERE o.id IS NULL OR o.host <> d.host OR o.port <> d.port OR o.username <> d.username OR o.uri_a IS DISTINCT FROM d.uri_a OR o.uri_b IS DISTINCT FROM d.uri_b""", ("devices", "old_devices"))
+SELECT d.id FROM devices d LEFT JOIN old_devices o ON o.id = d.id WHERE o.id IS NULL OR o.host <> d.host OR o.port <> d.port OR o.username <> d.username OR o.password <> d.password OR o.uri_a IS DISTINCT FROM d.uri_a OR o.uri_b IS DISTINCT FROM d.uri_b""", ("devices", "old_devices"))
 def _(v):
     return jn.changed_devices(devices(v, "old_devices"), devices(v))
 

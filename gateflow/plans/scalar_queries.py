@@ -228,13 +228,17 @@ def _(v):
 
 
 def shapes(v):
+    return with_shapes(v("presets"))
+
+
+def with_shapes(presets):
     """Presets with a rectangle each, as closed polygons."""
     corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     x0, y0, w, h = (F.col(c) for c in ("x0", "y0", "w", "h"))
     points = F.array(corner(x0, y0), corner(x0 + w, y0), corner(x0 + w, y0 + h), corner(x0, y0 + h))
     shape = F.struct(F.col("preset_name").alias("name"), F.lit(True).alias("isClosed"), points.alias("points"))
     none = F.array().cast("array<struct<name:string,isClosed:boolean,points:array<struct<x:double,y:double>>>>")
-    return v("presets").withColumns({"shapes": F.when(F.col("has_shapes"), F.array(shape)).otherwise(none), "points": points})
+    return presets.withColumns({"shapes": F.when(F.col("has_shapes"), F.array(shape)).otherwise(none), "points": points})
 
 
 @query("prj16_shapes_to_coords", "SELECT preset_id, concat_ws(';', round_even(x0 * 1280, 0)::INT, round_even(y0 * 720, 0)::INT, round_even((x0 + w) * 1280, 0)::INT, round_even(y0 * 720, 0)::INT, round_even((x0 + w) * 1280, 0)::INT, round_even((y0 + h) * 720, 0)::INT, round_even(x0 * 1280, 0)::INT, round_even((y0 + h) * 720, 0)::INT) AS coords FROM presets", ("presets",))

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.parsers import parse_source_map
 from ..streaming import operators as live
-from ..streaming.run import read_table, run_available, run_updates
+from ..streaming.run import read_table, run_available, run_updates, shared_dir
+from ..streaming.upserts import KeyedTable
 from .event_queries import ASSIGN
 from .fixtures import VIEWS, Views
 from .fleet_queries import watchdog_sql
 from .gate_queries import jumps_sql
 from .registry import query
-from .scalar_queries import shapes
+from .scalar_queries import with_shapes
 
 
 def stream(v: Views, name: str) -> DataFrame:
@@ -64,7 +66,7 @@ s AS (SELECT *, coalesce(lag(is_online) OVER (PARTITION BY device_id ORDER BY cy
 SELECT device_id, cycle, is_online, CASE WHEN NOT is_online THEN cycle END AS offline_since FROM s WHERE is_online <> was""")
 def _(v):
     events = read_table(v.spark, f"{v.sf_dir}/events.parquet")
-    return run_available(live.stream_health(events.selectExpr("user_id % 50 AS device_id", "event_id AS cycle", "(event_id * 7) % 10 < 4 AS ok")))
+    return run_available(live.stream_health(events.selectExpr("user_id % 50 AS device_id", "event_id AS cycle", "(event_id * 7) % 10 < 4 AS ok"), ttl_ms=None))
 
 
 @query("str4_stream_watchdog", f"""
@@ -73,7 +75,7 @@ SELECT device_id, cycle, reason, pending FROM w WHERE reason IS NOT NULL""")
 def _(v):
     events = read_table(v.spark, f"{v.sf_dir}/events.parquet")
     fps = "cast(CASE WHEN cast(floor(event_id / 600) AS bigint) % 3 = 0 THEN 0 WHEN cast(floor(event_id / 600) AS bigint) % 3 = 1 THEN 3 ELSE 10 + event_id % 20 END AS int)"
-    return run_available(live.stream_watchdog(events.selectExpr("user_id % 3 AS device_id", "event_id AS cycle", f"{fps} AS fps")))
+    return run_available(live.stream_watchdog(events.selectExpr("user_id % 3 AS device_id", "event_id AS cycle", f"{fps} AS fps"), ttl_ms=None))
 
 
 @query("str5_stream_fps", "SELECT source_id, ts_ms // 1000 * 1000 AS window_ms, count(*) AS n, count(*)::INT AS fps FROM detections GROUP BY ALL", ("detections",))
@@ -81,20 +83,26 @@ def _(v):
     return back(run_updates(live.stream_fps(with_ts(stream(v, "detections"))), ("source_id", "window_ms")), "window_ms")
 
 
-@query("str6_stream_map", "SELECT det_id, CASE WHEN source_id = 0 THEN 1 ELSE -1 END AS device_id FROM detections", ("detections",))
+def as_of_sql(facts: str, changes: str, key: str, row: str) -> str:
+    """``facts`` with ``c``: the newest row of ``changes`` of the same ``key`` at or before its time; null if there is none."""
+    return f"""
+newest AS (SELECT f.{row}, max_by(c, (c.ts_ms, c.number)) AS c FROM {facts} f JOIN {changes} c ON c.{key} IS NOT DISTINCT FROM f.{key} AND c.ts_ms <= f.ts_ms GROUP BY f.{row}),
+f AS (SELECT f.*, newest.c FROM {facts} f LEFT JOIN newest USING ({row}))"""
+
+
+@query("str6_stream_map", f"WITH {as_of_sql('detections', 'map_changes', 'source_id', 'det_id')} SELECT det_id, coalesce(c.device_id, -1) AS device_id FROM f", ("detections", "map_changes"))
 def _(v):
-    static = parse_source_map(v("source_map"))[0]
-    return run_available(live.stream_map(stream(v, "detections"), static).select("det_id", "device_id"))
+    return run_available(live.stream_map(stream(v, "detections"), stream(v, "map_changes"), forget_ms=None).select("det_id", "device_id"))
 
 
-@query("str7_preset_filter", """
-SELECT event_id, CASE WHEN user_id % 3 = 1 THEN concat('p', user_id % 2, '_a') WHEN user_id % 3 = 2 THEN 'p0_a;p1_a' ELSE 'p0_a;p1_a' END AS roi,
- CASE WHEN user_id % 3 = 1 THEN '' ELSE 'in' END AS direction, CASE WHEN user_id % 3 = 1 THEN 1 ELSE 2 END AS n_analytics FROM events""")
+@query("str7_preset_filter", f"""
+WITH {as_of_sql('preset_events', 'preset_changes', 'device_id', 'event_id')},
+t AS (SELECT *, CASE WHEN ts_ms - c.ts_ms < 120000 AND c.active_token <> '__fixed__' THEN c.active_token END AS token FROM f)
+SELECT event_id, CASE WHEN token IS NULL THEN 'p0_a;p1_a' ELSE concat(token, '_a') END AS roi,
+  CASE WHEN token IS NULL OR starts_with(direction, concat(token, '_')) THEN direction ELSE '' END AS direction, CASE WHEN token IS NULL THEN 2 ELSE 1 END AS n_analytics FROM t""", ("preset_events", "preset_changes"))
 def _(v):
-    events = read_table(v.spark, f"{v.sf_dir}/events.parquet")
-    e = events.selectExpr("event_id", "user_id % 6 AS device_id", "array('p0_a', 'p1_a') AS roi", "array('p0_l') AS lc", "array('p1_o') AS oc", "'in' AS direction", "map('p0_a', '1', 'p1_a', '2') AS analytics")
-    active = v.spark.range(6).selectExpr("id AS device_id", "CASE id % 3 WHEN 1 THEN concat('p', id % 2) WHEN 2 THEN '__fixed__' END AS active_token").where("active_token is not null")
-    out = live.preset_filter(e, active)
+    e = stream(v, "preset_events").selectExpr("*", "array('p0_a', 'p1_a') AS roi", "array('p0_l') AS lc", "array('p1_o') AS oc", "map('p0_a', '1', 'p1_a', '2') AS analytics")
+    out = live.stream_preset_filter(e, stream(v, "preset_changes"), forget_ms=None)
     return run_available(out.select("event_id", F.array_join("roi", ";").alias("roi"), "direction", F.size("analytics").alias("n_analytics")))
 
 
@@ -103,13 +111,13 @@ def _(v):
     return back(run_available(live.stream_throttle(with_ts(stream(v, "detections")), ["source_id"], 1000)), "ts_ms")
 
 
-@query("str9_stream_roi", """
-SELECT det_id, coalesce(CASE WHEN cx > x0 AND cx < x0 + w AND cy > y0 AND cy < y0 + h AND has_shapes THEN preset_name END, '') AS roi_name
-FROM (SELECT det_id, device_id, bbox_left + bbox_width / 2 AS cx, bbox_top + bbox_height / 2 AS cy FROM detections) d
-LEFT JOIN (SELECT * FROM presets QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY preset_id DESC) = 1) p USING (device_id)""", ("detections", "presets"))
+@query("str9_stream_roi", f"""
+WITH {as_of_sql('detections', 'shape_changes', 'device_id', 'det_id')},
+p AS (SELECT det_id, bbox_left + bbox_width / 2 AS cx, bbox_top + bbox_height / 2 AS cy, c FROM f)
+SELECT det_id, coalesce(CASE WHEN cx > c.x0 AND cx < c.x0 + c.w AND cy > c.y0 AND cy < c.y0 + c.h AND c.has_shapes THEN c.preset_name END, '') AS roi_name FROM p""", ("detections", "shape_changes"))
 def _(v):
-    static = shapes(v)
-    return run_available(live.stream_roi(stream(v, "detections"), static).select("det_id", "roi_name"))
+    changes = with_shapes(stream(v, "shape_changes")).select("device_id", "ts_ms", "number", "shapes")
+    return run_available(live.stream_roi(stream(v, "detections"), changes, forget_ms=None).select("det_id", "roi_name"))
 
 
 @query("str10_stream_cooldown", f"WITH RECURSIVE r AS (SELECT object_id, ts_ms, min(det_id) AS det_id FROM detections GROUP BY ALL), {jumps_sql('r', 'object_id', '30000 <=')} SELECT object_id, det_id, ts_ms FROM t", ("detections",))
@@ -123,25 +131,20 @@ c AS (SELECT event_id, ts_ms, det_id, upper(split_part(ocr_text, ' ', 2)) AS cod
 SELECT event_id, code AS container_code, count(*) AS n FROM c WHERE code IN ('CSQU3054383', 'MSCU6639870') AND event_id IN (SELECT event_id FROM d WHERE det_id % 2 = 0) GROUP BY event_id, code
 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY count(*) DESC, max((ts_ms, det_id)) DESC) = 1""", ("event_detections",))
 def _(v):
-    import uuid
-
-    from ..streaming.run import shared_dir
-
+    """Five batches, so that events are touched again and again; the table holds each once."""
     root = f"{shared_dir(v.spark)}/consensus-{uuid.uuid4().hex}"
-    static = v("event_detections").withColumn("full_text", F.lit(""))
-    save = lambda codes: codes.write.mode("append").parquet(f"{root}/out")
-    done = stream(v, "event_detections").where("class_id = 3 and ocr_processed and det_id % 2 = 0")
-    q = done.writeStream.foreachBatch(live.consensus_batch(static, save)).option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start()
+    recognised = v("event_detections").where("class_id = 3 and ocr_processed and det_id % 2 = 0")
+    recognised.repartition(5).write.parquet(f"{root}/in")
+    table = KeyedTable(f"{root}/codes", ("event_id",), live.CONSENSUS)
+    save = live.consensus_batch(lambda: v("event_detections").withColumn("full_text", F.lit("")), table)
+    q = read_table(v.spark, f"{root}/in", files_per_trigger=1).writeStream.foreachBatch(save).option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start()
     q.awaitTermination()
-    return v.spark.read.schema("event_id long, container_code string, n long").parquet(f"{root}/out")
+    return table.read(v.spark)
 
 
 @query("snk3_live_sink", "SELECT device_id::VARCHAR AS key, det_id, source_id, ts_ms FROM detections", ("detections",))
 def _(v):
-    import uuid
-
     from ..sources.sinks import live_sink
-    from ..streaming.run import shared_dir
 
     root = f"{shared_dir(v.spark)}/live-{uuid.uuid4().hex}"
     live_sink(stream(v, "detections").select("det_id", "device_id", "source_id", "ts_ms"), f"{root}/out", f"{root}/log").awaitTermination()

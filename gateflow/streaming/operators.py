@@ -11,7 +11,9 @@ from ..operators import aggregates as agg
 from ..operators import events as ev
 from ..operators import joins as jn
 from ..operators.windows import WatchdogCounter
+from .dimensions import FORGET_MS, with_live
 from .folds import fold
+from .upserts import GONE, KeyedTable
 
 
 def _lane_state(state: dict) -> ev.Lane:
@@ -78,13 +80,9 @@ def stream_truck_gate(analytics: DataFrame, strict: bool = True, delay: str = "1
     return fold(df, ["source_id", "truck_id"], ["ts_ms", "det_id"], "source_id long, truck_id long, event string, ts_ms long", step, lambda s: s["last"] + idle_ms, late)
 
 
-#: What a live deployment passes as ``ttl_ms``: a device that says nothing for a day is forgotten.
-FORGET_MS = 86_400_000
-
-
-def stream_health(pings: DataFrame, failures: int = 3, ttl_ms: int | None = None) -> DataFrame:
-    """Changes of status, with the cycle since when a device is offline. A device is forgotten ``ttl_ms`` after its last ping;
-    such a stream goes on till it is stopped, a run over what is there leaves it out."""
+def stream_health(pings: DataFrame, failures: int = 3, ttl_ms: int | None = FORGET_MS) -> DataFrame:
+    """Changes of status, with the cycle since when a device is offline. A device is forgotten ``ttl_ms`` after its last ping, a
+    day by default; such a stream goes on till it is stopped, so a run over what is there passes None."""
 
     def step(state, r):
         n = 0 if r.ok else state.get("n", 0) + 1
@@ -95,7 +93,7 @@ def stream_health(pings: DataFrame, failures: int = 3, ttl_ms: int | None = None
     return fold(pings.select("device_id", "cycle", "ok"), ["device_id"], ["cycle"], "device_id long, cycle long, is_online boolean, offline_since long", step, ttl_ms=ttl_ms)
 
 
-def stream_watchdog(fps: DataFrame, cycle_s: int = 10, pending_s: int = 3600, ttl_ms: int | None = None) -> DataFrame:
+def stream_watchdog(fps: DataFrame, cycle_s: int = 10, pending_s: int = 3600, ttl_ms: int | None = FORGET_MS) -> DataFrame:
     """Restart requests, and whether one is pending already; ``ttl_ms`` as in :func:`stream_health`."""
 
     def step(state, r):
@@ -118,32 +116,54 @@ def stream_fps(frames: DataFrame, delay: str = "10 seconds") -> DataFrame:
     return g.select("source_id", F.unix_millis("window.start").alias("window_ms"), "n", F.floor(F.col("n") + 0.5).cast("int").alias("fps"))
 
 
-def stream_map(det: DataFrame, source_map: DataFrame) -> DataFrame:
-    """Stream-static map of sources; a file table on the static side is read anew for every batch."""
-    return jn.map_sources(det, source_map)
+def stream_map(det: DataFrame, changes: DataFrame, forget_ms: int | None = FORGET_MS) -> DataFrame:
+    """device_id of each source, -1 where unmapped, by the map as it was at the row's time. ``changes`` is a stream of (ts_ms, source_id,
+    device_id), with a null device where a source is taken out of the map; see :func:`with_live`."""
+    mapped = with_live(det.drop("device_id"), changes, ["source_id"], ["device_id"], forget_ms=forget_ms, **_numbered(changes))
+    return mapped.withColumn("device_id", F.coalesce("device_id", F.lit(-1)))
 
 
-def stream_roi(det: DataFrame, presets: DataFrame) -> DataFrame:
-    """Regions of a stream's detections, from a static table of shapes."""
-    return jn.roi_join(det, presets)
+def stream_roi(det: DataFrame, changes: DataFrame, forget_ms: int | None = FORGET_MS) -> DataFrame:
+    """Regions of a stream's detections, by the shapes of the device as they were at the row's time. ``changes`` is a stream of (ts_ms,
+    device_id, shapes); a device's newest shapes replace those before."""
+    shaped = with_live(det, changes, ["device_id"], ["shapes"], forget_ms=forget_ms, **_numbered(changes))
+    return jn.roi_of(shaped, "shapes").drop("shapes")
 
 
-def preset_filter(events: DataFrame, active: DataFrame) -> DataFrame:
-    """Keep what belongs to the device's active preset.
+def _numbered(changes: DataFrame) -> dict:
+    return {"number": "number"} if "number" in changes.columns else {}
+
 
-    Names in ``roi``, ``lc`` and ``oc`` and keys in ``analytics`` must start with the preset's token; the
-    direction goes. Devices without an active preset, or with ``__fixed__``, are left alone."""
-    e = events.join(active.select("device_id", "active_token"), "device_id", "left")
+#: An active preset that is not told again for so long counts no more.
+PRESET_MS = 120_000
+
+
+def own_preset(events: DataFrame) -> DataFrame:
+    """Keep what belongs to the device's active preset, ``active_token``, which goes.
+
+    Names in ``roi``, ``lc`` and ``oc`` and keys in ``analytics`` must start with the preset's token; a direction that does not
+    is blank. Devices without an active preset, or with ``__fixed__``, are left alone."""
     on = F.col("active_token").isNotNull() & (F.col("active_token") != "__fixed__")
     prefix = F.concat("active_token", F.lit("_"))
     mine = lambda c: F.when(on, F.filter(c, lambda n: F.startswith(n, prefix))).otherwise(F.col(c))
-    return e.withColumns({
+    return events.withColumns({
         **{c: mine(c) for c in ("roi", "lc", "oc")},
-        "direction": F.when(on, "").otherwise(F.col("direction")),
+        "direction": F.when(on & ~F.startswith(F.col("direction"), prefix), "").otherwise(F.col("direction")),
         "analytics": F.when(on, F.map_filter("analytics", lambda k, _: F.startswith(k, prefix))).otherwise(F.col("analytics")),
     }).drop("active_token")
 
 
+def preset_filter(events: DataFrame, active: DataFrame) -> DataFrame:
+    """:func:`own_preset` for a table of events, or a stream of them, and a table of active presets."""
+    return own_preset(events.join(active.select("device_id", "active_token"), "device_id", "left"))
+
+
+def stream_preset_filter(events: DataFrame, changes: DataFrame, ttl_ms: int = PRESET_MS, forget_ms: int | None = FORGET_MS) -> DataFrame:
+    """:func:`own_preset` with the preset that was active at the event's time. ``changes`` is a stream of (ts_ms, device_id, active_token); one
+    counts for ``ttl_ms``, after which events pass whole until the preset is told again."""
+    return own_preset(with_live(events, changes, ["device_id"], ["active_token"], ttl_ms=ttl_ms, forget_ms=forget_ms, **_numbered(changes)))
+
+
 def stream_throttle(df: DataFrame, keys: list[str], interval_ms: int, delay: str = "10 seconds") -> DataFrame:
     """Of each key at most one row per interval, counted from the last that went through.
 
@@ -169,11 +189,18 @@ def stream_cooldown(df: DataFrame, identity: str = "object_id", interval_ms: int
     return stream_throttle(df, [identity], interval_ms, delay)
 
 
-def consensus_batch(det: DataFrame, save: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: codes of the events that a batch of recognised detections touches, to ``save``."""
+CONSENSUS = "event_id long, container_code string, n long"
+
+
+def consensus_batch(read: Callable[[], DataFrame], table: KeyedTable) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: the codes of the events that a batch of recognised detections touches, upserted into ``table``.
+
+    ``read`` gives all detections as they are now; it is asked anew for every batch, as a table of files is listed when it is read. An
+    event that has no code any more loses its row. A batch that is run again changes nothing."""
 
-    def run(batch: DataFrame, _: int) -> None:
+    def run(batch: DataFrame, batch_id: int) -> None:
         touched = batch.select("event_id").distinct()
-        save(agg.code_consensus(det.join(touched, "event_id", "left_semi")))
+        codes = agg.code_consensus(read().join(touched, "event_id", "left_semi"))
+        table.write(touched.join(codes, "event_id", "left").withColumn(GONE, F.col("container_code").isNull()), batch_id)
 
     return run
