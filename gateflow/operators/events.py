@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import hsv_distance
 from .aggregates import avg_color, code_consensus, seal_vote
+from .chains import let_through
 from .joins import distinct_clusters, open_event_at
 from .lanes import cut, fold_rows, number, with_rows_before
 from .windows import gap_clusters, lane_clusters, motion_delta, recent_color
@@ -208,17 +209,10 @@ def finalize(det: DataFrame, lane: str = "site_id") -> DataFrame:
 
 
 def open_from_frames(frames: DataFrame, lane: str = "source_id", within_ms: int = 3000) -> DataFrame:
-    """Times at which a frame with an object opens an event, none having opened within 3 s. A frame that comes later
-    than that after the one before opens one in any case, so lanes are cut there."""
-
-    def step(state: dict, key, ts):
-        if "last" in state and ts - state["last"] <= within_ms:
-            return []
-        state["last"] = ts
-        return [(key[0], ts)]
-
+    """Times at which a frame with an object opens an event, none having opened within 3 s: a chain over the lane's
+    times (see :mod:`.chains`)."""
     f = frames.select(F.col(lane).cast("long").alias("lane"), "ts_ms").distinct()
-    return fold_rows(cut(f, ("lane",), "ts_ms", within_ms), ("lane", "_piece"), ("ts_ms",), ("ts_ms",), "lane long, start_ms long", dict, step)
+    return let_through(f, ("lane",), "ts_ms", ("ts_ms",), within_ms, strict=True).select("lane", F.col("ts_ms").alias("start_ms"))
 
 
 def seal_verdict_per_pass(det: DataFrame, lane: str = "site_id") -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .lanes import SPAN_MS, before_span, cut, fold_rows
+from .chains import let_through
+from .lanes import SPAN_MS, before_span, fold_rows
 
 ORDER = ("ts_ms", "det_id")
 
@@ -179,20 +180,14 @@ def line_crossings(tracks: DataFrame, lines: DataFrame) -> DataFrame:
 def throttle(df: DataFrame, keys: tuple[str, ...], interval_ms: int, per_frame: int | None = None) -> DataFrame:
     """Rows that a limiter lets through: of each key one per interval, counted from the last that went through.
 
-    A row that comes an interval or more after the one before goes through in any case, so keys are cut there and their
-    pieces are folded; only keys, times and ids go to Python."""
+    A chain over the rows of a key (see :mod:`.chains`), so a key that never pauses is spread as well; only keys, places and
+    successors go to Python."""
     if per_frame:
         w = W.partitionBy("source_id", "frame_num").orderBy("det_id")
         df = df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_frame).drop("_r")
 
-    def step(state: dict, key, ts, i):
-        if "last" in state and ts - state["last"] < interval_ms:
-            return []
-        state["last"] = ts
-        return [(*key[:-1], ts, i)]
-
     narrow = df.select(*dict.fromkeys([*keys, "ts_ms", "det_id"]))
-    return fold_rows(cut(narrow, keys, "ts_ms", interval_ms, at_gap=True), (*keys, "_piece"), ORDER, ORDER, narrow.schema, dict, step)
+    return let_through(narrow, keys, "ts_ms", ORDER, interval_ms)
 
 
 def patrol_plan(patrols: DataFrame, horizon_s: int = 60) -> DataFrame:

@@ -2,29 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``). Where it is unset a local session, as in tests, gets a
-    temporary one; a cluster has no folder that all its machines see by then."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = _local_dir()
-    return folder.rstrip("/")
-
-
-@lru_cache(maxsize=None)
-def _local_dir() -> str:
-    return tempfile.mkdtemp(prefix="gateflow-streams-")
+from ..operators.stages import shared_dir
 
 
 def read_table(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
