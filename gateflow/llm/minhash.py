@@ -10,10 +10,11 @@ What follows does without pairs inside a group:
 1. Documents with equal shingle sets are one class; only its least document goes on.
 2. Star pass: in each band bucket every member is paired with the bucket's least member only.
 3. Confirmed links make components. A bucket whose members are all in one component is settled.
-   In the others, members outside the bucket's largest component are compared with all of the bucket, in
-   blocks of documents, a pair in the first bucket that it shares: first by their signatures (6 standard deviations
-   of slack), then by their sets of 32-bit shingle hashes. Only pairs of different components that are links by those (one percent
-   of slack) leave a block, so a group of documents that are alike but not linked gives no rows.
+   The members of the others are matched by the rarest shingles of their sets: a pair over the threshold shares one among the first
+   (1 - t) n + 1 of either, and the smaller set of the two has it among its first (1 - 2 t / (1 + t)) n (prefix and
+   position filters, as in set-similarity joins). Rarity comes from a table of counts of fixed size; any order is right, a good one
+   leaves few pairs. A group of documents that are alike but not linked has its common shingles behind all prefixes, so it gives
+   no pairs, however large it is.
 
 Every link is confirmed on the full shingle sets of both texts. A link between documents already
 in one component cannot change the result and is not looked for.
@@ -21,6 +22,8 @@ in one component cannot change the result and is not looked for.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,8 +32,11 @@ from pyspark.sql import functions as F
 from .common import components, lean, mix64, seeds, stage, windows_hash, word_chunks
 
 PERMUTATIONS, BANDS, BAND_PERMS = 108, 36, 3
-LEFT_BLOCK, RIGHT_BLOCK = 512, 2048
 SIGMA = 6.0
+#: Members of a shingle's bucket that one task pairs with its members of short prefixes.
+RIGHT_BLOCK = 2048
+#: Counters of the table of rarities (a byte each where it is used), dealt to tasks in so many parts.
+COUNTERS, COUNTER_PARTS = 1 << 20, 256
 
 
 def shingle_sets(texts: pa.Array, width: int):
@@ -130,53 +136,85 @@ def _confirm(width: int, percent: int):
     return run
 
 
-def _short_sets(width: int):
-    """(doc_id, set): 32 bits of each shingle hash, sorted."""
+def _full_sets(width: int):
+    """(doc_id, comp, n, set): the shingle hashes of each text."""
 
     def run(batches):
         for batch in batches:
-            sets = [np.unique(s.astype(np.uint32)).tobytes() for s in shingle_sets(batch.column("text"), width)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "set"])
+            sets = list(shingle_sets(batch.column("text"), width))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("comp"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "comp", "n", "set"]
+            )
 
     return run
 
 
-def _in_block(percent: int):
-    """Links between one block of left and one of right members of a bucket, from different components."""
-
-    def run(table: pa.Table) -> pa.Table:
-        left = table.filter(table.column("left"))
-        right = table.filter(pa.compute.invert(table.column("left")))
-        empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        if not left.num_rows or not right.num_rows:
-            return empty
-        sig = lambda t: np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint16).reshape(t.num_rows, -1)
-        col = lambda t, c: t.column(c).to_numpy()
-        x, y = sig(left), sig(right)
-        bands = lambda t: t.column("bands").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
-        left_bands, right_bands, band = bands(left), bands(right), table.column("band")[0].as_py()
-        sets = lambda t: [np.frombuffer(v, dtype=np.uint32) for v in t.column("set").to_pylist()]
-        left_sets, right_sets = sets(left), sets(right)
-
-        def alike(i: int, j: int) -> bool:
-            k = len(np.intersect1d(left_sets[i], right_sets[j], assume_unique=True))
-            return 100 * k >= (percent - 1) * (len(left_sets[i]) + len(right_sets[j]) - k)
-
-        a, b = [], []
-        for i in range(left.num_rows):
-            n, m = col(left, "n")[i], col(right, "n")
-            ok = (col(right, "comp") != col(left, "comp")[i]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-            ok[ok] = (right_bands[ok] == left_bands[i]).argmax(axis=1) == band  # else they meet in an earlier bucket
-            ok[ok] = _estimated(x[i], y[ok]) >= _slack(percent)
-            ok[ok] = [alike(i, j) for j in np.flatnonzero(ok)]
-            b.append(col(right, "doc_id")[ok])
-            a.append(np.full(len(b[-1]), col(left, "doc_id")[i]))
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+def _slot(shingles: np.ndarray) -> np.ndarray:
+    return (shingles & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def _count_shingles(batches):
+    """(part, counts): in how many sets of the task each counter's shingles are."""
+    counts = np.zeros(COUNTERS, dtype=np.int64)
+    for batch in batches:
+        for s in batch.column("set").to_pylist():
+            np.add.at(counts, _slot(np.frombuffer(s, dtype=np.uint64)), 1)
+    if counts.any():
+        parts = counts.reshape(COUNTER_PARTS, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(COUNTER_PARTS, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "counts"])
+
+
+def _sum_counts(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counters of a part over all tasks, in steps of a quarter of their binary logarithm."""
+    total = 0
+    for batch in batches:
+        for c in batch.column("counts").to_pylist():
+            total = total + np.frombuffer(c, dtype=np.int64)
+    rarity = np.minimum(255, np.ceil(4 * np.log2(total + 1.0))).astype(np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([rarity.tobytes()], pa.binary())], ["part", "rarity"])
+
+
+def _prefixes(held, percent: int):
+    """(doc_id, comp, n, token, pos): the rarest shingles of each set, enough that a linked one shares one of them."""
+
+    def run(batches):
+        rarity = np.frombuffer(held.value, dtype=np.uint8)
+        for batch in batches:
+            at, tokens, places = [], [], []
+            for i, s in enumerate(batch.column("set").to_pylist()):
+                s = np.frombuffer(s, dtype=np.uint64)
+                n = len(s) + (-percent * len(s)) // 100 + 1  # n less the least overlap, and one
+                first = np.lexsort((s, rarity[_slot(s)]))[:n]
+                at.append(np.full(n, i)), tokens.append(s[first].view(np.int64)), places.append(np.arange(n))
+            if at:
+                rows = batch.select(["doc_id", "comp", "n"]).take(pa.array(np.concatenate(at)))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.concatenate(tokens)), pa.array(np.concatenate(places))], ["doc_id", "comp", "n", "token", "pos"])
 
     return run
 
 
+def pairs_by_prefix(needed: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b) of documents ``needed`` (doc_id, text, comp) of different components that can be links: all that are, and few more."""
+    spark = needed.sparkSession
+    sets = stage(needed.mapInArrow(lean(_full_sets(width)), "doc_id long, comp long, n long, set binary"))
+    counts = sets.select("set").mapInArrow(lean(_count_shingles), "part int, counts binary").groupBy("part").applyInArrow(_sum_counts, "part int, rarity binary")
+    table = bytearray(COUNTERS)  # of fixed size: a byte a counter
+    for r in counts.toLocalIterator():
+        size = COUNTERS // COUNTER_PARTS
+        table[r.part * size : (r.part + 1) * size] = r.rarity
+    held = spark.sparkContext.broadcast(bytes(table))
+    rows = sets.mapInArrow(lean(_prefixes(held, percent)), "doc_id long, comp long, n long, token long, pos long")
+    rows = stage(rows.withColumn("short", F.expr(f"{100 + percent} * (n - pos) >= {2 * percent} * n")))
+    open_ = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.count_if("short").alias("shorts")).where("lo < hi and shorts > 0")
+    open_ = open_.select("token", F.ceil(F.col("size") / RIGHT_BLOCK).cast("int").alias("parts"))
+    rows = rows.join(open_, "token")
+    left = rows.where("short").select("token", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.col("doc_id").alias("x"), F.col("comp").alias("x_comp"), F.col("n").alias("x_n"), F.col("pos").alias("x_pos"))
+    right = rows.select("token", F.expr("cast(pmod(xxhash64(doc_id), parts) as int)").alias("part"), F.col("doc_id").alias("y"), F.col("comp").alias("y_comp"), F.col("n").alias("y_n"), F.col("pos").alias("y_pos"))
+    # the smaller set is on the left; what is left of both behind the common shingle must be able to make a link
+    fits = f"x_comp <> y_comp and (x_n < y_n or x_n = y_n and x < y) and 100 * x_n >= {percent} * y_n and {100 + percent} * least(x_n - x_pos, y_n - y_pos) >= {percent} * (x_n + y_n)"
+    return left.join(right, ["token", "part"]).where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def minhash_near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Components of documents linked by 100 * |A & B| >= ``percent`` * |A | B| on sets of ``width``-word shingles.
 
@@ -197,7 +235,8 @@ def minhash_near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     star = member.join(heads, "bucket").where(f"doc_id <> a and 100 * least(n, n_a) >= {percent} * greatest(n, n_a)").select("a", F.col("doc_id").alias("b")).distinct()
     sigs = classes.select("doc_id", "sig")
     near = lambda c: sigs.select(F.col("doc_id").alias(c), F.col("sig").alias(f"sig_{c}"))
-    star = stage(star.join(near("a"), "a").join(near("b"), "b").mapInArrow(lean(_near_by_signature(percent)), "a long, b long"))
+    alike = lambda pairs: pairs.join(near("a"), "a").join(near("b"), "b").mapInArrow(lean(_near_by_signature(percent)), "a long, b long")
+    star = stage(alike(star))
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
@@ -207,29 +246,21 @@ def minhash_near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         texts = lambda c: held.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
         return stage(pairs.join(texts("a"), "a").join(texts("b"), "b").mapInArrow(lean(_confirm(width, percent)), "a long, b long"))
 
-    links = confirm(star)
-    comp = components(links)
-
-    # buckets that span components
-    held = member.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
-    per = held.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
-    open_ = per.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("size"), F.count("*").alias("comps")).where("comps > 1").select(
-        "bucket", F.col("m.comp").alias("main"), F.ceil((F.col("size") - F.col("m.c")) / LEFT_BLOCK).cast("int").alias("lefts"), F.ceil(F.col("size") / RIGHT_BLOCK).cast("int").alias("rights")
-    )
-    rest = stage(held.join(open_, "bucket"))
-    # a semi-join of the ids' own rows: each needed text is read once, however many buckets it is in
-    needed = docs.join(rest.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = stage(needed.mapInArrow(lean(_short_sets(width)), "doc_id long, set binary"))
-    rest = rest.join(classes.select("doc_id", "sig", "bands").join(sets, "doc_id"), "doc_id")
-    block = lambda n, of: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(of)
-    place = lambda n: F.pmod(F.xxhash64("doc_id", "bucket"), F.col(n)).cast("int")
-    cols = ["doc_id", "n", "comp", "bucket", "band", "bands", "sig", "set"]
-    left = rest.where("comp <> main").select(*cols, F.lit(True).alias("left"), place("lefts").alias("i"), block("rights", "j"))
-    right = rest.select(*cols, F.lit(False).alias("left"), place("rights").alias("j"), block("lefts", "i")).select(*left.columns)
-    more = left.unionAll(right).groupBy("bucket", "i", "j").applyInArrow(lean(_in_block(percent)), "a long, b long").distinct()
-    links = links.unionAll(confirm(stage(more)))
-    comp = components(links).withColumnRenamed("node", "rep")
-    roots = classes.select(*key, F.col("doc_id").alias("rep")).join(comp, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
+    comp = components(confirm(star))
+
+    # the members of buckets that span components
+    held = member.select("doc_id", "bucket").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+    spans = held.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
+    ids = stage(held.join(spans, "bucket", "left_semi").select("doc_id", "comp").distinct())
+    needed = docs.join(ids, "doc_id").dropDuplicates(["doc_id"])
+    more = confirm(stage(alike(pairs_by_prefix(needed, width, percent))))
+    # their links join whole components
+    of = lambda c: ids.select(F.col("doc_id").alias(c), F.col("comp").alias(f"comp_{c}"))
+    over = components(more.join(of("a"), "a").join(of("b"), "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")))
+    over = over.select(F.col("node").alias("first"), F.col("component").alias("last"))
+    comp = classes.select(F.col("doc_id").alias("rep")).join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("first"))
+    comp = comp.join(over, "first", "left").select("rep", F.coalesce("last", "first").alias("component"))
+    roots = classes.select(*key, F.col("doc_id").alias("rep")).join(comp, "rep").select(*key, F.col("component").alias("component_id"))
     out = prof.select("doc_id", *key).join(roots, key, "left")
     comp_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp_id.alias("component_id"), F.coalesce(comp_id == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -282,6 +282,29 @@ def test_min_max_signature_is_unbiased():
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.05
 
 
+def test_pairs_by_prefix_miss_nothing(spark):
+    """All links between components are among the pairs, and alike documents that are not linked give next to none."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for k in range(60):  # near copies of each other at every similarity
+        w = list(base)
+        for _ in range(rng.randrange(0, 30)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w[rng.randrange(0, 8) : len(w) - rng.randrange(0, 8)]))
+    rows = [(i, t, i % 7) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, comp long")
+    for width, percent in ((5, 80), (3, 85), (1, 50)):
+        got = {(r.a, r.b) for r in minhash.pairs_by_prefix(df, width, percent).collect()}
+        sets = [shingles(t, width) for t in texts]
+        want = {(i, j) for i in range(60) for j in range(i + 1, 60) if i % 7 != j % 7 and 100 * (k := len(sets[i] & sets[j])) >= percent * (len(sets[i]) + len(sets[j]) - k)}
+        assert want <= got and all(i % 7 != j % 7 for i, j in got)
+    group = [(i, " ".join(base + [f"u{i}x{k}" for k in range(36)]), i) for i in range(400)]  # similarity about 0.6
+    df = spark.createDataFrame(group, "doc_id long, text string, comp long")
+    assert minhash.pairs_by_prefix(df, 5, 80).count() < 400
+
+
+
 # --- 6 sharding --------------------------------------------------------------------------------
 
 
