@@ -40,9 +40,10 @@ def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     merged into a block, by the places where the role changes; the blocks are concatenated. A conversation is one
     output row, so its turns meet in one place and nowhere else.
 
-    Defined edge cases: a null text or role is empty; a null turn sorts first; repeated rows are turns
-    of their own; a null conversation id is a conversation; an empty table gives an empty result;
-    other columns are ignored."""
+    Defined edge cases: a null text or role is empty; a null turn sorts first; equal turn numbers are sorted by role, then text;
+    repeated rows are turns of their own; a null conversation id is a conversation; a text, and a conversation, of any length is formatted
+    whole (it is one row, so it must fit a task; the work is linear in it); an
+    empty table gives an empty result; other columns are ignored."""
     turn = F.struct(
         F.col(turn_col).alias("turn"),
         F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"),
@@ -99,10 +100,36 @@ def parse_chats(formatted: DataFrame, col: str = "formatted") -> DataFrame:
     return formatted.withColumn("turns", F.flatten(F.transform(blocks, block)))
 
 
+#: Parts that a string is cut into before its spans are read, and how often: of 16^4 spans each is then alone in its part.
+WAYS, CUTS = 16, 4
+
+
+def read_spans(text: Column, spans: Column) -> Column:
+    """The parts of ``text`` at ``spans`` (start, length; in code points, in order), as an array.
+
+    A place in a string is found by walking there, so spans are not read from the whole string one by one: the string is cut at every
+    sixteenth part of its spans, the parts again, and so on, each with its own spans. Each time a string is walked
+    a fixed number of times."""
+    part = lambda t, before, s: F.struct(t.alias("text"), before.alias("before"), s.alias("spans"))
+
+    def cut(p: Column) -> Column:
+        n = F.size(p.spans)
+        w = F.ceil(n / WAYS).cast("int")
+        start = lambda i: F.when(i == 0, 1).otherwise(F.get(p.spans, i * w).start - p.before)  # noqa: E731  from 1, in the part
+        end = lambda i: F.coalesce(F.get(p.spans, (i + 1) * w).start - p.before, F.lit(2_000_000_000))
+        own = lambda i: part(F.substring(p.text, start(i), end(i) - start(i)), p.before + start(i) - 1, F.slice(p.spans, i * w + 1, w))
+        return F.when(n < 2, F.array(p)).otherwise(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / w).cast("int")), own))
+
+    parts = F.array(part(text, F.lit(0), spans))
+    for _ in range(CUTS):
+        parts = F.flatten(F.transform(parts, cut))
+    return F.flatten(F.transform(parts, lambda p: F.transform(p.spans, lambda s: F.substring(p.text, s.start - p.before, s.length))))
+
+
 def chat_digest(formatted: DataFrame) -> DataFrame:
     """Digests of what the formatted strings hold: the turns, and the text under the loss mask."""
     read = parse_chats(formatted)
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s.start, s.length))), "")
+    loss = F.array_join(F.transform(read_spans(F.col("formatted"), F.col("loss_spans")), unescape), "")
     read = read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
     return read.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")

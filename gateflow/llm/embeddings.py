@@ -226,13 +226,20 @@ def embedding_near_dedup(df: DataFrame, id_col: str = "vec_id", vector_col: str
     Defined edge cases: a null id, label or vector, an empty or zero vector, and a vector with null
     or non-finite components link with nothing and are kept (component_id = id, null for a null
     id); vectors of different lengths never link; repeated rows are vectors of their own that link
-    with each other; an empty table gives an empty result; other columns are ignored."""
+    with each other; rows of one id with different vectors have links and components of their own; there are no ties (a link is one at the
+    threshold too); an empty table gives an empty result; other columns are ignored."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("emb"), F.col(label_col).cast("string").alias("label"))
     bad = F.exists("emb", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     valid = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("emb").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("emb", lambda x: x != 0)
     rows = rows.withColumn("ok", F.coalesce(valid, F.lit(False)))
     good = rows.where("ok").select("id", "label", "emb")
     reps = stage(good.groupBy("label", "emb").agg(F.min("id").alias("id"), F.count("*").alias("c")).withColumn("dim", F.size("emb")))
+    names = None
+    if not reps.groupBy("id").count().where("count > 1").isEmpty():
+        # vectors that share an id are told apart by numbers that go up with the ids
+        ranged = reps.withColumn("h", F.xxhash64("label", "emb")).repartitionByRange("id", "h").sortWithinPartitions("id", "h").drop("h")
+        reps = stage(ranged.withColumn("real", F.col("id")).withColumn("id", F.monotonically_increasing_id()))
+        names = reps.select(F.col("id").alias("component"), F.col("real").alias("named"))
     bases = pca_bases(reps)
     order, cut = _tiles(bases, tile_rows)
     emb_type = reps.schema["emb"].dataType.simpleString()
@@ -253,9 +260,10 @@ def embedding_near_dedup(df: DataFrame, id_col: str = "vec_id", vector_col: str
     found = stage(pairs.join(side("a"), "tile_a").join(side("b"), "tile_b").mapInArrow(lean(_compare(bases, threshold)), "id long, links long, low long"))
     degree = found.groupBy("id").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("id").alias("a"), F.col("low").alias("b")))
-    known = reps.join(degree, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left").select(
-        "label", "emb", (F.coalesce("links", F.lit(0)) + F.col("c") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")
-    )
+    known = reps.join(degree, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    if names is not None:
+        known = known.join(names, "component").withColumn("component", F.col("named"))
+    known = known.select("label", "emb", (F.coalesce("links", F.lit(0)) + F.col("c") - 1).alias("n_links"), F.col("component").alias("component_id"))
     linked = good.join(known, ["label", "emb"]).select("id", "n_links", "component_id", "label")
     alone = rows.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), "label")
     out = linked.unionAll(alone)

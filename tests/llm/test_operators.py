@@ -94,6 +94,16 @@ def test_embedding_axes(spark):
         assert {(b, a) for a, b in zip(i.tolist(), j.tolist(), strict=True)} == want
 
 
+def test_one_id_with_several_vectors(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (4, [1.0, 0.02], 0), (4, [1.0, 0.02], 0), (5, [-1.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = Counter((r.vec_id, r.n_links, r.component_id) for r in embeddings.embedding_near_dedup(df, threshold=0.93).collect())
+    assert got == Counter([(1, 3, 1), (1, 1, 1), (2, 3, 1), (3, 1, 1), (4, 3, 1), (4, 3, 1), (5, 0, 5)])
+    one = [(9, [1.0, 0.0], 0), (9, [0.0, 1.0], 0), (2, [0.01, 1.0], 0)]
+    got = Counter((r.vec_id, r.n_links, r.component_id) for r in embeddings.embedding_near_dedup(spark.createDataFrame(one, df.schema), threshold=0.93).collect())
+    assert got == Counter([(9, 0, 9), (9, 1, 2), (2, 1, 2)])
+
+
 # --- 2 urls ------------------------------------------------------------------------------------
 
 URLS = ["http://a.Example.org/es/x", "http://example.org/en/12", "http://example.org/en/2", "http://example.orgx/es/", "x", None, "", "http://org/", "http://org", "https://u.com/fr/a?b#c", "https://u.com/de/", "https://u.com/frx", "a://b.net/x://c.org/", "http://h.org?u=://z.com/fr/", "http://EXAMPLE.org/es/", "http://badexample.org/es/q", "://", "http:///es/"]
@@ -238,6 +248,21 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_long_conversations(spark):
+    """Spans of a long conversation are read right, with texts of many bytes a letter; null ids and turns; a very long text."""
+    rng = random.Random(4)
+    rows = [(1, k, rng.choice(["user", "assistant"]), rng.choice(["", "añ€😀", "<|im_end|>", "x" * rng.randrange(40)])) for k in range(3000)]
+    rows += [(None, None, "assistant", "no id"), (None, 2, None, None), (2, None, "user", "a"), (2, None, "assistant", "b"), (3, 0, "assistant", "<|" * 300_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.chat_digest(chat.format_chats(df)).collect()}
+    for conv in (1, 2, 3, None):
+        turns = sorted(((r[1] is not None, r[1] or 0, r[2] or "", r[3] or "") for r in rows if r[0] == conv))
+        assert got[conv].n_turns == len(turns)
+        assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{t[2]}\n{t[3]}\n" for t in turns).encode()).hexdigest()
+        loss = "".join(t[3] for t in turns if t[2] == "assistant")
+        assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
 # --- 5 MinHash ---------------------------------------------------------------------------------
 
 
