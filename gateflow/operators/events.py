@@ -8,6 +8,7 @@ than 15 s.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -19,6 +20,7 @@ from .aggregates import avg_color, code_consensus, seal_vote
 from .chains import let_through
 from .joins import distinct_clusters, open_event_at
 from .lanes import cut, fold_rows, number, with_rows_before
+from .speculation import speculative_fold
 from .windows import gap_clusters, lane_clusters, motion_delta, recent_color
 
 # Gaps in ms, distances of colour and place.
@@ -101,17 +103,27 @@ def _narrow(det: DataFrame, lane: str) -> DataFrame:
     return det.select(F.col(lane).cast("long").alias("lane"), "det_id", "ts_ms", "source_id", (F.col("bbox_left") + F.col("bbox_width") / 2).alias("cx"), (F.col("bbox_top") + F.col("bbox_height") / 2).alias("cy"), "color_h", "color_s", "color_v", "class_id", roi.alias("roi_name"))
 
 
-def assign_events(det: DataFrame, lane: str = "site_id", close_rules: bool = True) -> DataFrame:
+def dump_lane(lane: Lane, at: int | None) -> str:
+    """The open events of a lane as text; with a time only those that a row from then on can join."""
+    open_ = [e for e in lane.open if at is None or e.start >= at - OPEN_WINDOW and not (lane.close_rules and e.deadline() < at)]
+    return json.dumps([lane.close_rules, sorted([e.start, e.event_id, e.recent, e.seal, e.exit] for e in open_)])
+
+
+def load_lane(text: str) -> Lane:
+    rules, open_ = json.loads(text)
+    return Lane(rules, [OpenEvent(i, start, [(*r[:4], r[4] and tuple(r[4])) for r in recent], seal, exit_) for start, i, recent, seal, exit_ in open_])
+
+
+def assign_events(det: DataFrame, lane: str = "site_id", close_rules: bool = True, **speculation) -> DataFrame:
     """(det_id, event_id) by the exact fold; an event is named after its first detection.
 
-    After more than 15 s without a row no event of a lane can take another, so a lane is cut there and its pieces are
-    folded apart."""
+    After 15 s an event can take no other row, so the fold forgets: it is made in chunks of time at once, see :mod:`.speculation` (whose
+    sizes ``speculation`` can set)."""
 
-    def step(state: Lane, _key, i, ts, source, cx, cy, h, s, v, cls, roi):
+    def step(state: Lane, i, ts, source, cx, cy, h, s, v, cls, roi):
         return [(i, state.assign(i, ts, source, cx, cy, None if h is None else (h, s, v), cls, roi))]
 
-    pieces = cut(_narrow(det, lane), ("lane",), "ts_ms", OPEN_WINDOW)
-    return fold_rows(pieces, ("lane", "_piece"), ("ts_ms", "det_id"), _FOLD, "det_id long, event_id long", lambda: Lane(close_rules), step)
+    return speculative_fold(_narrow(det, lane), "lane", "ts_ms", ("ts_ms", "det_id"), _FOLD, "det_id long, event_id long", lambda: Lane(close_rules), step, dump_lane, load_lane, **speculation)
 
 
 def assign_events_fast(det: DataFrame, lane: str = "site_id") -> DataFrame:
