@@ -141,38 +141,6 @@ def escalate(incidents: DataFrame, bounds: DataFrame, operators: DataFrame) -> D
     return at.join(operators.select("site_id", "level", "operator_id"), ["site_id", "level"])
 
 
-def match_embeddings(probes: DataFrame, gallery: DataFrame, k: int = 1, max_gallery: int = 100_000) -> DataFrame:
-    """The ``k`` gallery vectors of greatest cosine for each probe, itself left out: (vec_id, match_id, cosine).
-
-    Both sides are cut into blocks, probes and gallery meet block by block through a key, as matrices, and only
-    the best ``k`` of a block leave it. Each side is copied once for every block of the other by its own rows,
-    without a join."""
-    import numpy as np
-    import pandas as pd
-
-    n_blocks = max(1, -(-gallery.count() // max_gallery))
-    unit = lambda rows: (m := np.stack([np.asarray(x, dtype=np.float64) for x in rows])) / np.linalg.norm(m, axis=1, keepdims=True)
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")
-    n_parts = max(1, -(-probes.count() // 4096))
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(n_parts)).cast("int")
-    g = gallery.select(F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("gpart"), block.alias("gblock"), F.col("vec_id").alias("gid"), F.col("embedding").alias("vector"))
-    p = probes.select(part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "vec_id", "embedding")
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"vec_id": pd.Series(dtype="int64"), "match_id": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float64")})
-        b = b.sort_values("gid")
-        s = unit(a["embedding"]) @ unit(b["vector"]).T
-        s[a["vec_id"].to_numpy()[:, None] == b["gid"].to_numpy()[None, :]] = -np.inf
-        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"vec_id": np.repeat(a["vec_id"].to_numpy(), top.shape[1]), "match_id": b["gid"].to_numpy()[top].ravel(), "cosine": np.take_along_axis(s, top, axis=1).ravel()})
-        return out[out["cosine"] != -np.inf]
-
-    found = p.groupBy("part", "block").cogroup(g.groupBy("gpart", "gblock")).applyInPandas(best, "vec_id long, match_id long, cosine double")
-    w = W.partitionBy("vec_id").orderBy(F.desc("cosine"), "match_id")
-    return found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
-
-
 def pair_score(det: DataFrame, iou_weight: float = 0.6, size_weight: float = 0.4) -> DataFrame:
     """Pairs of boxes of one class in consecutive frames of a source, each the other's best.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import metrics as met
@@ -9,6 +10,7 @@ from ..operators import aggregates as agg
 from ..operators import joins as jn
 from ..operators import topk
 from ..operators import windows as win
+from ..operators.nearest import match_embeddings
 from .registry import query
 from .scalar_queries import devices, patrols
 
@@ -48,21 +50,24 @@ def _(v):
     return jn.escalate(v("incidents"), win.level_bounds(v("levels")), v("operators")).select("incident_id", "level", "operator_id")
 
 
-@query("jn16_match_embeddings", """
-WITH g AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 10 = 0), p AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 10 <> 0)
-SELECT p.vec_id, arg_max(g.vec_id, list_cosine_similarity(p.e, g.e)) AS match_id, round(max(list_cosine_similarity(p.e, g.e)), 6) AS cosine FROM p JOIN g ON true GROUP BY p.vec_id""")
+_PAIRS = """
+WITH g AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+p AS (SELECT p.vec_id, g.vec_id AS match_id, list_cosine_similarity(p.e, g.e) AS cosine FROM g p JOIN g ON g.vec_id <> p.vec_id WHERE p.vec_id % 50 = 0)"""
+
+
+@query("jn16_match_embeddings", _PAIRS + " SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC) AS place, match_id, round(cosine, 6) AS cosine FROM p QUALIFY place <= 3")
 def _(v):
+    """The three nearest of every 50th vector, of all others."""
     e = v("vectors")
-    return jn.match_embeddings(e.where("vec_id % 10 <> 0"), e.where("vec_id % 10 = 0")).select("vec_id", "match_id", F.round("cosine", 6).alias("cosine"))
+    place = F.row_number().over(W.partitionBy("vec_id").orderBy(F.desc("cosine"), "match_id")).cast("long")
+    return match_embeddings(e.where("vec_id % 50 = 0"), e, 3).select("vec_id", place.alias("place"), "match_id", F.round("cosine", 6).alias("cosine"))
 
 
-@query("jn16_match_embeddings_all", """
-WITH g AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
-SELECT p.vec_id, arg_max(g.vec_id, list_cosine_similarity(p.e, g.e)) AS match_id, round(max(list_cosine_similarity(p.e, g.e)), 6) AS cosine FROM g p JOIN g ON g.vec_id <> p.vec_id WHERE p.vec_id % 50 = 0 GROUP BY p.vec_id""")
+@query("jn16_match_embeddings_all", _PAIRS + " SELECT vec_id, arg_max(match_id, cosine) AS match_id, round(max(cosine), 6) AS cosine FROM p GROUP BY vec_id")
 def _(v):
     """Every 50th vector against all others."""
     e = v("vectors")
-    return jn.match_embeddings(e.where("vec_id % 50 = 0"), e).select("vec_id", "match_id", F.round("cosine", 6).alias("cosine"))
+    return match_embeddings(e.where("vec_id % 50 = 0"), e).select("vec_id", "match_id", F.round("cosine", 6).alias("cosine"))
 
 
 @query("jn18_upsert", "SELECT coalesce(o.id, d.id) AS id, CASE WHEN d.id % 2 = 0 THEN d.host ELSE o.host END AS host, o.name AS name FROM old_devices o FULL JOIN (SELECT * FROM devices WHERE id % 2 = 0) d ON d.id = o.id", ("old_devices", "devices"))

@@ -168,14 +168,3 @@ def test_no_nested_loops(spark):
     for name in ("jn3_contain_all", "jn4_roi_join", "jn6_prev_event", "jn7_open_event_at", "jn17_pair_score", "agg3_code_consensus", "evt1b_assign_events_fast", "evt4_split_events"):
         plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
-
-
-def test_match_embeddings_finds_all_but_itself(spark):
-    from gateflow.operators import joins
-    from gateflow.plans import registry
-
-    e = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, [0.0, 1.0]), (50, [0.1, 0.9])], "vec_id long, embedding array<double>")
-    got = {r.vec_id: r.match_id for r in joins.match_embeddings(e.where("vec_id % 50 = 0"), e, max_gallery=2).collect()}
-    assert got == {0: 1, 50: 2}
-    found = registry.queries()["jn16_match_embeddings_all"](spark, "/root/testdata/sf0.001").collect()
-    assert any(r.match_id % 10 for r in found) and all(r.match_id != r.vec_id for r in found)
