@@ -10,7 +10,7 @@ from ..functions import geometry as geo
 from ..functions import metrics as met
 from ..functions import text as txt
 from ..operators import filters as flt
-from ..sources import packets, sinks
+from ..sources import captures, packets, sinks
 from ..sources import parsers as src
 from ..streaming.run import shared_dir
 from .registry import query
@@ -343,6 +343,23 @@ def _(v):
     return packets.decode_snapshot_packets(files).withColumns({"image": F.col("image").cast("string"), "ts_ms": F.col("ts_ms").cast("long")})
 
 
+@query("src1_capture_ranges", f"SELECT path, device_id, source_id, class_id, object_id, cast(cast(confidence AS float) AS double) AS confidence, {_WIRE}, frame_num, ts_ms, size, size = length(image) AS ok, image FROM ({_PACKED})", ("detections",))
+def _(v):
+    """The same captures as files, in ranges of 4000 bytes."""
+    folder = f"{shared_dir(v.spark)}/captures-{uuid.uuid4().hex}"
+    captures.write_captures(packets.encode_packets(_packed(v), "crop"), folder).agg(F.sum("size")).first()
+    rows = captures.read_captures(v.spark, folder, range_bytes=4000).drop("offset")
+    return rows.withColumns({"path": F.substring_index("path", f"{folder.rsplit('/', 1)[1]}/", -1), "image": F.col("image").cast("string"), "object_id": F.col("object_id").cast("long"), "ts_ms": F.col("ts_ms").cast("long")})
+
+
+@query("udtf_decode_packets", f"SELECT path, pos::INT AS pos, device_id, source_id, class_id, object_id, cast(cast(confidence AS float) AS double) AS confidence, {_WIRE}, frame_num, ts_ms, size, size = length(image) AS ok, image FROM ({_PACKED})", ("detections",))
+def _(v):
+    packets.register_table_functions(v.spark)
+    packets.encode_packets(_packed(v), "crop").createOrReplaceTempView("captures")
+    rows = v.spark.sql("SELECT c.path, p.* FROM captures c, LATERAL decode_packets(c.content) p")
+    return rows.withColumns({"image": F.col("image").cast("string"), "object_id": F.col("object_id").cast("long"), "ts_ms": F.col("ts_ms").cast("long")})
+
+
 @query("src10_read_thresholds", "SELECT (o_orderkey % 20 - 2)::INT AS class_id, (o_orderkey % 7 - 1) / 4 AS threshold FROM orders WHERE o_orderkey % 20 - 2 BETWEEN 0 AND 15 AND o_orderkey % 7 > 1")
 def _(v):
     folder = f"{shared_dir(v.spark)}/thresholds-{uuid.uuid4().hex}"

@@ -32,18 +32,23 @@ def split_packets(data: bytes | memoryview, layout: struct.Struct):
 
 
 def _signed(device: int) -> int:
+    """A 32-bit field as an int: what a header cannot mean is negative, and no error."""
     return device - (1 << 32) if device >= 1 << 31 else device
 
 
+def packet_fields(kind: str, header: tuple, image: bytes) -> tuple:
+    """The columns that a header gives, with the image that it describes."""
+    if kind == "crop":
+        device, source, cls, obj, conf, *box, frame, ts, size = header
+        return (_signed(device), _signed(source), _signed(cls), Decimal(obj), conf, *box, frame, Decimal(ts), size, size == len(image), image)
+    device, source, name, *box, ts, size = header
+    return (_signed(device), _signed(source), name.split(b"\0")[0].decode("ascii", "replace"), *box, Decimal(ts), size, size == len(image), image)
+
+
 def packet_rows(kind: str, path: str, data: bytes):
     """Rows of one capture, as in the layout's schema."""
-    for pos, (image, h) in enumerate(split_packets(data, CROP if kind == "crop" else SNAPSHOT)):
-        if kind == "crop":
-            device, source, cls, obj, conf, *box, frame, ts, size = h
-            yield (path, pos, _signed(device), source, cls, Decimal(obj), conf, *box, frame, Decimal(ts), size, size == len(image), image)
-        else:
-            device, source, name, *box, ts, size = h
-            yield (path, pos, _signed(device), source, name.split(b"\0")[0].decode("ascii", "replace"), *box, Decimal(ts), size, size == len(image), image)
+    for pos, (image, header) in enumerate(split_packets(data, CROP if kind == "crop" else SNAPSHOT)):
+        yield (path, pos, *packet_fields(kind, header, image))
 
 
 #: Bytes of images that leave a task at a time.
@@ -88,6 +93,24 @@ def decode_snapshot_packets(files: DataFrame) -> DataFrame:
     return _decoded(files, "snapshot", SNAPSHOT_DDL)
 
 
+def _table_function(kind: str, ddl: str):
+    """A table function of a capture's content: a row a packet, told one by one. (An Arrow table function cannot stand in a lateral join.)"""
+
+    class DecodePackets:
+        def eval(self, content: bytes):
+            if content is not None:
+                for _, *row in packet_rows(kind, "", content):
+                    yield tuple(row)
+
+    return F.udtf(DecodePackets, returnType=StructType([c for c in StructType.fromDDL(ddl).fields if c.name != "path"]))
+
+
+def register_table_functions(spark: SparkSession) -> None:
+    """``decode_packets(content)`` and ``decode_snapshots(content)`` for SQL: ``FROM files, LATERAL decode_packets(content)``."""
+    spark.udtf.register("decode_packets", _table_function("crop", CROP_DDL))
+    spark.udtf.register("decode_snapshots", _table_function("snapshot", SNAPSHOT_DDL))
+
+
 _FIELDS = {
     "crop": ("device_id", "source_id", "class_id", "object_id", "confidence", "bbox_left", "bbox_top", "bbox_width", "bbox_height", "frame_num", "ts_ms", "size"),
     "snapshot": ("device_id", "source_id", "kind", "bbox_left", "bbox_top", "bbox_width", "bbox_height", "ts_ms", "size"),
