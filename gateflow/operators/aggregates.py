@@ -125,8 +125,14 @@ def pivot_series(df: DataFrame, pipelines: list[str]) -> DataFrame:
     return df.groupBy("tick").pivot("pipeline", pipelines).agg(F.sum("fps"))
 
 
-def frame_flags(df: DataFrame) -> DataFrame:
-    return df.groupBy("source_id", "frame_num").agg(F.bool_or(F.col("roi_name") != "").alias("any_roi"), F.bool_or(F.col("roi_name") == "salida").alias("any_exit"), (F.count("*") > 3).alias("crowded"))
+def frame_flags(df: DataFrame, n: int = 3) -> DataFrame:
+    """Of each frame: whether an object is in a region, at the exit, or has crossed a line (``crossed``), and whether some region
+    has more than ``n`` objects."""
+    regions = df.groupBy("source_id", "frame_num", "roi_name").agg(F.bool_or("crossed").alias("crossed"), F.count("*").alias("c"))
+    inside = F.col("roi_name") != ""
+    return regions.groupBy("source_id", "frame_num").agg(
+        F.bool_or(inside).alias("any_roi"), F.bool_or(F.col("roi_name") == "salida").alias("any_exit"), F.bool_or("crossed").alias("any_crossing"), F.bool_or(inside & (F.col("c") > n)).alias("crowded")
+    )
 
 
 def outcome_tally(df: DataFrame) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 
 def filter_confidence(df: DataFrame, thresholds: DataFrame, default: float = 0.6) -> DataFrame:
-    """Detections at or above their class's threshold. The table has a row a class, 16 at most."""
-    t = thresholds.where("class_id between 0 and 15").select("class_id", "threshold")
+    """Detections at or above their class's threshold (the highest, if a class has several). Classes are 0 to 15, so at most 16
+    rows are broadcast, whatever the table."""
+    t = thresholds.where("class_id between 0 and 15").groupBy("class_id").agg(F.max("threshold").alias("threshold"))
     return df.join(F.broadcast(t), "class_id", "left").where(F.col("confidence") >= F.coalesce("threshold", F.lit(default))).drop("threshold")
 
 

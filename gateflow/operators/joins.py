@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import hsv_distance, inside_polygon
 from .asof import last_before
+from .stages import stage
 
 
 def map_sources(df: DataFrame, source_map: DataFrame) -> DataFrame:
@@ -142,9 +143,11 @@ def escalate(incidents: DataFrame, bounds: DataFrame, operators: DataFrame) -> D
 
 
 def pair_score(det: DataFrame, iou_weight: float = 0.6, size_weight: float = 0.4) -> DataFrame:
-    """Pairs of boxes of one class in consecutive frames of a source, each the other's best.
+    """Boxes of one class in consecutive frames of a source paired one to one, greedily by score: (det_id, prev_det, score).
 
-    score = 0.6 * overlap + 0.4 * likeness of size."""
+    score = 0.6 * overlap + 0.4 * likeness of size, to 9 places; of equal scores the lower det_id, then prev_det, goes first. Greedy
+    matching goes in rounds: pairs that are each other's best among those left are what the greedy order would take
+    next, so they are taken all at once, over all frames, until no pair is left."""
     box = ("left", "top", "width", "height")
     a = det.select("source_id", "class_id", (F.col("frame_num") + 1).alias("frame_num"), F.col("det_id").alias("prev_det"), *(F.col(f"bbox_{c}").alias(f"p_{c}") for c in box))
     j = det.select("source_id", "class_id", "frame_num", "det_id", *(f"bbox_{c}" for c in box)).join(a, ["source_id", "class_id", "frame_num"])
@@ -155,10 +158,17 @@ def pair_score(det: DataFrame, iou_weight: float = 0.6, size_weight: float = 0.4
     area, prev = F.col("bbox_width") * F.col("bbox_height"), F.col("p_width") * F.col("p_height")
     shared = overlap("left", "width") * overlap("top", "height")
     score = iou_weight * shared / (area + prev - shared) + size_weight * F.least(area, prev) / F.greatest(area, prev)
-    j = j.withColumn("score", score)
-    mine = W.partitionBy("det_id").orderBy(F.desc("score"), "prev_det")
-    its = W.partitionBy("prev_det").orderBy(F.desc("score"), "det_id")
-    return j.withColumns({"_a": F.row_number().over(mine), "_b": F.row_number().over(its)}).where("_a = 1 and _b = 1").select("det_id", "prev_det", "score")
+    left = stage(j.select("det_id", "prev_det", F.round(score, 9).alias("score")))
+    order = (F.desc("score"), "det_id", "prev_det")
+    mine, its = W.partitionBy("det_id").orderBy(*order), W.partitionBy("prev_det").orderBy(*order)
+    taken = None
+    while True:
+        best = left.withColumn("_a", F.row_number().over(mine)).withColumn("_b", F.row_number().over(its)).where("_a = 1 and _b = 1").drop("_a", "_b")
+        best = stage(best)
+        taken = best if taken is None else taken.unionAll(best)
+        left = stage(left.join(best.select("det_id"), "det_id", "left_anti").join(best.select("prev_det"), "prev_det", "left_anti").select("det_id", "prev_det", "score"))
+        if left.isEmpty():
+            return taken
 
 
 def upsert(current: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

@@ -49,6 +49,21 @@ def number(df: DataFrame, keys: tuple[str, ...], ts: str, order: tuple[str, ...]
     return d.withColumn("_at", rank + F.coalesce("_n", F.lit(0))).drop("_span", "_n")
 
 
+def running(df: DataFrame, keys: tuple[str, ...], ts: str, order: tuple[str, ...], sums: dict[str, Column] | None = None, greatest: dict[str, Column] | None = None, span_ms: int = SPAN_MS) -> DataFrame:
+    """``df`` with running sums and greatest values over its lane, the row itself included: inside a span by a window, and what was before it
+    from the table of spans. Nulls do not count."""
+    sums, greatest = sums or {}, greatest or {}
+    d = df.withColumns({"_span": F.floor(F.col(ts) / span_ms), **{f"_v_{n}": c for n, c in (sums | greatest).items()}})
+    d = before_span(d, keys, {f"_b_{n}": (F.sum if n in sums else F.max)(f"_v_{n}") for n in sums | greatest}, {f"_b_{n}": F.sum if n in sums else F.max for n in sums | greatest})
+    w = W.partitionBy(*keys, "_span").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    zero = F.lit(0)
+    d = d.withColumns({
+        **{n: F.coalesce(F.sum(f"_v_{n}").over(w), zero) + F.coalesce(f"_b_{n}", zero) for n in sums},
+        **{n: F.greatest(F.max(f"_v_{n}").over(w), F.col(f"_b_{n}")) for n in greatest},
+    })
+    return d.drop("_span", *(f"_{x}_{n}" for x in "vb" for n in sums | greatest))
+
+
 def with_rows_before(df: DataFrame, keys: tuple[str, ...], n: int, block: int = 4096) -> DataFrame:
     """Numbered rows in blocks (``_block``) of ``block`` rows, each with copies (``_copy``) of the ``n`` rows before it."""
     own = df.withColumns({"_block": F.floor(F.col("_at") / block), "_copy": F.lit(False)})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -11,10 +12,15 @@ def recent_events(df: DataFrame, device_id: int, n: int = 100) -> DataFrame:
 
 
 def page(df: DataFrame, k: int, size: int = 25, order: tuple[str, ...] = ("start_ms", "event_id")) -> DataFrame:
-    """Page ``k`` (from 1), newest first, with the total; a page out of range is the last."""
-    total = df.count()
-    k = min(max(k, 1), max(1, -(-total // size)))
-    return df.orderBy(*(F.desc(c) for c in order)).offset((k - 1) * size).limit(size).withColumn("total", F.lit(total).cast("long"))
+    """Page ``k`` (from 1), newest first, with the total; a page out of range is the last.
+
+    The first ``k`` pages are the top rows, which Spark takes from each partition without a sort of all; where they end early the last
+    of them is the last page. The total is a subquery of the same run."""
+    k = max(k, 1)
+    by = W.orderBy(*(F.desc(c) for c in order))
+    top = df.orderBy(*(F.desc(c) for c in order)).limit(k * size).withColumns({"_r": F.row_number().over(by), "_m": F.count("*").over(W.partitionBy())})
+    last = F.least(F.lit(k - 1), F.floor((F.col("_m") - 1) / size))
+    return top.where(F.floor((F.col("_r") - 1) / size) == last).drop("_r", "_m").withColumn("total", df.agg(F.count("*")).scalar())
 
 
 def tail_series(df: DataFrame, source: str, n: int = 60) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .chains import let_through
-from .lanes import SPAN_MS, before_span, fold_rows
+from .lanes import SPAN_MS, before_span, fold_rows, running
 
 ORDER = ("ts_ms", "det_id")
 
@@ -82,29 +82,42 @@ def assign_instances(devices: DataFrame, per_instance: int = 4, max_instances: i
     return devices.withColumns({"_n": needed, "_k": k}).select("id", "pipeline", (F.col("_k") % F.col("_n") + 1).cast("int").alias("instance"), F.floor(F.col("_k") / F.col("_n")).cast("int").alias("source_id"))
 
 
-def device_health(pings: DataFrame, failures: int = 3) -> DataFrame:
-    """Status at each ping and the cycle since when a device is offline: after ``failures`` pings without answer."""
-    w = W.partitionBy("device_id").orderBy("cycle")
-    run = pings.withColumn("_run", F.sum(F.col("ok").cast("int")).over(w))
-    inside = W.partitionBy("device_id", "_run").orderBy("cycle")
-    run = run.withColumn("failure_count", F.sum(F.when(~F.col("ok"), 1).otherwise(0)).over(inside).cast("int"))
-    run = run.withColumn("is_online", F.col("failure_count") < failures)
-    run = run.withColumn("changed", F.coalesce(F.lag("is_online").over(w) != F.col("is_online"), F.lit(False)))
-    since = F.min(F.when(~F.col("is_online"), F.col("cycle"))).over(inside)
-    return run.withColumn("offline_since", F.when(~F.col("is_online"), since)).drop("_run", "ok")
+#: Cycles of a device in one span: a device with a long history is spread over its spans.
+SPAN_CYCLES = 10_000
 
 
-def watchdog_runs(fps: DataFrame, floor: int = 6, zero_cycles: int = 12, low_cycles: int = 18) -> DataFrame:
+def device_health(pings: DataFrame, failures: int = 3, span: int = SPAN_CYCLES) -> DataFrame:
+    """Status at each ping and the cycle since when a device is offline: after ``failures`` pings without answer.
+
+    All follows from the place of the last answer before a ping and at it, and these are running values (see
+    :func:`.lanes.running`), so that a device with half of all pings is no task's alone."""
+    key = ("device_id",)
+    d = running(pings, key, "cycle", ("cycle",), {"_at": F.lit(1).cast("long")}, span_ms=span)
+    d = running(d, key, "cycle", ("cycle",), greatest={"_ok": F.when(F.col("ok"), F.col("_at"))}, span_ms=span)
+    count = F.col("_at") - F.coalesce("_ok", F.lit(0))
+    # before an answer the run is what it was: the place of the answer before that is needed
+    d = d.withColumns({"failure_count": count.cast("int"), "_full": F.when(count == failures, F.struct("_at", "cycle"))})
+    ended = F.when(~F.col("ok") & (count >= failures), F.col("_at"))
+    d = running(d.withColumn("_off", ended), key, "cycle", ("cycle",), greatest={"_since": F.col("_full"), "_last_off": F.col("_off")}, span_ms=span)
+    online = F.col("failure_count") < failures
+    # the ping before was offline: by its own place for an answer, by its count for a failure
+    was_off = F.when(F.col("ok"), F.coalesce(F.col("_last_off") == F.col("_at") - 1, F.lit(False))).otherwise(F.col("failure_count") > failures)
+    changed = (F.col("_at") > 1) & (was_off == online)
+    return d.withColumns({"is_online": online, "changed": changed, "offline_since": F.when(~online, F.col("_since.cycle"))}).select(
+        *(c for c in pings.columns if c != "ok"), "failure_count", "is_online", "changed", "offline_since"
+    )
+
+
+def watchdog_runs(fps: DataFrame, floor: int = 6, zero_cycles: int = 12, low_cycles: int = 18, span: int = SPAN_CYCLES) -> DataFrame:
     """Set-based watchdog without expiry of counters: between good cycles, zero and low cycles are counted, and
-    every full count asks for a restart and begins anew."""
-    w = W.partitionBy("device_id").orderBy("cycle")
-    r = fps.withColumn("_run", F.sum((F.col("fps") >= floor).cast("int")).over(w))
-    inside = W.partitionBy("device_id", "_run").orderBy("cycle")
-    zero = F.sum((F.col("fps") == 0).cast("int")).over(inside)
-    low = F.sum(((F.col("fps") > 0) & (F.col("fps") < floor)).cast("int")).over(inside)
-    r = r.withColumns({"n_zero": zero, "n_low": low})
-    restart = ((F.col("fps") == 0) & (F.col("n_zero") % zero_cycles == 0)) | (F.col("fps").between(1, floor - 1) & (F.col("n_low") % low_cycles == 0))
-    return r.where(restart).select("device_id", "cycle", F.when(F.col("fps") == 0, "zero").otherwise("low").alias("reason"))
+    every full count asks for a restart and begins anew. Counts since the last good cycle are differences of running sums."""
+    key, bad = ("device_id",), F.col("fps")
+    sums = {"_at": F.lit(1).cast("long"), "_zero": (bad == 0).cast("long"), "_low": ((bad > 0) & (bad < floor)).cast("long")}
+    r = running(fps, key, "cycle", ("cycle",), sums, span_ms=span)
+    r = running(r, key, "cycle", ("cycle",), greatest={"_good": F.when(bad >= floor, F.struct("_at", "_zero", "_low"))}, span_ms=span)
+    n_zero, n_low = (F.col(c) - F.coalesce(f"_good.{c}", F.lit(0)) for c in ("_zero", "_low"))
+    restart = ((bad == 0) & (n_zero % zero_cycles == 0)) | (bad.between(1, floor - 1) & (n_low % low_cycles == 0))
+    return r.where(restart).select("device_id", "cycle", F.when(bad == 0, "zero").otherwise("low").alias("reason"))
 
 
 class WatchdogCounter:
@@ -138,7 +151,7 @@ def fps_watchdog(fps: DataFrame, cycle_s: int = 10, **limits) -> DataFrame:
 
     good = F.col("fps") >= WatchdogCounter(**limits).floor
     runs = fps.select(F.col("device_id").cast("long").alias("device_id"), F.col("cycle").cast("long").alias("cycle"), "fps")
-    runs = runs.withColumn("_run", F.sum(good.cast("long")).over(W.partitionBy("device_id").orderBy("cycle"))).where(~good)
+    runs = running(runs, ("device_id",), "cycle", ("cycle",), {"_run": good.cast("long")}, span_ms=SPAN_CYCLES).where(~good)
     return fold_rows(runs, ("device_id", "_run"), ("cycle",), ("cycle", "fps"), "device_id long, cycle long, reason string", lambda: WatchdogCounter(**limits), step)
 
 
@@ -198,8 +211,12 @@ def patrol_plan(patrols: DataFrame, horizon_s: int = 60) -> DataFrame:
 
 
 def session_starts(df: DataFrame, key: str = "user_id", gap_ms: int = 30_000) -> DataFrame:
-    """Sessions of keep-alives: (key, start, last, n); one begins when none came in the last 30 s."""
-    w = W.partitionBy(key).orderBy("ts_ms")
-    new = F.coalesce((F.col("ts_ms") - F.lag("ts_ms").over(w) >= gap_ms).cast("int"), F.lit(1))
-    s = df.withColumn("_new", new).withColumn("_s", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return s.groupBy(key, "_s").agg(F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("last_ms"), F.count("*").alias("n")).drop("_s")
+    """Sessions of keep-alives: (key, start, last, n); one begins when none came in the last 30 s. For a stream see
+    :func:`gateflow.streaming.operators.stream_sessions`."""
+    return sessions_of(df.withColumn("_ts", F.timestamp_millis("ts_ms")), key, "_ts", gap_ms)
+
+
+def sessions_of(df: DataFrame, key: str, ts: str, gap_ms: int) -> DataFrame:
+    """Session windows over a table or a stream with a watermark: partial sessions are merged before the shuffle and after it."""
+    g = df.groupBy(key, F.session_window(ts, f"{gap_ms} milliseconds").alias("w")).agg(F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("last_ms"), F.count("*").alias("n"))
+    return g.select(key, "start_ms", "last_ms", "n")

@@ -106,13 +106,19 @@ def _(v):
 
 
 @query("jn17_pair_score", """
-WITH p AS (
- SELECT b.det_id, a.det_id AS prev_det, greatest(0, least(a.bbox_left + a.bbox_width, b.bbox_left + b.bbox_width) - greatest(a.bbox_left, b.bbox_left)) * greatest(0, least(a.bbox_top + a.bbox_height, b.bbox_top + b.bbox_height) - greatest(a.bbox_top, b.bbox_top)) AS i,
+WITH RECURSIVE p AS (
+ SELECT a.source_id, a.class_id, a.frame_num, b.det_id, a.det_id AS prev_det, greatest(0, least(a.bbox_left + a.bbox_width, b.bbox_left + b.bbox_width) - greatest(a.bbox_left, b.bbox_left)) * greatest(0, least(a.bbox_top + a.bbox_height, b.bbox_top + b.bbox_height) - greatest(a.bbox_top, b.bbox_top)) AS i,
   a.bbox_width * a.bbox_height AS x, b.bbox_width * b.bbox_height AS y FROM detections a JOIN detections b ON b.source_id = a.source_id AND b.class_id = a.class_id AND b.frame_num = a.frame_num + 1),
-s AS (SELECT det_id, prev_det, round(0.6 * i / (x + y - i) + 0.4 * least(x, y) / greatest(x, y), 9) AS score FROM p)
-SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY det_id ORDER BY score DESC, prev_det) = 1 AND row_number() OVER (PARTITION BY prev_det ORDER BY score DESC, det_id) = 1""", ("detections",))
+s AS (SELECT *, round(0.6 * i / (x + y - i) + 0.4 * least(x, y) / greatest(x, y), 9) AS score FROM p),
+k AS (SELECT *, row_number() OVER (PARTITION BY source_id, class_id, frame_num ORDER BY score DESC, det_id, prev_det) AS n FROM s),
+g(source_id, class_id, frame_num, n, det_id, prev_det, score, a, b, free) AS (
+ SELECT DISTINCT source_id, class_id, frame_num, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE, []::BIGINT[], []::BIGINT[], false FROM k
+ UNION ALL
+ SELECT source_id, class_id, frame_num, n, det_id, prev_det, score, CASE WHEN free THEN list_append(a, det_id) ELSE a END, CASE WHEN free THEN list_append(b, prev_det) ELSE b END, free FROM (
+  SELECT k.*, g.a, g.b, NOT list_contains(g.a, k.det_id) AND NOT list_contains(g.b, k.prev_det) AS free FROM g JOIN k ON k.source_id = g.source_id AND k.class_id = g.class_id AND k.frame_num = g.frame_num AND k.n = g.n + 1))
+SELECT det_id, prev_det, score FROM g WHERE free""", ("detections",))
 def _(v):
-    return jn.pair_score(v("detections")).withColumn("score", F.round("score", 9))
+    return jn.pair_score(v("detections"))
 
 
 _VOTE = """
@@ -169,9 +175,11 @@ def _(v):
     return agg.overcrowding(v("detections").withColumn("roi_name", F.lit("all")), 2)
 
 
-@query("agg15_frame_flags", "SELECT source_id, frame_num, bool_or(roi_name <> '') AS any_roi, bool_or(roi_name = 'salida') AS any_exit, count(*) > 3 AS crowded FROM detections GROUP BY source_id, frame_num", ("detections",))
+@query("agg15_frame_flags", """
+WITH r AS (SELECT source_id, frame_num, roi_name, bool_or(class_id = 4 AND det_id % 3 = 0) AS crossed, count(*) AS c FROM detections GROUP BY ALL)
+SELECT source_id, frame_num, bool_or(roi_name <> '') AS any_roi, bool_or(roi_name = 'salida') AS any_exit, bool_or(crossed) AS any_crossing, bool_or(roi_name <> '' AND c > 1) AS crowded FROM r GROUP BY source_id, frame_num""", ("detections",))
 def _(v):
-    return agg.frame_flags(v("detections"))
+    return agg.frame_flags(v("detections").withColumn("crossed", F.expr("class_id = 4 and det_id % 3 = 0")), 1)
 
 
 CLUSTERS = """

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..streaming import operators as live
-from ..streaming.run import read_table, run_available, run_updates, shared_dir
+from ..streaming.run import read_table, run_available, run_complete, run_updates, shared_dir
 from ..streaming.upserts import KeyedTable
 from .event_queries import ASSIGN
 from .fixtures import VIEWS, Views
@@ -142,6 +142,15 @@ def _(v):
     return table.read(v.spark)
 
 
+@query("str12_stream_sessions", """
+WITH g AS (SELECT *, CASE WHEN ts_ms - lag(ts_ms) OVER w < 30000 THEN 0 ELSE 1 END AS new FROM viewers WINDOW w AS (PARTITION BY user_id ORDER BY ts_ms)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts_ms ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts_ms) AS start_ms, max(ts_ms) AS last_ms, count(*) AS n FROM s GROUP BY user_id, k""", ("viewers",))
+def _(v):
+    rows = with_ts(stream(v, "viewers"))
+    return back(back(run_complete(live.stream_sessions(rows)), "start_ms"), "last_ms")
+
+
 @query("snk3_live_sink", "SELECT device_id::VARCHAR AS key, det_id, source_id, ts_ms FROM detections", ("detections",))
 def _(v):
     from ..sources.sinks import live_sink

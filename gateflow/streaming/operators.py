@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as agg
 from ..operators import events as ev
 from ..operators import joins as jn
-from ..operators.windows import WatchdogCounter
+from ..operators.windows import WatchdogCounter, sessions_of
 from .dimensions import FORGET_MS, with_live
 from .folds import fold
 from .upserts import GONE, KeyedTable
@@ -164,6 +164,12 @@ def stream_preset_filter(events: DataFrame, changes: DataFrame, ttl_ms: int = PR
     return own_preset(with_live(events, changes, ["device_id"], ["active_token"], ttl_ms=ttl_ms, forget_ms=forget_ms, **_numbered(changes)))
 
 
+def stream_sessions(viewers: DataFrame, key: str = "user_id", gap_ms: int = 30_000, delay: str = "10 seconds") -> DataFrame:
+    """Sessions of keep-alives of a stream with a timestamp column ``ts``. One is told when the watermark has passed its end, so rows up to
+    ``delay`` late still extend it or join two; ``run_complete`` tells all."""
+    return sessions_of(viewers.withWatermark("ts", delay), key, "ts", gap_ms)
+
+
 def stream_throttle(df: DataFrame, keys: list[str], interval_ms: int, delay: str = "10 seconds") -> DataFrame:
     """Of each key at most one row per interval, counted from the last that went through.
 

@@ -37,3 +37,18 @@ def run_updates(stream: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     rows = spark.read.schema(StructType([*stream.schema.fields, StructField("_batch", LongType())])).parquet(f"{root}/out")
     rest = [c for c in stream.columns if c not in keys]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("r")).select(*keys, "r.*")
+
+
+def run_complete(stream: DataFrame) -> DataFrame:
+    """Run an aggregation over what is there now and return all its rows, as they are after the last batch."""
+    spark = stream.sparkSession
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    last: list[int] = []
+
+    def save(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/n={k}")
+        last[:] = [k]
+
+    q = stream.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/out/n={last[0]}") if last else spark.createDataFrame([], stream.schema)

@@ -76,7 +76,7 @@ def test_a_growing_capture_is_a_stream(spark, tmp_path):
     path, out, log = tmp_path / "in" / "live.bin", str(tmp_path / "out"), str(tmp_path / "log")
     path.parent.mkdir()
     sizes = []
-    for end in (1000, 1010, 5000, len(data)):
+    for end in (len(data) // 3, len(data) // 3 + 10, 2 * len(data) // 3, len(data)):
         with path.open("ab") as f:
             f.write(data[os.path.getsize(path) : end])
         q = captures.stream_captures(spark, str(path.parent), range_bytes=700).select("offset", "image").writeStream.format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start()
