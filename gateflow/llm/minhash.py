@@ -35,6 +35,8 @@ PERMUTATIONS, BANDS, BAND_PERMS = 108, 36, 3
 SIGMA = 6.0
 #: Members of a shingle's bucket that one task pairs with its members of short prefixes.
 RIGHT_BLOCK = 2048
+#: Ids (16 bytes each) up to which a table of them is broadcast.
+HELD_IDS = 500_000
 #: Counters of the table of rarities (a byte each where it is used), dealt to tasks in so many parts.
 COUNTERS, COUNTER_PARTS = 1 << 20, 256
 
@@ -239,9 +241,14 @@ def minhash_near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     star = stage(alike(star))
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    def few(ids: DataFrame) -> DataFrame:
+        """Up to ``HELD_IDS`` ids go to all tasks, so that the texts of the others are not shuffled; beyond that they are joined by a shuffle."""
+        ids = stage(ids)
+        return F.broadcast(ids) if ids.count() <= HELD_IDS else ids
+
     def confirm(pairs: DataFrame) -> DataFrame:
         """The pairs that are links by their full sets. The texts of their documents alone are dealt out, once, for both sides."""
-        ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
+        ids = few(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct())
         held = stage(docs.join(ids, "doc_id", "left_semi").repartition(buckets, "doc_id"), by="doc_id")
         texts = lambda c: held.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
         return stage(pairs.join(texts("a"), "a").join(texts("b"), "b").mapInArrow(lean(_confirm(width, percent)), "a long, b long"))
@@ -252,7 +259,7 @@ def minhash_near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     held = member.select("doc_id", "bucket").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
     spans = held.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
     ids = stage(held.join(spans, "bucket", "left_semi").select("doc_id", "comp").distinct())
-    needed = docs.join(ids, "doc_id").dropDuplicates(["doc_id"])
+    needed = docs.join(few(ids), "doc_id")
     more = confirm(stage(alike(pairs_by_prefix(needed, width, percent))))
     # their links join whole components
     of = lambda c: ids.select(F.col("doc_id").alias(c), F.col("comp").alias(f"comp_{c}"))
