@@ -276,7 +276,7 @@ def held_out(id_col: str = "doc_id"):
 def identify_language(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = 1000, fit_chars: int = 16_000_000, false_rejections: float = 1e-5, keep: tuple[str, ...] = ()) -> DataFrame:
     """Language of every whole text by models fitted on ``labelled``.
 
-    Returns ``doc_id``, ``lang_pred`` (a learned language, or ``und``), ``score`` (posterior of the
+    Returns ``doc_id``, ``lang_pred`` (a learned language, or ``und``), ``score`` (posterior, with the evidence counted as that of 100 characters at most, of the
     language, 0 to 1), ``entropy`` (nats a character) and ``rejected``, and the columns in ``keep``. Of texts
     like the labelled ones a share of ``false_rejections`` is rejected.
 
