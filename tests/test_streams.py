@@ -80,6 +80,6 @@ def test_watchdog(spark):
     events = read_table(spark, f"{SF}/events.parquet")
     fps = "cast(CASE WHEN cast(floor(event_id / 600) AS bigint) % 3 = 0 THEN 0 ELSE 3 END AS int)"
     cols = ("user_id % 2 AS device_id", "event_id AS cycle", f"{fps} AS fps")
-    got = {(r.device_id, r.cycle, r.reason) for r in run_available(live.stream_watchdog(events.selectExpr(*cols))).collect()}
+    got = {(r.device_id, r.cycle, r.reason) for r in run_available(live.stream_watchdog(events.selectExpr(*cols), ttl_ms=None)).collect()}
     want = {(r.device_id, r.cycle, r.reason) for r in win.fps_watchdog(spark.read.parquet(f"{SF}/events.parquet").selectExpr(*cols)).collect()}
     assert got == want and f is not None
