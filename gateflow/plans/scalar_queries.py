@@ -345,10 +345,10 @@ def _(v):
 
 @query("src1_capture_ranges", f"SELECT path, device_id, source_id, class_id, object_id, cast(cast(confidence AS float) AS double) AS confidence, {_WIRE}, frame_num, ts_ms, size, size = length(image) AS ok, image FROM ({_PACKED})", ("detections",))
 def _(v):
-    """The same captures as files, in ranges of 4000 bytes."""
+    """The same captures as files, in ranges of 4000 bytes, a megabyte of them a task."""
     folder = f"{shared_dir(v.spark)}/captures-{uuid.uuid4().hex}"
     captures.write_captures(packets.encode_packets(_packed(v), "crop"), folder).agg(F.sum("size")).first()
-    rows = captures.read_captures(v.spark, folder, range_bytes=4000).drop("offset")
+    rows = captures.read_captures(v.spark, folder, range_bytes=4000, task_bytes=1 << 20).drop("offset")
     return rows.withColumns({"path": F.substring_index("path", f"{folder.rsplit('/', 1)[1]}/", -1), "image": F.col("image").cast("string"), "object_id": F.col("object_id").cast("long"), "ts_ms": F.col("ts_ms").cast("long")})
 
 

@@ -111,12 +111,31 @@ def range_packets(data: Bytes, start: int, end: int, layout: struct.Struct):
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     uri: str
     start: int
     end: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What one task reads."""
+
+    parts: list[Range]
+
+
+def packed(ranges: list[Range], size: int) -> list[Ranges]:
+    """Ranges dealt to tasks in order, each until it has ``size`` bytes: many small files are one task's work."""
+    out, held = [], size
+    for r in ranges:
+        if held >= size:
+            out.append(Ranges([]))
+            held = 0
+        out[-1].parts.append(r)
+        held += r.end - r.start
+    return out
+
+
 def _files(path: str) -> tuple[fs.FileSystem, dict[str, int]]:
     """Files under a folder, or the one file, with their sizes."""
     system, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
@@ -125,7 +144,7 @@ def _files(path: str) -> tuple[fs.FileSystem, dict[str, int]]:
     return system, {f.path: f.size for f in found if f.is_file and not f.base_name.startswith((".", "_"))}
 
 
-def _rows(options: dict, part: Range):
+def _rows(options: dict, task: Ranges):
     kind, schema = options["kind"], _arrow(options["kind"])
     system, _ = fs.FileSystem.from_uri(options["path"]) if "://" in options["path"] or options["path"].startswith("file:") else (fs.LocalFileSystem(), "")
     rows, size = [], 0
@@ -133,12 +152,13 @@ def _rows(options: dict, part: Range):
     def emit():
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    for offset, image, header in range_packets(Bytes(system, part.uri), part.start, part.end, CROP if kind == "crop" else SNAPSHOT):
-        rows.append((part.uri, offset, *packet_fields(kind, header, image)))
-        size += len(image)
-        if size >= FLUSH_BYTES:
-            yield emit()
-            rows, size = [], 0
+    for part in task.parts:
+        for offset, image, header in range_packets(Bytes(system, part.uri), part.start, part.end, CROP if kind == "crop" else SNAPSHOT):
+            rows.append((part.uri, offset, *packet_fields(kind, header, image)))
+            size += len(image)
+            if size >= FLUSH_BYTES:
+                yield emit()
+                rows, size = [], 0
     if rows:
         yield emit()
 
@@ -149,14 +169,14 @@ def _ranges(sizes: dict[str, int], starts: dict[str, int], width: int) -> list[R
 
 class CaptureSource(DataSource):
     """``spark.read.format("capture")``, or ``readStream``, with the options ``path`` (a folder or file), ``kind`` (``crop`` or ``snapshot``)
-    and ``range_bytes``. Bytes after a file's last whole packet are no row; a stream reads them when the file has grown."""
+    ``range_bytes``, and ``task_bytes``, up to which ranges are read by one task. Bytes after a file's last whole packet are no row; a stream reads them when the file has grown."""
 
     @classmethod
     def name(cls) -> str:
         return "capture"
 
     def _options(self) -> dict:
-        return {"path": self.options["path"], "kind": self.options.get("kind", "crop"), "range_bytes": int(self.options.get("range_bytes", 64 << 20))}
+        return {"path": self.options["path"], "kind": self.options.get("kind", "crop"), "range_bytes": int(self.options.get("range_bytes", 64 << 20)), "task_bytes": int(self.options.get("task_bytes", 64 << 20))}
 
     def schema(self) -> str:
         return _ddl(self._options()["kind"])
@@ -172,10 +192,10 @@ class CaptureReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
 
-    def partitions(self) -> list[Range]:
-        return _ranges(_files(self.options["path"])[1], {}, self.options["range_bytes"])
+    def partitions(self) -> list[Ranges]:
+        return packed(_ranges(_files(self.options["path"])[1], {}, self.options["range_bytes"]), self.options["task_bytes"])
 
-    def read(self, partition: Range):
+    def read(self, partition: Ranges):
         return _rows(self.options, partition)
 
 
@@ -191,27 +211,27 @@ class CaptureStream(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return _files(self.options["path"])[1]
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
-        return _ranges(end, start, self.options["range_bytes"])
+    def partitions(self, start: dict, end: dict) -> list[Ranges]:
+        return packed(_ranges(end, start, self.options["range_bytes"]), self.options["task_bytes"])
 
-    def read(self, partition: Range):
+    def read(self, partition: Ranges):
         return _rows(self.options, partition)
 
     def commit(self, end: dict) -> None:
         pass
 
 
-def read_captures(spark: SparkSession, path: str, kind: str = "crop", range_bytes: int = 64 << 20) -> DataFrame:
+def read_captures(spark: SparkSession, path: str, kind: str = "crop", range_bytes: int = 64 << 20, task_bytes: int = 64 << 20) -> DataFrame:
     """Rows of the captures under ``path``, which must be in a file system that Arrow reads (local, HDFS, S3, GCS); for others there is
     :func:`.packets.read_crop_packets`, whose captures are one value each."""
     spark.dataSource.register(CaptureSource)
-    return spark.read.format("capture").options(path=path, kind=kind, range_bytes=range_bytes).load()
+    return spark.read.format("capture").options(path=path, kind=kind, range_bytes=range_bytes, task_bytes=task_bytes).load()
 
 
-def stream_captures(spark: SparkSession, path: str, kind: str = "crop", range_bytes: int = 64 << 20) -> DataFrame:
+def stream_captures(spark: SparkSession, path: str, kind: str = "crop", range_bytes: int = 64 << 20, task_bytes: int = 64 << 20) -> DataFrame:
     """The packets of captures that grow, as they come."""
     spark.dataSource.register(CaptureSource)
-    return spark.readStream.format("capture").options(path=path, kind=kind, range_bytes=range_bytes).load()
+    return spark.readStream.format("capture").options(path=path, kind=kind, range_bytes=range_bytes, task_bytes=task_bytes).load()
 
 
 def write_captures(captures: DataFrame, folder: str) -> DataFrame:

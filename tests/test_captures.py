@@ -60,7 +60,7 @@ def test_captures_as_a_table(spark, tmp_path):
     columns = [c for c in want.columns if c not in ("path", "pos")]
     plain = lambda df: sorted(repr([bytes(v) if isinstance(v, bytearray) else v for v in r]) for r in df.select(*columns).collect())
     for width in (100, 10**9):
-        got = captures.read_captures(spark, f"{tmp_path}/in", range_bytes=width)
+        got = captures.read_captures(spark, f"{tmp_path}/in", range_bytes=width, task_bytes=2000)
         assert plain(got) == plain(want)
     assert captures.read_captures(spark, f"file://{tmp_path}/in/a.bin", range_bytes=1000).count() == 60
     packets.register_table_functions(spark)
@@ -79,7 +79,7 @@ def test_a_growing_capture_is_a_stream(spark, tmp_path):
     for end in (len(data) // 3, len(data) // 3 + 10, 2 * len(data) // 3, len(data)):
         with path.open("ab") as f:
             f.write(data[os.path.getsize(path) : end])
-        q = captures.stream_captures(spark, str(path.parent), range_bytes=700).select("offset", "image").writeStream.format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start()
+        q = captures.stream_captures(spark, str(path.parent), range_bytes=700, task_bytes=1500).select("offset", "image").writeStream.format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start()
         q.awaitTermination()
         sizes.append(spark.read.parquet(out).count())
     rows = spark.read.parquet(out).orderBy("offset").collect()
