@@ -16,7 +16,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from .packets import CROP, CROP_DDL, FLUSH_BYTES, MARK, SNAPSHOT, SNAPSHOT_DDL, packet_fields
+from .packets import CROP, CROP_DDL, FLUSH_BYTES, FLUSH_ROWS, MARK, SNAPSHOT, SNAPSHOT_DDL, packet_fields
 
 _MARK = re.compile(re.escape(MARK))
 #: Bytes that a range looks back at first, and that it reads at a time.
@@ -156,7 +156,7 @@ def _rows(options: dict, task: Ranges):
         for offset, image, header in range_packets(Bytes(system, part.uri), part.start, part.end, CROP if kind == "crop" else SNAPSHOT):
             rows.append((part.uri, offset, *packet_fields(kind, header, image)))
             size += len(image)
-            if size >= FLUSH_BYTES:
+            if size >= FLUSH_BYTES or len(rows) >= FLUSH_ROWS:
                 yield emit()
                 rows, size = [], 0
     if rows:
@@ -240,10 +240,14 @@ def write_captures(captures: DataFrame, folder: str) -> DataFrame:
 
     def run(batches):
         system, root = fs.FileSystem.from_uri(folder) if remote else (fs.LocalFileSystem(), folder)
+        made = set()
         for batch in batches:
             names, sizes = [], []
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                system.create_dir(f"{root}/{path}".rsplit("/", 1)[0], recursive=True)
+                parent = f"{root}/{path}".rsplit("/", 1)[0]
+                if parent not in made:
+                    system.create_dir(parent, recursive=True)
+                    made.add(parent)
                 with system.open_output_stream(f"{root}/{path}") as out:
                     out.write(content.as_buffer())
                 names.append(path), sizes.append(len(content.as_buffer()))

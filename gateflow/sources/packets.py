@@ -51,8 +51,8 @@ def packet_rows(kind: str, path: str, data: bytes):
         yield (path, pos, *packet_fields(kind, header, image))
 
 
-#: Bytes of images that leave a task at a time.
-FLUSH_BYTES = 8 << 20
+#: Bytes of images, and packets or captures, that leave a task at a time.
+FLUSH_BYTES, FLUSH_ROWS = 8 << 20, 1 << 13
 
 
 def _decode(kind: str, schema: pa.Schema):
@@ -70,7 +70,7 @@ def _decode(kind: str, schema: pa.Schema):
                 for row in packet_rows(kind, path.as_py(), memoryview(data.as_buffer())):
                     rows.append(row)
                     size += len(row[-1])
-                    if size >= FLUSH_BYTES:
+                    if size >= FLUSH_BYTES or len(rows) >= FLUSH_ROWS:
                         yield emit(rows)
                         rows, size = [], 0
             if rows:
@@ -117,19 +117,42 @@ _FIELDS = {
 }
 
 
-def pack_rows(kind: str, table: pa.Table) -> pa.Table:
-    """One capture of the rows of a path."""
-    table, out, layout = table.sort_by("pos"), bytearray(), CROP if kind == "crop" else SNAPSHOT
-    fields = zip(*(table.column(c).to_pylist() for c in _FIELDS[kind]), strict=True)
-    for image, (device, *rest) in zip(table.column("image").to_pylist(), fields, strict=True):
-        out += image + MARK + layout.pack(device & 0xFFFFFFFF, *(x.encode() if isinstance(x, str) else x for x in rest))
-    return pa.table({"path": [table.column("path")[0].as_py()], "content": pa.array([bytes(out)], pa.binary())})
+def _layout(kind: str) -> struct.Struct:
+    return CROP if kind == "crop" else SNAPSHOT
+
+
+def _pack(kind: str):
+    """Captures of rows whose paths stand together, in order of ``pos``; one capture is held at a time."""
+
+    def emit(done: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([c for _, c in done], pa.binary())], ["path", "content"])
+
+    def run(batches):
+        layout = _layout(kind)
+        at, out, done, size = None, None, [], 0
+        for batch in batches:
+            fields = zip(*(batch.column(c).to_pylist() for c in _FIELDS[kind]), strict=True)
+            for path, image, (device, *rest) in zip(batch.column("path").to_pylist(), batch.column("image").to_pylist(), fields, strict=True):
+                if out is None or path != at:
+                    if out is not None:
+                        done.append((at, bytes(out)))
+                        size += len(out)
+                        if size >= FLUSH_BYTES or len(done) >= FLUSH_ROWS:
+                            yield emit(done)
+                            done, size = [], 0
+                    at, out = path, bytearray()
+                out += image + MARK + layout.pack(device & 0xFFFFFFFF, *(x.encode() if isinstance(x, str) else x for x in rest))
+        if out is not None:
+            yield emit([*done, (at, bytes(out))])
+
+    return run
 
 
 def encode_packets(rows: DataFrame, kind: str) -> DataFrame:
     """Captures (path, content) of rows (path, pos, the fields of the layout, image), packed in order of ``pos``: the way back of the
-    decoders. A path is one capture, and so one task's work."""
-    return rows.select("path", "pos", *_FIELDS[kind], "image").groupBy("path").applyInArrow(lambda table: pack_rows(kind, table), "path string, content binary")
+    decoders. A path is one capture, and so one task's work; a task packs its paths one after the other."""
+    named = rows.select("path", "pos", *_FIELDS[kind], "image").repartition("path")
+    return named.sortWithinPartitions("path", F.col("pos").asc_nulls_last()).mapInArrow(_pack(kind), "path string, content binary")
 
 
 def read_crop_packets(spark: SparkSession, path: str) -> DataFrame:
