@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..streaming import operators as live
-from ..streaming.run import read_table, run_available, run_complete, run_updates, shared_dir
+from ..streaming import run
+from ..streaming.run import in_order, read_table, run_available, run_complete, run_updates, shared_dir
 from ..streaming.upserts import KeyedTable
 from .event_queries import ASSIGN
 from .fixtures import VIEWS, Views
@@ -18,16 +19,36 @@ from .registry import query
 from .scalar_queries import with_shapes
 
 
+def ordered(v: Views, name: str, by: str) -> DataFrame:
+    """A view as a stream in order of ``by``. One of more rows than a batch may have is written in that order first, once a query,
+    so that all streams of a query have the same times in a batch."""
+    path = v.__dict__.setdefault("in_order", {}).get(name)
+    if path is None:
+        v.in_order[name] = path = in_order(v(name), by)
+    return read_table(v.spark, path, files_per_trigger=1)
+
+
 def stream(v: Views, name: str) -> DataFrame:
-    """A view over events, as a stream."""
-    read_table(v.spark, f"{v.sf_dir}/events.parquet").createOrReplaceTempView("events")
+    """A view over events, as a stream: of detections, or what is made of them, in order of their time."""
     need = VIEWS[name][0]
-    for n in [x for x in need if x in VIEWS] + [name]:
+    views = [x for x in need if x in VIEWS] + [name]
+    if "detections" in views and v("events").count() > run.BATCH_ROWS:
+        df = ordered(v, "detections", "ts_ms")
+        df.createOrReplaceTempView("detections")
+        views.remove("detections")
+    else:
+        read_table(v.spark, f"{v.sf_dir}/events.parquet").createOrReplaceTempView("events")
+    for n in views:
         df = v.spark.sql(VIEWS[n][1])
         df.createOrReplaceTempView(n)
     return df
 
 
+def events_by_id(v: Views) -> DataFrame:
+    """Events as a stream in order of their ids."""
+    return ordered(v, "events", "event_id") if v("events").count() > run.BATCH_ROWS else read_table(v.spark, f"{v.sf_dir}/events.parquet")
+
+
 #: The tables' clock starts at 0, which a first watermark counts as late; streams run this much ahead of it.
 AHEAD_MS = 1000
 
@@ -65,7 +86,7 @@ f AS (SELECT *, sum((NOT ok)::INT) OVER (PARTITION BY device_id, run ORDER BY cy
 s AS (SELECT *, coalesce(lag(is_online) OVER (PARTITION BY device_id ORDER BY cycle), true) AS was FROM f)
 SELECT device_id, cycle, is_online, CASE WHEN NOT is_online THEN cycle END AS offline_since FROM s WHERE is_online <> was""")
 def _(v):
-    events = read_table(v.spark, f"{v.sf_dir}/events.parquet")
+    events = events_by_id(v)
     return run_available(live.stream_health(events.selectExpr("user_id % 50 AS device_id", "event_id AS cycle", "(event_id * 7) % 10 < 4 AS ok"), ttl_ms=None))
 
 
@@ -73,7 +94,7 @@ def _(v):
 WITH RECURSIVE f AS (SELECT user_id % 3 AS device_id, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) AS i, event_id AS cycle, CASE event_id // 600 % 3 WHEN 0 THEN 0 WHEN 1 THEN 3 ELSE 10 END AS fps FROM events), {watchdog_sql('f')}
 SELECT device_id, cycle, reason, pending FROM w WHERE reason IS NOT NULL""")
 def _(v):
-    events = read_table(v.spark, f"{v.sf_dir}/events.parquet")
+    events = events_by_id(v)
     fps = "cast(CASE WHEN cast(floor(event_id / 600) AS bigint) % 3 = 0 THEN 0 WHEN cast(floor(event_id / 600) AS bigint) % 3 = 1 THEN 3 ELSE 10 + event_id % 20 END AS int)"
     return run_available(live.stream_watchdog(events.selectExpr("user_id % 3 AS device_id", "event_id AS cycle", f"{fps} AS fps"), ttl_ms=None))
 

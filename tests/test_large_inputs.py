@@ -1,8 +1,17 @@
 """Steps that used to gather what grows with the input in one task, one group or one batch."""
 
+import glob
+
+import pytest
 from pyspark.sql import functions as F
 
 from gateflow.operators import joins as jn
+from gateflow.plans import registry, stream_queries
+from gateflow.plans.fixtures import Views
+from gateflow.sources import packets
+from gateflow.streaming import run
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_escalations_of_one_task_are_spread(spark):
@@ -13,3 +22,22 @@ def test_escalations_of_one_task_are_spread(spark):
     per_task = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("task")).count().collect()]
     assert sum(per_task) == 2000 * 10
     assert len(per_task) == 4 and max(per_task) < 2000 * 10 / 2
+
+
+@pytest.mark.parametrize("name", ["str1_stream_events", "str2_stream_truck_gate", "str4_stream_watchdog", "str6_stream_map", "str7_preset_filter", "str9_stream_roi"])
+def test_streams_in_small_batches_have_the_same_rows(spark, monkeypatch, name):
+    whole = [tuple(r) for r in registry.queries()[name](spark, SF).collect()]
+    monkeypatch.setattr(run, "BATCH_ROWS", 300)
+    seen = []
+    monkeypatch.setattr(stream_queries, "in_order", lambda df, by: seen.append(run.in_order(df, by)) or seen[-1])
+    got = [tuple(r) for r in registry.queries()[name](spark, SF).collect()]
+    assert sorted(got, key=repr) == sorted(whole, key=repr)
+    sizes = [spark.read.parquet(f).count() for f in glob.glob(f"{seen[0]}/*.parquet")]
+    assert len(seen) == 1 and len(sizes) >= 3 and max(sizes) <= 450 and sum(sizes) == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_packing_starts_no_group_for_a_capture(spark):
+    rows = Views(spark, SF)("detections").selectExpr("concat('p', object_id) AS path", "cast(row_number() OVER (PARTITION BY object_id ORDER BY det_id) AS int) AS pos", "device_id", "source_id", "class_id", "object_id", "confidence", "bbox_left", "bbox_top", "bbox_width", "bbox_height", "frame_num", "ts_ms", "cast(1 AS bigint) AS size", "cast('x' AS binary) AS image")
+    plan = packets.encode_packets(rows, "crop")
+    assert "MapInArrow" in plan._jdf.queryExecution().toString() and "FlatMapGroupsInArrow" not in plan._jdf.queryExecution().toString()
+    assert packets.decode_crop_packets(plan).count() == rows.count() and plan.count() == rows.select("path").distinct().count()
