@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, stage
+from .common import keep_batches_small, lean, stage
 
 MAX_BLOCK_WORDS = 300_000  # distinct words of a block, about
 MAX_BLOCK_ITEMS = 3_000_000  # words of a block, about
@@ -358,6 +358,7 @@ def bpe_encode_decode(df: DataFrame, tokenizer_path: str, text_col: str = "text"
     returned as they are, but one named like a new column is replaced by it."""
     new = ["n_tokens", "ids", "decoded"]
     spark = df.sparkSession
+    keep_batches_small(spark)
     named = {f"__k{i}": c for i, c in enumerate(c for c in df.columns if c != text_col and c not in new)}
     keys = list(named)
     kept = df.select(*(F.col(f"`{c}`").alias(k) for k, c in named.items()), F.col(text_col).cast("string").alias("__text"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, mix64, seeds, stage
+from .common import keep_batches_small, lean, mix64, seeds, stage
 
 ORDER = 5
 SPACE = 32
@@ -295,6 +295,7 @@ def identify_language(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id"
 
 def judge(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All columns of ``df`` and ``__lang_pred``, ``__score``, ``__entropy`` and ``__rejected``, under names that no table has."""
+    keep_batches_small(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, lean, mix64, seeds, stage, windows_hash, word_chunks
+from .common import components, keep_batches_small, lean, mix64, seeds, stage, windows_hash, word_chunks
 
 PERMUTATIONS, BANDS, BAND_PERMS = 108, 36, 3
 SIGMA = 6.0
@@ -227,6 +227,7 @@ def minhash_near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kept; fewer words than ``width`` are one shingle; a null id links with nothing and is kept; ids
     should be unique, rows that repeat an id have one set each but share their component; an empty
     table gives an empty result; other columns are ignored."""
+    keep_batches_small(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     prof = stage(docs.mapInArrow(lean(_profile(width)), "doc_id long, n long, f1 long, f2 long, bands array<long>, sig binary"))
     full = prof.where("n > 0 and doc_id is not null")

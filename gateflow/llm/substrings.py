@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, lean, text_chunks, windows_hash
+from .common import Words, keep_batches_small, lean, text_chunks, windows_hash
 
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 #: Bytes of text in a block, about.
@@ -189,6 +189,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     length = window - PERIOD + 1
     if length < 2:
         raise ValueError(f"window must be at least {PERIOD + 1}")
+    keep_batches_small(df.sparkSession)
     total = df.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string"))), F.lit(0))).first()[0]
     blocks = max(1, int(total // block_bytes) + 1)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))

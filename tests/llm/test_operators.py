@@ -714,3 +714,38 @@ def test_pipeline_null_and_repeated_ids(spark, tmp_path):
         assert sorted(ids) == sorted(lib.encode(texts[k], add_special_tokens=False).ids for k in want)
     places = sorted(r.mix_position for rows in got.values() for r in rows)
     assert places == list(range(len(places)))
+
+
+@pytest.mark.parametrize("operator", [
+    lambda docs: langid.judge(docs, langid.Model([])), lambda docs: minhash.minhash_near_dedup(docs.limit(2)),
+    lambda docs: substrings.substring_dedup(docs.limit(2)), lambda docs: bpe.bpe_encode_decode(docs.limit(2), queries.tokenizer_path()),
+])
+def test_results_are_written_in_small_batches(spark, operator):
+    """What an operator returns runs when the caller writes it: by then, too, tasks get a few megabytes of text at a time."""
+    keys = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {k: spark.conf.get(k) for k in keys}
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('some words ', 500)").alias("text"))
+    rows = lambda: max(r.n for r in docs.mapInArrow(sizes, "n long").collect())
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    try:
+        for k in keys:
+            spark.conf.unset(k)
+        assert rows() == 4000  # 22 MB
+        operator(docs)
+        assert rows() < 1600 and int(spark.conf.get(keys[1])) <= 512
+        for k in keys:
+            spark.conf.set(k, "100")
+        operator(docs)  # less stays
+        assert [spark.conf.get(k) for k in keys] == ["100", "100"]
+        with common.small_batches(spark):
+            pass
+        assert [spark.conf.get(k) for k in keys] == ["100", "100"]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
