@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import itertools
 import json
+import os
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -106,6 +108,18 @@ def word_encoder(path: str):
     return encode
 
 
+@lru_cache(maxsize=1)
+def _held_encoder(path: str, changed: int, size: int):
+    return word_encoder(path)
+
+
+def held_encoder(path: str):
+    """:func:`word_encoder`, loaded once in a worker: the library does not give back all that an encoder took, so one
+    a task would let a worker grow with the number of its tasks. A file that has changed is loaded anew."""
+    now = os.stat(path)
+    return _held_encoder(path, now.st_mtime_ns, now.st_size)
+
+
 def pieces_table(spark: SparkSession, path: str) -> DataFrame:
     """(id, piece) of the whole vocabulary: as many rows as the tokenizer's file has pieces."""
     with open(path, encoding="utf-8") as f:
@@ -225,7 +239,7 @@ def _encode_runs(path: str):
     def run(batches):
         from pyspark import TaskContext
 
-        encode, last, ids, made = word_encoder(path), None, [], TaskContext.get().partitionId() << 40
+        encode, last, ids, made = held_encoder(path), None, [], TaskContext.get().partitionId() << 40
         for batch in batches:
             if not batch.num_rows:
                 continue

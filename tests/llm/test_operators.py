@@ -749,3 +749,26 @@ def test_results_are_written_in_small_batches(spark, operator):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_bpe_worker_loads_one_encoder(monkeypatch, tmp_path):
+    """Tasks of one worker share an encoder, whose memory the library keeps; another file is loaded."""
+    import pyarrow as pa
+    import pyspark
+
+    class Task:
+        get = classmethod(lambda c: c)
+        partitionId = classmethod(lambda c: 0)  # noqa: N815
+
+    monkeypatch.setattr(pyspark, "TaskContext", Task)
+    loaded, load = [], bpe.word_encoder
+    monkeypatch.setattr(bpe, "word_encoder", lambda path: loaded.append(path) or load(path))
+    path = tmp_path / "tokenizer.json"
+    with open(queries.tokenizer_path(), encoding="utf-8") as f:
+        path.write_text(f.read(), encoding="utf-8")
+    rows = pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([0], pa.int32()), pa.array(["word"])], ["__block", "__num", "__word"])
+    ids = [next(iter(bpe._encode_runs(str(path))(iter([rows])))).column("__ids").to_pylist() for _ in range(3)]
+    assert len(loaded) == 1 and ids[0] == ids[1] == ids[2] == [load(str(path))(["word"])[0]]
+    path.write_text(path.read_text(encoding="utf-8") + " ", encoding="utf-8")
+    list(bpe._encode_runs(str(path))(iter([rows])))
+    assert len(loaded) == 2
