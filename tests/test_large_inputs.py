@@ -41,3 +41,16 @@ def test_packing_starts_no_group_for_a_capture(spark):
     plan = packets.encode_packets(rows, "crop")
     assert "MapInArrow" in plan._jdf.queryExecution().toString() and "FlatMapGroupsInArrow" not in plan._jdf.queryExecution().toString()
     assert packets.decode_crop_packets(plan).count() == rows.count() and plan.count() == rows.select("path").distinct().count()
+
+
+def test_escalations_send_no_table_through_the_driver(spark):
+    incidents = spark.range(0, 3000, 1, 1).selectExpr("id AS incident_id", "id % 3 AS site_id", "id % 200 AS age_s")
+    bounds = spark.range(0, 3000, 1, 1).selectExpr("id % 3 AS site_id", "cast(1 + floor(id / 3) AS int) AS level", "50 * floor(id / 3) AS from_s", "50 * (1 + floor(id / 3)) AS to_s")
+    # other types than the levels', more operators than one array takes (2^14), one without a number
+    operators = spark.range(0, 2**14 + 900, 1, 1).selectExpr("nullif(id, 7) AS operator_id", "cast(0 AS int) AS site_id", "CASE WHEN id % 40 = 7 THEN 2L ELSE 9L END AS level")
+    out = jn.escalate(incidents, bounds, operators)
+    pairs = incidents.where("site_id = 0 and age_s >= 50 and age_s < 100").crossJoin(operators.where("level = 2"))
+    assert sorted(out.select("incident_id", "operator_id").collect(), key=repr) == sorted(pairs.select("incident_id", "operator_id").collect(), key=repr)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    # each side keeps its partitions: types that differ would make Spark shuffle it again, into few
+    assert out.groupBy(F.spark_partition_id()).count().count() == 4
