@@ -54,3 +54,15 @@ def test_escalations_send_no_table_through_the_driver(spark):
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     # each side keeps its partitions: types that differ would make Spark shuffle it again, into few
     assert out.groupBy(F.spark_partition_id()).count().count() == 4
+
+
+def test_escalations_of_large_levels_are_cut_into_slices(spark, monkeypatch):
+    incidents = spark.range(0, 200, 1, 1).selectExpr("id AS incident_id", "id % 2 AS site_id", "id % 90 AS age_s")
+    bounds = spark.createDataFrame([(0, 1, 0, 50), (0, 2, 50, None), (1, 1, 0, None)], "site_id long, level long, from_s long, to_s long")
+    operators = spark.range(0, 700, 1, 1).selectExpr("nullif(id, 7) AS operator_id", "CASE WHEN id % 9 = 1 THEN 1L ELSE 0L END AS site_id", "CASE WHEN id % 11 = 1 THEN 2L ELSE 1L END AS level")
+    whole = sorted(map(tuple, jn.escalate(incidents, bounds, operators).collect()), key=repr)
+    monkeypatch.setattr(jn, "ESCALATE_SLICE", 100)
+    out = jn.escalate(incidents, bounds, operators)
+    assert sorted(map(tuple, out.collect()), key=repr) == whole and len(whole) > 20000
+    # all levels take as many slices as the largest needs
+    assert "sequence(0, 5" in out._jdf.queryExecution().analyzed().toString()
